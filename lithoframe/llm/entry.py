@@ -6,20 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import ngram_join
+from lithoframe.llm import decontaminate, line_dedup, mixing, ngram_join, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP3_SQL = """
+with l as (select doc_id, str_split(text, chr(10)) as lines from documents where text is not null),
+w as (select doc_id, unnest(range(0, greatest(len(lines) - 2, 0))) as pos, lines from l),
+x as (select doc_id, pos, trim(lines[pos + 1]) as a, trim(lines[pos + 2]) as b, trim(lines[pos + 3]) as c from w),
+y as (select *, row_number() over (partition by a, b, c order by doc_id, pos) as nth from x where a <> '' or b <> '' or c <> ''),
+gone as (select doc_id, list(distinct pos + k) as at from y, range(0, 3) t(k) where nth > 1 group by doc_id)
+select d.doc_id,
+       case when g.at is null then d.text
+            else coalesce(list_aggregate([l.lines[i + 1] for i in range(0, len(l.lines)) if not list_contains(g.at, i)], 'string_agg', chr(10)), '') end as text,
+       coalesce(len(l.lines), 0)::bigint as n_lines, coalesce(len(g.at), 0)::bigint as n_removed
+from documents d left join l on d.doc_id = l.doc_id left join gone g on d.doc_id = g.doc_id
+"""
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents")).select("doc_id", "shard", "bytes", "shard_bytes")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "lane", "block", "slot", "place")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_ngram_jaccard": op10_ngram_jaccard}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_sharding": op4_sharding,
+        "op8_mixing": op8_mixing,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL, "op4_sharding": sharding.ORACLE_SQL}
