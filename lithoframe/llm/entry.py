@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lithoframe.llm import decontaminate, line_dedup, mixing, ngram_join, sharding
+from lithoframe.llm import decontaminate, langid, line_dedup, mixing, ngram_join, sharding, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"), narrow=True)
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = langid.page_evidence(_table(spark, sf_dir, "pages"))
+    return langid.identify(pages, declared="declared", host="host", suffix="suffix", key="page_id", narrow=True)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -43,6 +53,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "lane", "block", "slot", "place")
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
@@ -50,12 +64,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_language_id": op2_language_id,
+        "language_id_pages": language_id_pages,
         "op3_line_dedup": op3_line_dedup,
         "op4_sharding": op4_sharding,
         "op8_mixing": op8_mixing,
+        "op9_exact_topk": op9_exact_topk,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_sharding": sharding.ORACLE_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_sharding": sharding.ORACLE_SQL, "op9_exact_topk": topk_search.ORACLE_SQL}
