@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import decontaminate, langid, line_dedup, mixing, ngram_join, sharding, topk_search
+from lithoframe.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_join, sharding, topk_search, warc
+from lithoframe.llm.storage import settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents")).select("doc_id", "shard", "bytes", "shard_bytes")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return chat.digests(settled(chat.formatted(_table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more))))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "lane", "block", "slot", "place")
 
@@ -68,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "language_id_pages": language_id_pages,
         "op3_line_dedup": op3_line_dedup,
         "op4_sharding": op4_sharding,
+        "op5_warc": op5_warc,
+        "op7_chat": op7_chat,
         "op8_mixing": op8_mixing,
         "op9_exact_topk": op9_exact_topk,
         "op10_ngram_jaccard": op10_ngram_jaccard,
@@ -75,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_sharding": sharding.ORACLE_SQL, "op9_exact_topk": topk_search.ORACLE_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_sharding": sharding.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op9_exact_topk": topk_search.ORACLE_SQL}

@@ -42,7 +42,7 @@ from lithoframe.llm.storage import settled
 from lithoframe.llm.text import mix, shingle_hashes, words_by_row
 
 #: Postings in a block of inverted lists, on average.
-BLOCK = 250_000
+BLOCK = 1_000_000
 #: A list that gives more pairs than this is long.
 LONG = 2048
 #: Long lists that are told to all tasks (8 bytes each); any beyond are merged like short ones.
@@ -52,6 +52,37 @@ FILTER_BITS = 24
 _NUM, _DEN = 3, 4
 
 
+#: Tables of at most so many rows are sent to all tasks for joins with the documents; larger ones are shuffled.
+SENT_ROWS = 400_000
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte (all first bytes, then all second ones ...), which packs well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _whole_numbers(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
+def _short_hashes(hashes: np.ndarray) -> bytes:
+    """Leading 48 bits of each hash: enough to find candidates by, which whole hashes then verify."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_short(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _sized(table: DataFrame) -> tuple[DataFrame, bool]:
+    """``table``, to be sent to all tasks if it has at most ``SENT_ROWS`` rows (it is counted), and whether it is."""
+    small = table.count() <= SENT_ROWS
+    return (F.broadcast(table) if small else table), small
+
+
 def least_overlap(n: int, m: int) -> int:
     """Shingles that sets of n and m must share to link: 7 * overlap >= 3 * (n + m)."""
     return -(-_NUM * (n + m) // (_NUM + _DEN))
@@ -83,7 +114,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 sizes.append(len(s))
                 digests.append(d)
                 lows.append(s[:4].view(np.int64))
-                heads.append(None if d in seen else s[: reserve_length(len(s))].tobytes())
+                heads.append(None if d in seen else _short_hashes(s[: reserve_length(len(s))]))
                 if len(seen) < 200_000:
                     seen.add(d)
             yield pa.RecordBatch.from_arrays(
@@ -99,8 +130,10 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` that link, by their whole sets."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
+    ids, small = _sized(settled(need.select("doc_id").distinct()))
+    texts = docs.select("doc_id", "text")
     both = (
-        docs.select("doc_id", "text")
+        (texts.join(ids, "doc_id", "left_semi") if small else texts)
         .join(need, "doc_id")
         .groupBy("a", "b")
         .agg(F.collect_list("text").alias("texts"))
@@ -147,7 +180,7 @@ def _pack(blocks: int, chosen) -> callable:
             tokens, rank, new, row = [], [], [], []
             for k, head in enumerate(batch.column(3)):
                 n = int(sizes[k])
-                t, i, fresh = chosen(n, np.frombuffer(head.as_buffer(), dtype=np.uint64))
+                t, i, fresh = chosen(n, _from_short(head.as_buffer()))
                 tokens.append(t)
                 rank.append(i)
                 new.append(fresh)
@@ -165,11 +198,11 @@ def _pack(blocks: int, chosen) -> callable:
                 at = np.flatnonzero(np.diff(rows, prepend=-1))
                 who = rows[at]
                 out["block"].append(int(block[a]))
-                out["tokens"].append(t[a:b].tobytes())
-                out["ranks"].append(i[a:b].astype(np.int32).tobytes())
+                out["tokens"].append(_planes(t[a:b]))
+                out["ranks"].append(_planes(i[a:b].astype(np.int32)))
                 out["fresh"].append(np.packbits(f[a:b]).tobytes())
-                out["runs"].append(np.diff(at, append=b - a).astype(np.int32).tobytes())
-                out["docs"].append(np.stack([ids[who], comps[who], sizes[who]]).tobytes())
+                out["runs"].append(_planes(np.diff(at, append=b - a).astype(np.int32)))
+                out["docs"].append(_planes(np.concatenate([np.diff(ids[who], prepend=0), comps[who] - ids[who], sizes[who]])))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("tokens", "ranks", "fresh", "runs", "docs"))]))
 
     return run
@@ -192,11 +225,15 @@ def _scan(above: int, most: int, naming: bool, fresh_only: bool):
     components give each query its partners; with ``naming``, longer ones are named (q: the hash, n: its pairs)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        token = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows.tokens])
-        rank = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in rows.ranks]).astype(np.int64)
+        token = whole = np.concatenate([_whole_numbers(x, np.uint64) for x in rows.tokens])
+        rank = np.concatenate([_whole_numbers(x, np.int32) for x in rows.ranks]).astype(np.int64)
         fresh = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(t) // 8) for x, t in zip(rows.fresh, rows.tokens)]).astype(bool)
-        runs = [np.frombuffer(x, dtype=np.int32) for x in rows.runs]
-        info = np.concatenate([np.repeat(np.frombuffer(x, dtype=np.int64).reshape(3, -1), k, axis=1) for x, k in zip(rows.docs, runs)], axis=1)
+        info = []
+        for docs, runs in zip(rows.docs, rows.runs):
+            step, comp, n = _whole_numbers(docs, np.int64).reshape(3, -1)
+            ids = np.cumsum(step)
+            info.append(np.repeat(np.stack([ids, ids + comp, n]), _whole_numbers(runs, np.int32), axis=1))
+        info = np.concatenate(info, axis=1)
         order = np.lexsort((info[0], token))
         token = token[order]
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -205,7 +242,7 @@ def _scan(above: int, most: int, naming: bool, fresh_only: bool):
         size = size[size > 1]
         head = np.cumsum(size) - size
         rank, fresh, (doc, comp, n) = rank[order], fresh[order], info[:, order]
-        token = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows.tokens])[order]
+        token = whole[order]
         group = np.repeat(np.arange(len(head)), size)
         # pairs of different components in each list
         by = np.lexsort((comp, group))
@@ -284,10 +321,46 @@ def merge_lists(query: int, n: int, passed: int, lists: list[np.ndarray]) -> Ite
         yield query, now
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    lists = [np.frombuffer(x, dtype=np.int64).reshape(4, -1) for x in rows.cands]
-    found = list(merge_lists(int(rows.q.iloc[0]), int(rows.n.iloc[0]), int(rows.passed.iloc[0]), lists))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs ``merge_lists`` for each query of rows q, n, passed, cands that are sorted by q."""
+    now, n, passed, lists = None, 0, 0, []
+    for batch in batches:
+        found = []
+        for q, m, skipped, cands in zip(*(c.to_pylist() for c in batch.columns)):
+            if q != now:
+                if lists:
+                    found.extend(merge_lists(now, n, passed, lists))
+                now, n, passed, lists = q, m, skipped, []
+            lists.append(np.frombuffer(cands, dtype=np.int64).reshape(4, -1))
+        yield _pairs(found)
+    if lists:
+        yield _pairs(list(merge_lists(now, n, passed, lists)))
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def _first_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n and the leading 32 bits of the hashes in the prefix."""
+    for batch in batches:
+        out = [(_from_short(h.as_buffer())[: prefix_length(n)] >> np.uint64(32)).astype(np.uint32).tobytes() for n, h in zip(batch.column(1).to_pylist(), batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "n", "first"])
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops pairs of which more is unshared below the end of the first prefix to end than linked sets can have."""
+    for batch in batches:
+        keep = []
+        for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+            end = min(x[-1], y[-1])
+            x, y = x[: np.searchsorted(x, end)], y[: np.searchsorted(y, end)]
+            # equal leading bits of different hashes only make for more shared ones
+            shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+            keep.append(len(x) + len(y) - 2 * shared <= n + m - 2 * least_overlap(n, m))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _first_round(n: int, head: np.ndarray):
@@ -326,7 +399,7 @@ def _passed(long: np.ndarray):
         for batch in batches:
             passed, short = [], []
             for n, head in zip(batch.column(1).to_pylist(), batch.column(2)):
-                last = _is_long(np.frombuffer(head.as_buffer(), dtype=np.uint64), long)
+                last = _is_long(_from_short(head.as_buffer()), long)
                 others = np.flatnonzero(~last)[: prefix_length(n)]
                 short.append(len(others) < prefix_length(n) and len(last) < n)
                 passed.append(int(last.sum()) if len(others) < prefix_length(n) else int(last[: others[-1]].sum()))
@@ -338,7 +411,7 @@ def _passed(long: np.ndarray):
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        heads = [np.unique(shingle_hashes(w)).tobytes() for w in words_by_row(batch.column(3))]
+        heads = [_short_hashes(np.unique(shingle_hashes(w))) for w in words_by_row(batch.column(3))]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(heads, pa.binary())], names=["doc_id", "comp", "n", "head"])
 
 
@@ -353,20 +426,22 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = real.select("doc_id", "digest").join(same.filter("copies > 1"), "digest").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = settled(copies)
-    reps = real.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    near = settled(_verified(docs, _stars(reps)))
-    comps = components(near)
-    # a head is left out where a copy in the same task had it, which is never a smaller doc_id's only one
-    labelled = settled(
-        reps.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "head", "digest")
-    )
-    lost = labelled.filter("head is null")
-    if not lost.isEmpty():
-        heads = real.filter("head is not null").join(lost.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("head").alias("head"))
-        labelled = labelled.filter("head is not null").unionByName(lost.drop("head").join(heads, "digest"))
+    others, small_copies = _sized(copies.select(F.col("a").alias("doc_id")))
+    reps = real.join(others, "doc_id", "left_anti")
+    near = settled(_verified(docs, settled(_stars(reps.drop("head")))))
+    comps, small_comps = _sized(settled(components(near).withColumnRenamed("node", "doc_id")))
+    labelled = reps.join(comps, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "head", "digest")
+    # a head is left out where its task had it already, from a copy with a larger doc_id
+    lost = settled(labelled.filter("head is null"))
+    digests, few = _sized(lost.select("digest"))
+    if not (few and lost.isEmpty()):
+        heads = real.filter("head is not null").join(digests, "digest", "left_semi").groupBy("digest").agg(F.first("head").alias("head"))
+        labelled = labelled.filter("head is not null").unionByName(settled(lost.drop("head").join(heads, "digest")))
     labelled = labelled.drop("digest")
+    if not (small_copies and small_comps):
+        labelled = settled(labelled)
     total = labelled.agg(F.sum(F.length("head"))).first()[0] or 0
-    blocks = max(8, math.ceil(total / 8 / BLOCK))
+    blocks = max(8, math.ceil(total / 6 / 1.4 / BLOCK))
 
     def lists(chosen, *scan) -> DataFrame:
         packed = labelled.mapInArrow(_pack(blocks, chosen), _PACKED)
@@ -393,8 +468,15 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             keep = _fresh_filter(labelled, long)
             more = lists(_second_round(long, keep), 0, 1 << 62, False, True)
             short = short.drop("passed").unionByName(more).join(passed.select("q", "passed"), "q", "left").fillna(0, ["passed"])
-    cands = short.groupBy("q").applyInPandas(_merge, "a long, b long")
-    return sig, copies.unionByName(near).unionByName(_verified(docs, cands))
+    queries = short.select("q", "n", "passed", "cands").repartition("q").sortWithinPartitions("q")
+    cands = settled(queries.mapInArrow(_merge, "a long, b long"))
+    first = labelled.select("doc_id", "n", "head").mapInArrow(_first_hashes, "doc_id long, n long, first binary")
+    ids, small = _sized(settled(cands.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    first = settled(first.join(ids, "doc_id", "left_semi") if small else first)
+    a, b = (first.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("first").alias(f"first_{k}")) for k in "ab")
+    both = cands.join(a, "a").join(b, "b").select("a", "b", "n_a", "first_a", "n_b", "first_b")
+    likely = settled(both.mapInArrow(_may_link, "a long, b long"))
+    return sig, copies.unionByName(near).unionByName(_verified(docs, likely))
 
 
 def _fresh_filter(labelled: DataFrame, long: np.ndarray) -> np.ndarray:
@@ -405,7 +487,7 @@ def _fresh_filter(labelled: DataFrame, long: np.ndarray) -> np.ndarray:
         bits = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
         for batch in batches:
             for n, head in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t, _, fresh = chosen(n, np.frombuffer(head.as_buffer(), dtype=np.uint64))
+                t, _, fresh = chosen(n, _from_short(head.as_buffer()))
                 bit = (t[fresh] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 np.bitwise_or.at(bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
         words = bits.view(np.int64)
