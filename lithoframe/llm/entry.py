@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_join, sharding, topk_search, warc
+from lithoframe.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_join, pii, sharding, topk_search, warc
 from lithoframe.llm.storage import settled
 
 
@@ -54,6 +54,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     return chat.digests(settled(chat.formatted(_table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more))))
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_sharding": op4_sharding,
         "op5_warc": op5_warc,
+        "op6_pii": op6_pii,
         "op7_chat": op7_chat,
         "op8_mixing": op8_mixing,
         "op9_exact_topk": op9_exact_topk,
