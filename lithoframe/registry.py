@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lithoframe.plans import QUERIES, SQL, Query, catalogue, connections, geometry, grid, lines, scaling, surfaces, timeseries, wells  # noqa: F401
 
-FLAGSHIP = "cell_volume_by_region"
+FLAGSHIP = "grid_transmissibility"
 
 
-def queries() -> dict[str, Callable]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
