@@ -33,7 +33,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ from lithoframe.llm.storage import settled
 from lithoframe.llm.text import mix, shingle_hashes, words_by_row
 
 #: Postings in a block of inverted lists, on average.
-BLOCK = 1_000_000
+BLOCK = 400_000
 #: A list that gives more pairs than this is long.
 LONG = 2048
 #: Long lists that are told to all tasks (8 bytes each); any beyond are merged like short ones.
@@ -54,6 +53,8 @@ _NUM, _DEN = 3, 4
 
 #: Tables of at most so many rows are sent to all tasks for joins with the documents; larger ones are shuffled.
 SENT_ROWS = 400_000
+#: Documents that are verified against each other in one go.
+TOGETHER = 64
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -127,33 +128,51 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _both(pairs: DataFrame, *more: str) -> DataFrame:
+    """Each pair from either side: doc_id and its partner m."""
+    return pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("m"), *more).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("m"), *more))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link, by their whole sets."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
-    ids, small = _sized(settled(need.select("doc_id").distinct()))
+    """Those of ``pairs(a, b)`` that link, by their whole sets.
+
+    Documents are put into blocks of about ``TOGETHER`` that have the same smallest
+    partner, and pairs are verified by pair of blocks: a text is sent once for each
+    block that it meets instead of once for each pair.
+    """
+    homes = _both(pairs).groupBy("doc_id").agg(F.min("m").alias("m")).select("doc_id", F.least("doc_id", "m").alias("home"))
+    homes = settled(homes)
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    blocks = settled(homes.join(sizes, "home").select("doc_id", block.alias("block")))
+    sent, small = _sized(blocks)
+    a, b = (sent.select(F.col("doc_id").alias(k), F.col("block").alias(f"block_{k}")) for k in "ab")
+    met = pairs.join(a, "a").join(b, "b")
+    met = settled(met.select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("key")))
+    need = _both(met, "key").select("key", "doc_id").distinct()
     texts = docs.select("doc_id", "text")
-    both = (
-        (texts.join(ids, "doc_id", "left_semi") if small else texts)
-        .join(need, "doc_id")
-        .groupBy("a", "b")
-        .agg(F.collect_list("text").alias("texts"))
-    )
+    texts = (texts.join(sent.select("doc_id"), "doc_id", "left_semi") if small else texts).join(need, "doc_id")
+    rows = texts.select("key", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(met.select("key", "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
         for batch in batches:
-            sets = [np.unique(shingle_hashes(w)) for w in words_by_row(batch.column(2).flatten())]
-            ends = np.cumsum([0, *pc.list_value_length(batch.column(2)).to_pylist()])
-            keep = []
-            for k in range(batch.num_rows):
-                q, c = sorted(sets[ends[k] : ends[k + 1]], key=len)
+            found = []
+            for key, x, y, words in zip(*(batch.column(k).to_pylist() for k in range(3)), words_by_row(batch.column(3))):
+                if key != now:
+                    now, sets = key, {}
+                if y is None:
+                    sets[x] = np.unique(shingle_hashes(words))
+                    continue
+                q, c = sorted((sets[x], sets[y]), key=len)
                 # binary search of the shorter list in the longer one
-                at = np.searchsorted(c, q)
-                shared = int((c[np.minimum(at, len(c) - 1)] == q).sum()) if len(q) else 0
-                keep.append(shared > 0 and 100 * shared >= 75 * (len(q) + len(c) - shared))
-            out = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
+                shared = int((c[np.minimum(np.searchsorted(c, q), len(c) - 1)] == q).sum()) if len(q) else 0
+                if shared and 100 * shared >= 75 * (len(q) + len(c) - shared):
+                    found.append((x, y))
+            yield _pairs(found)
 
-    return both.mapInArrow(run, "a long, b long")
+    # within a key texts come first, then the pairs to verify
+    return rows.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _stars(reps: DataFrame) -> DataFrame:
@@ -263,7 +282,7 @@ def _scan(above: int, most: int, naming: bool, fresh_only: bool):
     return run
 
 
-def _slices(size: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _slices(size: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of lists with about ``most`` pairs each, so that a block's pairs are never held at once."""
     total = np.cumsum(size.astype(float) * (size - 1) / 2)
     at = 0
@@ -277,7 +296,7 @@ def _partners(head, size, doc, comp, n, rank, fresh) -> Iterator[tuple]:
     """Pairs in the given lists, by query: partner, its size and the ranks of the shared hash in either set."""
     group, within = _expand(size)
     member = head[group] + within
-    step = max(1, 2_000_000 // int(size.max()))
+    step = max(1, 500_000 // int(size.max()))
     for lo in range(0, len(member), step):
         m, w = member[lo : lo + step], within[lo : lo + step]
         group, nth = _expand(w)
@@ -342,27 +361,6 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _first_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n and the leading 32 bits of the hashes in the prefix."""
-    for batch in batches:
-        out = [(_from_short(h.as_buffer())[: prefix_length(n)] >> np.uint64(32)).astype(np.uint32).tobytes() for n, h in zip(batch.column(1).to_pylist(), batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "n", "first"])
-
-
-def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops pairs of which more is unshared below the end of the first prefix to end than linked sets can have."""
-    for batch in batches:
-        keep = []
-        for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-            x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-            end = min(x[-1], y[-1])
-            x, y = x[: np.searchsorted(x, end)], y[: np.searchsorted(y, end)]
-            # equal leading bits of different hashes only make for more shared ones
-            shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-            keep.append(len(x) + len(y) - 2 * shared <= n + m - 2 * least_overlap(n, m))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _first_round(n: int, head: np.ndarray):
     t = head[: prefix_length(n)]
     return t, np.arange(len(t)), np.ones(len(t), dtype=bool)
@@ -470,13 +468,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             short = short.drop("passed").unionByName(more).join(passed.select("q", "passed"), "q", "left").fillna(0, ["passed"])
     queries = short.select("q", "n", "passed", "cands").repartition("q").sortWithinPartitions("q")
     cands = settled(queries.mapInArrow(_merge, "a long, b long"))
-    first = labelled.select("doc_id", "n", "head").mapInArrow(_first_hashes, "doc_id long, n long, first binary")
-    ids, small = _sized(settled(cands.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-    first = settled(first.join(ids, "doc_id", "left_semi") if small else first)
-    a, b = (first.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("first").alias(f"first_{k}")) for k in "ab")
-    both = cands.join(a, "a").join(b, "b").select("a", "b", "n_a", "first_a", "n_b", "first_b")
-    likely = settled(both.mapInArrow(_may_link, "a long, b long"))
-    return sig, copies.unionByName(near).unionByName(_verified(docs, likely))
+    return sig, copies.unionByName(near).unionByName(_verified(docs, cands))
 
 
 def _fresh_filter(labelled: DataFrame, long: np.ndarray) -> np.ndarray:
@@ -524,3 +516,17 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = docs.groupBy("doc_id").count().filter("count > 1")
     return docs if repeated.isEmpty() else docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: that with the smallest doc_id.
+
+    Documents without words and rows of a null doc_id stay. Of rows that share a doc_id
+    one stays, with the greatest text.
+    """
+    once = docs
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        best = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+        once = settled(docs.filter("doc_id is null").unionByName(best))
+    gone = ngram_components(once).filter("component_id <> doc_id").select("doc_id")
+    return once.join(_sized(settled(gone))[0], "doc_id", "left_anti").select(*docs.columns)
