@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.llm.storage import settled
+
 SHARD_BYTES = 1 << 20
 _WIDTH = 60
 _MOST = 2 * _WIDTH
@@ -55,23 +57,20 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     start, depth = 0, min(_MOST, max(0, math.ceil(math.log2(max(1, total / limit)))) + 3)
     done, open_rows = None, keyed
     while True:
-        cells = open_rows.groupBy(F.substring("__bits", 1, depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+        cells = open_rows.groupBy(F.substring("__bits", 1, depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), (F.min("__bits") == F.max("__bits")).alias("one"))
         leaves = _leaves(cells, start, depth, limit)
-        if depth < _MOST:
-            # a single row can't be split, however many bits are added
-            alone = cells.filter((F.col("bytes") > limit) & (F.col("n") == 1)).select("cell", F.col("bytes").alias("alone"))
-        else:
-            alone = cells.filter(F.col("bytes") > limit).select("cell", F.col("bytes").alias("alone"))
+        # rows with all bits in common can't be split, however many are looked at
+        alone = cells.filter((F.col("bytes") > limit) & F.col("one")).select("cell", F.col("bytes").alias("alone"))
         leaves = leaves.join(alone, "cell", "left").select(
             "cell", F.coalesce("shard", F.when(F.col("alone").isNotNull(), F.col("cell"))).alias("shard"), F.coalesce("shard_bytes", "alone").alias("shard_bytes")
         )
         placed = open_rows.withColumn("cell", F.substring("__bits", 1, depth)).join(leaves, "cell").drop("cell")
-        still = depth < _MOST and not cells.filter((F.col("bytes") > limit) & (F.col("n") > 1)).isEmpty()
+        still = not cells.filter((F.col("bytes") > limit) & ~F.col("one")).isEmpty()
         part = (placed.filter("shard is not null") if still else placed).drop("__bits")
         done = part if done is None else done.unionByName(part)
         if not still:
             return done.select(*rest, "shard", "bytes", "shard_bytes")
-        open_rows = placed.filter("shard is null").drop("shard", "shard_bytes")
+        open_rows = settled(placed.filter("shard is null").drop("shard", "shard_bytes"))
         start, depth = depth + 1, min(_MOST, depth + 8)
 
 
