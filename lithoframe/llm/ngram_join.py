@@ -11,16 +11,16 @@ by binary search for candidates that remain.
 Steps, none of which has a task, broadcast or driver state that grows with a group:
 
 1. ``signatures``: one pass over the texts; per document the set's size, its digest, its
-   four smallest hashes and the first third of the hashes in order.
+   smallest hashes and the first third of the hashes in order.
 2. Copies: equal digests are one vertex (grouped minimum).
-3. Stars: documents that share two of their four smallest hashes with the smallest
-   document of a hash are verified against it alone, so that a family of near copies
-   costs as many comparisons as it has members; verified links give components.
+3. Families: documents whose smallest hashes vote for the same document share blocks of
+   bounded size; each block is verified against that of the document voted for, so that
+   a family of near copies costs in proportion to its members; links give components.
 4. Inverted lists: dealt by hash range into blocks of bounded size. Lists that would
    give more than ``LONG`` pairs of different components are named long instead.
 5. With long lists known, the documents that hold them go on to their next shingles.
-6. ``merge_lists`` merges the short lists of a document and counts occurrences; what
-   may still reach T is verified on the whole sets by binary search.
+6. ``merge_lists`` merges the short lists of a document and counts occurrences; where
+   a partner may still reach T, the two blocks are verified on whole sets.
 7. Connected components over all verified links.
 """
 
@@ -53,6 +53,8 @@ _NUM, _DEN = 3, 4
 
 #: Tables of at most so many rows are sent to all tasks for joins with the documents; larger ones are shuffled.
 SENT_ROWS = 400_000
+#: Smallest hashes of a set by which families are gathered.
+LOW = 6
 #: Documents that are verified against each other in one go.
 TOGETHER = 64
 
@@ -102,7 +104,7 @@ _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binar
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n, digest, low (its four smallest hashes) and head (its first hashes, packed) of each document."""
+    """doc_id, n, digest, low (its smallest hashes) and head (its first hashes, packed) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -114,7 +116,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 d = np.array([place.sum(dtype=np.uint64), np.bitwise_xor.reduce(s) if len(s) else 0, len(s)], dtype=np.uint64).tobytes()
                 sizes.append(len(s))
                 digests.append(d)
-                lows.append(s[:4].view(np.int64))
+                lows.append(s[:LOW].view(np.int64))
                 heads.append(None if d in seen else _short_hashes(s[: reserve_length(len(s))]))
                 if len(seen) < 200_000:
                     seen.add(d)
@@ -128,66 +130,107 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _both(pairs: DataFrame, *more: str) -> DataFrame:
-    """Each pair from either side: doc_id and its partner m."""
-    return pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("m"), *more).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("m"), *more))
+def _blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and block of each document, and the pairs of blocks (a, b) to look at first.
+
+    Each of a document's smallest hashes votes for the smallest document that has it; the
+    document's home is the one with most votes, its own number if no other has more.
+    Documents of one home and a like size are dealt into blocks of about ``TOGETHER``.
+    Families of near copies thus come together, however large; the blocks only decide
+    what is sent together, not what links.
+    """
+    low = reps.select("doc_id", F.explode("low").alias("h"))
+    first = low.groupBy("h").agg(F.min("doc_id").alias("home"))
+    votes = low.join(first, "h").groupBy("doc_id", "home").agg(F.count("*").alias("votes"))
+    order = F.struct(-F.col("votes"), (F.col("home") != F.col("doc_id")).cast("int"), F.col("home"))
+    homes = settled(votes.groupBy("doc_id").agg(F.min_by("home", order).alias("home")))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    dealt = homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    blocks = settled(dealt.select("doc_id", "home", F.xxhash64("home", "part").alias("block")))
+    heads = blocks.filter("doc_id = home").select("home", F.col("block").alias("b"))
+    pairs = blocks.filter("doc_id <> home").join(heads, "home").select(F.col("block").alias("a"), "b").distinct()
+    return blocks.select("doc_id", "block"), pairs
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link, by their whole sets.
+def _links_among(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links between a few documents, as one star for each group that they connect.
 
-    Documents are put into blocks of about ``TOGETHER`` that have the same smallest
-    partner, and pairs are verified by pair of blocks: a text is sent once for each
-    block that it meets instead of once for each pair.
+    Overlaps are counted exactly: shared hashes as columns, documents as rows of 0 and 1,
+    multiplied in pieces; two documents alone by binary search of one set in the other.
     """
-    homes = _both(pairs).groupBy("doc_id").agg(F.min("m").alias("m")).select("doc_id", F.least("doc_id", "m").alias("home"))
-    homes = settled(homes)
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    blocks = settled(homes.join(sizes, "home").select("doc_id", block.alias("block")))
-    sent, small = _sized(blocks)
-    a, b = (sent.select(F.col("doc_id").alias(k), F.col("block").alias(f"block_{k}")) for k in "ab")
-    met = pairs.join(a, "a").join(b, "b")
-    met = settled(met.select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("key")))
-    need = _both(met, "key").select("key", "doc_id").distinct()
+    n = len(ids)
+    size = np.array([len(s) for s in sets])
+    if n == 2:
+        q, c = sorted(sets, key=len)
+        shared = int((c[np.minimum(np.searchsorted(c, q), len(c) - 1)] == q).sum()) if len(q) else 0
+        if shared and 100 * shared >= 75 * (len(q) + len(c) - shared):
+            yield max(ids), min(ids)
+        return
+    token, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1
+    owner, column = owner[often], column[often]
+    shared = np.zeros((n, n), dtype=np.float64)
+    if len(column):
+        column = np.cumsum(np.diff(column, prepend=column[0]) != 0)
+        step = max(256, 2_000_000 // n)
+        for lo in range(0, int(column[-1]) + 1, step):
+            a, b = np.searchsorted(column, [lo, lo + step])
+            m = np.zeros((n, step), dtype=np.float32)
+            m[owner[a:b], column[a:b] - lo] = 1
+            shared += m @ m.T
+    linked = (shared > 0) & (100 * shared >= 75 * (size[:, None] + size[None, :] - shared))
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in np.argwhere(np.triu(linked, 1)).tolist():
+        root[find(x)] = find(y)
+    least: dict[int, int] = {}
+    for k in range(n):
+        r = find(k)
+        least[r] = min(least.get(r, ids[k]), ids[k])
+    for k in range(n):
+        if ids[k] != least[find(k)]:
+            yield ids[k], least[find(k)]
+
+
+def _verified(docs: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links a, b that connect all documents that link within ``pairs(a, b)`` of blocks, by their whole sets.
+
+    A text is sent once for each block that its own block meets.
+    """
+    key = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+    met = pairs.select(key.alias("key"), "a", "b").dropDuplicates(["key"])
+    sides = met.select("key", F.col("a").alias("block")).unionByName(met.filter("a <> b").select("key", F.col("b").alias("block")))
+    need = settled(sides.join(blocks, "block").select("key", "doc_id"))
+    ids, small = _sized(settled(need.select("doc_id").distinct()))
     texts = docs.select("doc_id", "text")
-    texts = (texts.join(sent.select("doc_id"), "doc_id", "left_semi") if small else texts).join(need, "doc_id")
-    rows = texts.select("key", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(met.select("key", "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = (texts.join(ids, "doc_id", "left_semi") if small else texts).join(need, "doc_id").select("key", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets = None, {}
+        now, ids, sets = None, [], []
         for batch in batches:
             found = []
-            for key, x, y, words in zip(*(batch.column(k).to_pylist() for k in range(3)), words_by_row(batch.column(3))):
+            for key, doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words_by_row(batch.column(2))):
                 if key != now:
-                    now, sets = key, {}
-                if y is None:
-                    sets[x] = np.unique(shingle_hashes(words))
-                    continue
-                q, c = sorted((sets[x], sets[y]), key=len)
-                # binary search of the shorter list in the longer one
-                shared = int((c[np.minimum(np.searchsorted(c, q), len(c) - 1)] == q).sum()) if len(q) else 0
-                if shared and 100 * shared >= 75 * (len(q) + len(c) - shared):
-                    found.append((x, y))
+                    if len(ids) > 1:
+                        found.extend(_links_among(ids, sets))
+                    now, ids, sets = key, [], []
+                ids.append(doc)
+                sets.append(np.unique(shingle_hashes(words)))
             yield _pairs(found)
+        if len(ids) > 1:
+            yield _pairs(list(_links_among(ids, sets)))
 
-    # within a key texts come first, then the pairs to verify
-    return rows.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
-
-
-def _stars(reps: DataFrame) -> DataFrame:
-    """Pairs of a document and the smallest one in the list of each of its four smallest hashes, if two lists agree."""
-    size = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3))
-    low = reps.select("doc_id", size.alias("size"), F.explode("low").alias("h"))
-    first = low.groupBy("h", "size").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1")
-    return (
-        low.join(first, ["h", "size"])
-        .filter("doc_id > b")
-        .groupBy(F.col("doc_id").alias("a"), "b")
-        .agg(F.count("*").alias("hits"))
-        .filter("hits >= 2")
-        .select("a", "b")
-    )
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pack(blocks: int, chosen) -> callable:
@@ -195,9 +238,9 @@ def _pack(blocks: int, chosen) -> callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, comps, sizes = (np.asarray(batch.column(k)) for k in range(3))
+            ids, comps, sizes, homes = (np.asarray(batch.column(k)) for k in range(4))
             tokens, rank, new, row = [], [], [], []
-            for k, head in enumerate(batch.column(3)):
+            for k, head in enumerate(batch.column(4)):
                 n = int(sizes[k])
                 t, i, fresh = chosen(n, _from_short(head.as_buffer()))
                 tokens.append(t)
@@ -221,7 +264,7 @@ def _pack(blocks: int, chosen) -> callable:
                 out["ranks"].append(_planes(i[a:b].astype(np.int32)))
                 out["fresh"].append(np.packbits(f[a:b]).tobytes())
                 out["runs"].append(_planes(np.diff(at, append=b - a).astype(np.int32)))
-                out["docs"].append(_planes(np.concatenate([np.diff(ids[who], prepend=0), comps[who] - ids[who], sizes[who]])))
+                out["docs"].append(_planes(np.concatenate([np.diff(ids[who], prepend=0), comps[who] - ids[who], sizes[who], homes[who]])))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("tokens", "ranks", "fresh", "runs", "docs"))]))
 
     return run
@@ -236,22 +279,22 @@ def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-_FOUND = "kind string, q long, n long, cands binary"
+_FOUND = "kind string, q long, n long, home long, cands binary"
 
 
-def _scan(above: int, most: int, naming: bool, fresh_only: bool):
+def _scan(above: int, most: int, naming: bool, fresh_only: bool, listing: bool = True):
     """Reads the inverted lists of a block: those that give over ``above`` and up to ``most`` pairs of different
     components give each query its partners; with ``naming``, longer ones are named (q: the hash, n: its pairs)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def block(rows: pd.DataFrame) -> Iterator[tuple]:
         token = whole = np.concatenate([_whole_numbers(x, np.uint64) for x in rows.tokens])
         rank = np.concatenate([_whole_numbers(x, np.int32) for x in rows.ranks]).astype(np.int64)
         fresh = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(t) // 8) for x, t in zip(rows.fresh, rows.tokens)]).astype(bool)
         info = []
         for docs, runs in zip(rows.docs, rows.runs):
-            step, comp, n = _whole_numbers(docs, np.int64).reshape(3, -1)
+            step, comp, n, home = _whole_numbers(docs, np.int64).reshape(4, -1)
             ids = np.cumsum(step)
-            info.append(np.repeat(np.stack([ids, ids + comp, n]), _whole_numbers(runs, np.int32), axis=1))
+            info.append(np.repeat(np.stack([ids, ids + comp, n, home]), _whole_numbers(runs, np.int32), axis=1))
         info = np.concatenate(info, axis=1)
         order = np.lexsort((info[0], token))
         token = token[order]
@@ -260,7 +303,7 @@ def _scan(above: int, most: int, naming: bool, fresh_only: bool):
         order = order[np.repeat(size > 1, size)]
         size = size[size > 1]
         head = np.cumsum(size) - size
-        rank, fresh, (doc, comp, n) = rank[order], fresh[order], info[:, order]
+        rank, fresh, (doc, comp, n, home) = rank[order], fresh[order], info[:, order]
         token = whole[order]
         group = np.repeat(np.arange(len(head)), size)
         # pairs of different components in each list
@@ -269,19 +312,53 @@ def _scan(above: int, most: int, naming: bool, fresh_only: bool):
         same = np.diff(change, append=len(by))
         inside = np.bincount(group[by][change], weights=same.astype(float) ** 2, minlength=len(head))
         pairs = ((size.astype(float) ** 2 - inside) / 2).astype(np.int64)
-        found = []
         if naming:
             for g in np.flatnonzero(pairs > most):
-                found.append(("long", int(token[head[g]].view(np.int64)), int(pairs[g]), b""))
-        use = (pairs > above) & (pairs <= most)
+                yield "long", int(token[head[g]].view(np.int64)), int(pairs[g]), 0, b""
+        use = (pairs > above) & (pairs <= most) & listing
         head, size = head[use], size[use]
         for g0, g1 in _slices(size):
-            found.extend(_partners(head[g0:g1], size[g0:g1], doc, comp, n, rank, fresh if fresh_only else None))
-        return pd.DataFrame(found, columns=["kind", "q", "n", "cands"])
+            yield from _partners(head[g0:g1], size[g0:g1], doc, comp, n, home, rank, fresh if fresh_only else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come one after the other; only one is held, and what it gives goes out in pieces."""
+        for rows in _by_first(batches):
+            found, size = [], 0
+            for row in block(rows):
+                found.append(row)
+                size += 64 + len(row[4])
+                if size > 4 << 20:
+                    yield _found(found)
+                    found, size = [], 0
+            yield _found(found)
 
     return run
 
 
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["kind", "q", "n", "home", "cands"])
+
+
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of each value of the first column, by which they are sorted."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if keys[a] != now and held:
+                yield pa.Table.from_batches(held).to_pandas()
+                held = []
+            now = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).to_pandas()
+
+
 def _slices(size: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of lists with about ``most`` pairs each, so that a block's pairs are never held at once."""
     total = np.cumsum(size.astype(float) * (size - 1) / 2)
@@ -292,7 +369,7 @@ def _slices(size: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _partners(head, size, doc, comp, n, rank, fresh) -> Iterator[tuple]:
+def _partners(head, size, doc, comp, n, home, rank, fresh) -> Iterator[tuple]:
     """Pairs in the given lists, by query: partner, its size and the ranks of the shared hash in either set."""
     group, within = _expand(size)
     member = head[group] + within
@@ -313,47 +390,45 @@ def _partners(head, size, doc, comp, n, rank, fresh) -> Iterator[tuple]:
             continue
         cut = np.flatnonzero(np.diff(doc[x], prepend=doc[x[0]] - 1))
         for a, b in zip(cut, np.append(cut[1:], len(x))):
-            yield ("short", int(doc[x[a]]), int(n[x[a]]), np.stack([doc[y[a:b]], n[y[a:b]], rank[x[a:b]], rank[y[a:b]]]).tobytes())
+            # a partner met in several lists counts them, and keeps the last ranks
+            at = np.flatnonzero(np.diff(doc[y[a:b]], prepend=doc[y[a]] - 1))
+            hits = np.diff(at, append=b - a)
+            last = [np.maximum.reduceat(rank[v[a:b]], at) for v in (x, y)]
+            yield "short", int(doc[x[a]]), int(n[x[a]]), int(home[x[a]]), _planes(np.concatenate([doc[y[a:b]][at], n[y[a:b]][at], hits, *last, home[y[a:b]][at]]))
 
 
-def merge_lists(query: int, n: int, passed: int, lists: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """T-occurrence search for one query: heap-merges its short lists, each sorted by partner, and counts occurrences.
+def merge_lists(n: int, passed: int, lists: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """T-occurrence search for one query, giving partners with their blocks: heap-merges its short lists, each sorted by partner, and counts occurrences.
 
-    A list holds partner, the partner's size and the ranks of the shared hash in either
-    set; ``passed`` is how many long lists the query passed over. Up to where the first
+    A list holds partner, the partner's size, how many of the lists it stands for hold
+    it, the last ranks of the shared hashes in either set, and the partner's block; ``passed`` is how many long lists the query passed over. Up to where the first
     of the two prefixes ends, the two share what the short lists count and at most
     ``passed`` more, so a partner stays only if the others leave room for T.
     """
-    now, hits, mine, theirs, size = None, 0, 0, 0, 0
+    now, hits, mine, theirs, size, home = None, 0, 0, 0, 0, 0
 
     def stays() -> bool:
         seen = min(prefix_length(n) + theirs + 1, prefix_length(size) + mine + 1)
         return seen - 2 * (hits + passed) <= n + size - 2 * least_overlap(n, size)
 
-    for partner, m, i, j in heapq.merge(*(zip(*x.tolist()) for x in lists)):
+    for partner, m, count, i, j, block in heapq.merge(*(zip(*x.tolist()) for x in lists)):
         if partner != now:
             if now is not None and stays():
-                yield query, now
-            now, hits, mine, theirs, size = partner, 0, 0, 0, m
-        hits, mine, theirs = hits + 1, max(mine, i), max(theirs, j)
+                yield now, home
+            now, hits, mine, theirs, size, home = partner, 0, 0, 0, m, block
+        hits, mine, theirs = hits + count, max(mine, i), max(theirs, j)
     if now is not None and stays():
-        yield query, now
+        yield now, home
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs ``merge_lists`` for each query of rows q, n, passed, cands that are sorted by q."""
-    now, n, passed, lists = None, 0, 0, []
-    for batch in batches:
-        found = []
-        for q, m, skipped, cands in zip(*(c.to_pylist() for c in batch.columns)):
-            if q != now:
-                if lists:
-                    found.extend(merge_lists(now, n, passed, lists))
-                now, n, passed, lists = q, m, skipped, []
-            lists.append(np.frombuffer(cands, dtype=np.int64).reshape(4, -1))
-        yield _pairs(found)
-    if lists:
-        yield _pairs(list(merge_lists(now, n, passed, lists)))
+    """Runs ``merge_lists`` for each query of rows q, n, passed, home, cands that are sorted by q: pairs of blocks to verify."""
+    for rows in _by_first(batches):
+        n, passed, home = int(rows.n.iloc[0]), int(rows.passed.iloc[0]), int(rows.home.iloc[0])
+        lists = [_whole_numbers(x, np.int64).reshape(6, -1) for x in rows.cands]
+        met = {block for _, block in merge_lists(n, passed, lists)}
+        if met:
+            yield _pairs([(home, block) for block in sorted(met)])
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -409,8 +484,26 @@ def _passed(long: np.ndarray):
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        heads = [_short_hashes(np.unique(shingle_hashes(w))) for w in words_by_row(batch.column(3))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(heads, pa.binary())], names=["doc_id", "comp", "n", "head"])
+        heads = [_short_hashes(np.unique(shingle_hashes(w))) for w in words_by_row(batch.column(4))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(heads, pa.binary())], names=["doc_id", "comp", "n", "block", "head"])
+
+
+def _all_known(n: int, head: np.ndarray):
+    return head, np.arange(len(head)), np.zeros(len(head), dtype=bool)
+
+
+def _reaching(docs: DataFrame, labelled: DataFrame, long: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """``labelled`` with whole sets where the kept hashes end before a prefix without ``long`` lists does, and what each passes over."""
+    passed = settled(labelled.select("doc_id", "n", "head").mapInArrow(_passed(long), "q long, passed long, short boolean"))
+    ended = settled(passed.filter("short").select(F.col("q").alias("doc_id")))
+    if ended.isEmpty():
+        return labelled, passed
+    sent, small = _sized(ended)
+    texts = docs.select("doc_id", "text")
+    whole = (texts.join(sent, "doc_id", "left_semi") if small else texts).join(labelled.join(sent, "doc_id").select("doc_id", "comp", "n", "block"), "doc_id")
+    whole = settled(whole.select("doc_id", "comp", "n", "block", "text").mapInArrow(_whole, "doc_id long, comp long, n long, block long, head binary"))
+    again = whole.select("doc_id", "n", "head").mapInArrow(_passed(long), "q long, passed long, short boolean")
+    return labelled.join(sent, "doc_id", "left_anti").unionByName(whole), settled(passed.filter("not short").unionByName(again))
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -426,9 +519,11 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = settled(copies)
     others, small_copies = _sized(copies.select(F.col("a").alias("doc_id")))
     reps = real.join(others, "doc_id", "left_anti")
-    near = settled(_verified(docs, settled(_stars(reps.drop("head")))))
+    blocks, families = _blocks(reps.drop("head"))
+    near = settled(_verified(docs, blocks, families))
     comps, small_comps = _sized(settled(components(near).withColumnRenamed("node", "doc_id")))
-    labelled = reps.join(comps, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "head", "digest")
+    sent, small_blocks = _sized(blocks)
+    labelled = reps.join(comps, "doc_id", "left").join(sent, "doc_id").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "block", "head", "digest")
     # a head is left out where its task had it already, from a copy with a larger doc_id
     lost = settled(labelled.filter("head is null"))
     digests, few = _sized(lost.select("digest"))
@@ -436,14 +531,14 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         heads = real.filter("head is not null").join(digests, "digest", "left_semi").groupBy("digest").agg(F.first("head").alias("head"))
         labelled = labelled.filter("head is not null").unionByName(settled(lost.drop("head").join(heads, "digest")))
     labelled = labelled.drop("digest")
-    if not (small_copies and small_comps):
+    if not (small_copies and small_comps and small_blocks):
         labelled = settled(labelled)
     total = labelled.agg(F.sum(F.length("head"))).first()[0] or 0
-    blocks = max(8, math.ceil(total / 6 / 1.4 / BLOCK))
+    parts = max(8, math.ceil(total / 6 / 1.4 / BLOCK))
 
     def lists(chosen, *scan) -> DataFrame:
-        packed = labelled.mapInArrow(_pack(blocks, chosen), _PACKED)
-        return settled(packed.groupBy("block").applyInPandas(_scan(*scan), _FOUND))
+        packed = labelled.mapInArrow(_pack(parts, chosen), _PACKED)
+        return settled(packed.repartition("block").sortWithinPartitions("block").mapInArrow(_scan(*scan), _FOUND))
 
     found = lists(_first_round, 0, LONG, True, False)
     short = found.filter("kind = 'short'").withColumn("passed", F.lit(0))
@@ -454,21 +549,21 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if least > LONG:  # more than may be told: those that give the fewest pairs are merged like short ones
             short = short.unionByName(lists(_first_round, LONG, least, False, False).withColumn("passed", F.lit(0)))
         if len(long):
-            passed = settled(labelled.select("doc_id", "n", "head").mapInArrow(_passed(long), "q long, passed long, short boolean"))
-            ended = passed.filter("short").select(F.col("q").alias("doc_id"))
-            if not ended.isEmpty():
-                whole = labelled.join(ended, "doc_id").select("doc_id", "comp", "n").join(docs.select("doc_id", "text"), "doc_id")
-                whole = settled(whole.mapInArrow(_whole, "doc_id long, comp long, n long, head binary"))
-                rest = labelled.join(ended, "doc_id", "left_anti")
-                labelled = rest.unionByName(whole)
-                again = whole.select("doc_id", "n", "head").mapInArrow(_passed(long), "q long, passed long, short boolean")
-                passed = passed.filter("not short").unionByName(again)
+            labelled, passed = _reaching(docs, labelled, long)
+            # what those documents go on to may be in long lists too
+            near_long = labelled.join(_sized(passed.select(F.col("q").alias("doc_id")))[0], "doc_id", "left_semi")
+            packed = near_long.mapInArrow(_pack(parts, _all_known), _PACKED)
+            named = packed.repartition("block").sortWithinPartitions("block").mapInArrow(_scan(0, LONG, True, False, listing=False), _FOUND)
+            more = [r.q for r in named.orderBy(F.desc("n"), "q").limit(max(0, MOST_LONG - len(long))).select("q").collect()]
+            if more:
+                long = np.union1d(long, np.array(more, dtype=np.int64).view(np.uint64))
+                labelled, passed = _reaching(docs, labelled, long)
             keep = _fresh_filter(labelled, long)
             more = lists(_second_round(long, keep), 0, 1 << 62, False, True)
             short = short.drop("passed").unionByName(more).join(passed.select("q", "passed"), "q", "left").fillna(0, ["passed"])
-    queries = short.select("q", "n", "passed", "cands").repartition("q").sortWithinPartitions("q")
+    queries = short.select("q", "n", "passed", "home", "cands").repartition("q").sortWithinPartitions("q")
     cands = settled(queries.mapInArrow(_merge, "a long, b long"))
-    return sig, copies.unionByName(near).unionByName(_verified(docs, cands))
+    return sig, copies.unionByName(near).unionByName(_verified(docs, blocks, cands))
 
 
 def _fresh_filter(labelled: DataFrame, long: np.ndarray) -> np.ndarray:
