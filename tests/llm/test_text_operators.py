@@ -116,7 +116,9 @@ def test_merge_lists_counts_occurrences():
     # sets of 20 may have 4 unshared hashes in all: with 4, one shared of the first 9 leaves 7
     assert list(ngram_join.merge_lists(20, 0, lists)) == [(1, 7)]
     # two long lists passed over may hold two more shared ones
-    assert list(ngram_join.merge_lists(20, 2, lists)) == [(1, 7), (4, 8)]
+    # (9: of at least 10 hashes seen 2 * 3 may be shared, which leaves the 4 that are allowed)
+    assert list(ngram_join.merge_lists(20, 2, lists)) == [(1, 7), (4, 8), (9, 9)]
+    assert list(ngram_join.merge_lists(20, 1, lists)) == [(1, 7)]
 
 
 def test_prefixes_are_enough():
