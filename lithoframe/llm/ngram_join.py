@@ -19,8 +19,9 @@ Steps, none of which has a task, broadcast or driver state that grows with a gro
 4. Inverted lists: dealt by hash range into blocks of bounded size. Lists that would
    give more than ``LONG`` pairs of different components are named long instead.
 5. With long lists known, the documents that hold them go on to their next shingles.
-6. ``merge_lists`` merges the short lists of a document and counts occurrences; where
-   a partner may still reach T, the two blocks are verified on whole sets.
+6. ``merge_lists`` merges the short lists of a document and counts occurrences. A region
+   of small hashes that both prefixes cover tells how many hashes the two sets do not
+   share; where a partner may still reach T, the two blocks are verified on whole sets.
 7. Connected components over all verified links.
 """
 
@@ -57,6 +58,8 @@ SENT_ROWS = 400_000
 LOW = 6
 #: Documents that are verified against each other in one go.
 TOGETHER = 64
+#: Regions of small hashes, as shares of all hashes; a prefix holds a quarter of its set.
+REGIONS = (np.array([0.17, 0.20, 0.22, 0.235]) * 2.0**48).astype(np.uint64) << np.uint64(16)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -233,6 +236,12 @@ def _verified(docs: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
+def region_counts(n: int, head: np.ndarray) -> np.ndarray:
+    """How many hashes a set has in each of ``REGIONS``; -1 where its prefix ends before the region does."""
+    count = np.searchsorted(head, REGIONS)
+    return np.where(count <= prefix_length(n), count, -1)
+
+
 def _pack(blocks: int, chosen) -> callable:
     """Deals the hashes that ``chosen(doc row, head)`` gives into blocks; one packed row for each block and batch."""
 
@@ -240,9 +249,11 @@ def _pack(blocks: int, chosen) -> callable:
         for batch in batches:
             ids, comps, sizes, homes = (np.asarray(batch.column(k)) for k in range(4))
             tokens, rank, new, row = [], [], [], []
+            regions = np.zeros((len(REGIONS), len(ids)), dtype=np.int64)
             for k, head in enumerate(batch.column(4)):
-                n = int(sizes[k])
-                t, i, fresh = chosen(n, _from_short(head.as_buffer()))
+                n, hashes = int(sizes[k]), _from_short(head.as_buffer())
+                regions[:, k] = region_counts(n, hashes)
+                t, i, fresh = chosen(n, hashes)
                 tokens.append(t)
                 rank.append(i)
                 new.append(fresh)
@@ -264,7 +275,7 @@ def _pack(blocks: int, chosen) -> callable:
                 out["ranks"].append(_planes(i[a:b].astype(np.int32)))
                 out["fresh"].append(np.packbits(f[a:b]).tobytes())
                 out["runs"].append(_planes(np.diff(at, append=b - a).astype(np.int32)))
-                out["docs"].append(_planes(np.concatenate([np.diff(ids[who], prepend=0), comps[who] - ids[who], sizes[who], homes[who]])))
+                out["docs"].append(_planes(np.concatenate([np.diff(ids[who], prepend=0), comps[who] - ids[who], sizes[who], homes[who], *regions[:, who]])))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("tokens", "ranks", "fresh", "runs", "docs"))]))
 
     return run
@@ -292,9 +303,9 @@ def _scan(above: int, most: int, naming: bool, fresh_only: bool, listing: bool =
         fresh = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(t) // 8) for x, t in zip(rows.fresh, rows.tokens)]).astype(bool)
         info = []
         for docs, runs in zip(rows.docs, rows.runs):
-            step, comp, n, home = _whole_numbers(docs, np.int64).reshape(4, -1)
+            step, comp, *others = _whole_numbers(docs, np.int64).reshape(4 + len(REGIONS), -1)
             ids = np.cumsum(step)
-            info.append(np.repeat(np.stack([ids, ids + comp, n, home]), _whole_numbers(runs, np.int32), axis=1))
+            info.append(np.repeat(np.stack([ids, ids + comp, *others]), _whole_numbers(runs, np.int32), axis=1))
         info = np.concatenate(info, axis=1)
         order = np.lexsort((info[0], token))
         token = token[order]
@@ -303,7 +314,7 @@ def _scan(above: int, most: int, naming: bool, fresh_only: bool, listing: bool =
         order = order[np.repeat(size > 1, size)]
         size = size[size > 1]
         head = np.cumsum(size) - size
-        rank, fresh, (doc, comp, n, home) = rank[order], fresh[order], info[:, order]
+        rank, fresh, (doc, comp, n, home, *regions) = rank[order], fresh[order], info[:, order]
         token = whole[order]
         group = np.repeat(np.arange(len(head)), size)
         # pairs of different components in each list
@@ -318,7 +329,7 @@ def _scan(above: int, most: int, naming: bool, fresh_only: bool, listing: bool =
         use = (pairs > above) & (pairs <= most) & listing
         head, size = head[use], size[use]
         for g0, g1 in _slices(size):
-            yield from _partners(head[g0:g1], size[g0:g1], doc, comp, n, home, rank, fresh if fresh_only else None)
+            yield from _partners(head[g0:g1], size[g0:g1], doc, comp, n, home, regions, rank, fresh if fresh_only else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks come one after the other; only one is held, and what it gives goes out in pieces."""
@@ -369,8 +380,9 @@ def _slices(size: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _partners(head, size, doc, comp, n, home, rank, fresh) -> Iterator[tuple]:
-    """Pairs in the given lists, by query: partner, its size and the ranks of the shared hash in either set."""
+def _partners(head, size, doc, comp, n, home, regions, rank, fresh) -> Iterator[tuple]:
+    """Pairs in the given lists, by query: partner, its size, lists that hold it, the ranks of the last shared hash in
+    either set, the partner's block, and most hashes that the two sets have in a region which both prefixes cover."""
     group, within = _expand(size)
     member = head[group] + within
     step = max(1, 500_000 // int(size.max()))
@@ -394,28 +406,32 @@ def _partners(head, size, doc, comp, n, home, rank, fresh) -> Iterator[tuple]:
             at = np.flatnonzero(np.diff(doc[y[a:b]], prepend=doc[y[a]] - 1))
             hits = np.diff(at, append=b - a)
             last = [np.maximum.reduceat(rank[v[a:b]], at) for v in (x, y)]
-            yield "short", int(doc[x[a]]), int(n[x[a]]), int(home[x[a]]), _planes(np.concatenate([doc[y[a:b]][at], n[y[a:b]][at], hits, *last, home[y[a:b]][at]]))
+            p = y[a:b][at]
+            seen = np.max([np.where((r[x[a]] >= 0) & (r[p] >= 0), r[x[a]] + r[p], 0) for r in regions], axis=0)
+            yield "short", int(doc[x[a]]), int(n[x[a]]), int(home[x[a]]), _planes(np.concatenate([doc[p], n[p], hits, *last, home[p], seen]))
 
 
 def merge_lists(n: int, passed: int, lists: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """T-occurrence search for one query, giving partners with their blocks: heap-merges its short lists, each sorted by partner, and counts occurrences.
 
     A list holds partner, the partner's size, how many of the lists it stands for hold
-    it, the last ranks of the shared hashes in either set, and the partner's block; ``passed`` is how many long lists the query passed over. Up to where the first
-    of the two prefixes ends, the two share what the short lists count and at most
+    it, the last ranks of the shared hashes in either set, the partner's block, and how
+    many hashes the two sets have in a region that both prefixes cover; ``passed`` is how
+    many long lists the query passed over. In that region, and up to where the first of
+    the two prefixes ends, the two share what the short lists count and at most
     ``passed`` more, so a partner stays only if the others leave room for T.
     """
-    now, hits, mine, theirs, size, home = None, 0, 0, 0, 0, 0
+    now, hits, mine, theirs, size, home, region = None, 0, 0, 0, 0, 0, 0
 
     def stays() -> bool:
-        seen = min(prefix_length(n) + theirs + 1, prefix_length(size) + mine + 1)
+        seen = max(region, min(prefix_length(n) + theirs + 1, prefix_length(size) + mine + 1))
         return seen - 2 * (hits + passed) <= n + size - 2 * least_overlap(n, size)
 
-    for partner, m, count, i, j, block in heapq.merge(*(zip(*x.tolist()) for x in lists)):
+    for partner, m, count, i, j, block, both in heapq.merge(*(zip(*x.tolist()) for x in lists)):
         if partner != now:
             if now is not None and stays():
                 yield now, home
-            now, hits, mine, theirs, size, home = partner, 0, 0, 0, m, block
+            now, hits, mine, theirs, size, home, region = partner, 0, 0, 0, m, block, both
         hits, mine, theirs = hits + count, max(mine, i), max(theirs, j)
     if now is not None and stays():
         yield now, home
@@ -425,7 +441,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs ``merge_lists`` for each query of rows q, n, passed, home, cands that are sorted by q: pairs of blocks to verify."""
     for rows in _by_first(batches):
         n, passed, home = int(rows.n.iloc[0]), int(rows.passed.iloc[0]), int(rows.home.iloc[0])
-        lists = [_whole_numbers(x, np.int64).reshape(6, -1) for x in rows.cands]
+        lists = [_whole_numbers(x, np.int64).reshape(7, -1) for x in rows.cands]
         met = {block for _, block in merge_lists(n, passed, lists)}
         if met:
             yield _pairs([(home, block) for block in sorted(met)])

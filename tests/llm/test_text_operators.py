@@ -112,13 +112,33 @@ def test_ngram_edge_cases(spark):
 
 
 def test_merge_lists_counts_occurrences():
-    lists = [np.array([[1, 4], [20, 20], [1, 1], [0, 2], [0, 3], [7, 8]]), np.array([[1, 9], [20, 20], [1, 1], [1, 3], [1, 40], [7, 9]])]
+    lists = [np.array([[1, 4], [20, 20], [1, 1], [0, 2], [0, 3], [7, 8], [0, 0]]), np.array([[1, 9], [20, 20], [1, 1], [1, 3], [1, 40], [7, 9], [0, 0]])]
     # sets of 20 may have 4 unshared hashes in all: with 4, one shared of the first 9 leaves 7
     assert list(ngram_join.merge_lists(20, 0, lists)) == [(1, 7)]
     # two long lists passed over may hold two more shared ones
     # (9: of at least 10 hashes seen 2 * 3 may be shared, which leaves the 4 that are allowed)
     assert list(ngram_join.merge_lists(20, 2, lists)) == [(1, 7), (4, 8), (9, 9)]
     assert list(ngram_join.merge_lists(20, 1, lists)) == [(1, 7)]
+    # a region with 9 hashes, of which the two lists that hold partner 1 count 2 twice, leaves 5
+    lists[0][6], lists[1][6] = [9, 0], [9, 0]
+    assert list(ngram_join.merge_lists(20, 0, lists)) == []
+
+
+def test_regions_never_exclude_a_link():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 60), 200, 1000]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            b = a[rng.random(len(a)) > 0.12]
+            b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, int(n * rng.random() * 0.2), dtype=np.uint64) * np.uint64(2)]))
+            shared = len(np.intersect1d(a, b))
+            if not shared or 100 * shared < 75 * (len(a) + len(b) - shared):
+                continue
+            pa, pb = a[: ngram_join.prefix_length(len(a))], b[: ngram_join.prefix_length(len(b))]
+            hits = len(np.intersect1d(pa, pb))
+            room = len(a) + len(b) - 2 * ngram_join.least_overlap(len(a), len(b))
+            for x, y in zip(ngram_join.region_counts(len(a), a), ngram_join.region_counts(len(b), b)):
+                assert x < 0 or y < 0 or x + y - 2 * hits <= room
 
 
 def test_prefixes_are_enough():
