@@ -210,8 +210,8 @@ def _verified(docs: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame
 
     A text is sent once for each block that its own block meets.
     """
-    key = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
-    met = pairs.select(key.alias("key"), "a", "b").dropDuplicates(["key"])
+    # a pair may come in either order; both sides below must see it in one
+    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.xxhash64("a", "b").alias("key"), "a", "b")
     sides = met.select("key", F.col("a").alias("block")).unionByName(met.filter("a <> b").select("key", F.col("b").alias("block")))
     need = settled(sides.join(blocks, "block").select("key", "doc_id"))
     ids, small = _sized(settled(need.select("doc_id").distinct()))
