@@ -75,23 +75,22 @@ def same_uuid(a: Column, b: Column) -> Column:
     return plain(a) == plain(b)
 
 
-def references(relationships: DataFrame, start: DataFrame, most_steps: int = 64) -> DataFrame:
+def references(relationships: DataFrame, start: DataFrame) -> DataFrame:
     """uuids that can be reached from ``start(uuid)`` along references, with the fewest steps.
 
-    The frontier is joined with the relationships until it is empty; only new uuids
-    go on, and each round's lineage is cut by a checkpoint where the session has a
-    folder for it.
+    The frontier is joined with the relationships until it is empty, however many steps
+    that takes; only new uuids go on, and each round's lineage is cut, by a checkpoint
+    where the session has a folder for it.
     """
+    cut = (lambda x: x.checkpoint()) if start.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.localCheckpoint())
     seen = start.select("uuid").distinct().withColumn("steps", F.lit(0))
     frontier, step = seen, 0
-    has_folder = start.sparkSession.sparkContext.getCheckpointDir() is not None
-    while step < most_steps:
+    while True:
         step += 1
         found = frontier.join(relationships, F.col("uuid") == F.col("src")).select(F.col("dst").alias("uuid")).distinct()
-        frontier = found.join(seen, "uuid", "left_anti").withColumn("steps", F.lit(step))
-        if has_folder:
-            frontier = frontier.checkpoint()
+        frontier = cut(found.join(seen, "uuid", "left_anti").withColumn("steps", F.lit(step)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if step % 16 == 0:
+            seen = cut(seen.repartition("uuid"))

@@ -92,7 +92,7 @@ def points_trim_box(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {POINTS}, q as (select * from points where id % 50 = 0), r as (select q.id, p.id as nearest, sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) as d from q join points p on p.id % 50 <> 0), n as (select *, row_number() over (partition by id order by floor(d * 1e9), nearest) as nth from r) select id, nearest, {sq6('d')} as distance from n where nth = 1")
 def points_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest other point seen from above, for a stated set of queries: by rings of tiles, widened where a ring is empty."""
+    """The nearest point outside a stated set of queries, seen from above: by rings of tiles, widened where a ring is empty."""
     from lithoframe.operators.nearest import nearest_xy
 
     p = points(spark, d)
@@ -100,6 +100,15 @@ def points_nearest(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "nearest", q6(F.col("distance")).alias("distance"))
 
 
+@query(f"with {POINTS}, r as (select q.id, p.id as nearest, sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) as d from points q join points p on p.id <> q.id), n as (select *, row_number() over (partition by id order by floor(d * 1e9), nearest) as nth from r) select id, nearest, {sq6('d')} as distance from n where nth = 1")
+def points_nearest_other(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest other point of every point, seen from above."""
+    from lithoframe.operators.nearest import nearest_xy
+
+    p = points(spark, d)
+    return nearest_xy(p, p, tile=0.05, other=True).select("id", "nearest", q6(F.col("distance")).alias("distance"))
+
+
 @query(f"with {POINTS} select id, x, y, row_number() over (partition by label order by x, y, id)::integer as place from points")
 def points_xy_sorted(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("id", "x", "y", F.expr("row_number() over (partition by label order by x, y, id)").alias("place"))

@@ -120,6 +120,12 @@ def test_references(spark):
     assert got == {"a": 0, "b": 1, "c": 2}
 
 
+def test_references_of_any_length(spark):
+    rels = spark.range(70).selectExpr("cast(id as string) as src", "cast(id + 1 as string) as dst")
+    got = {r.uuid: r.steps for r in catalogue.references(rels.coalesce(1), spark.sql("select '0' as uuid")).collect()}
+    assert got == {str(k): k for k in range(71)}
+
+
 def test_one_of(spark):
     c = spark.createDataFrame([("u1", 1), ("u2", 2)], "uuid string, created int")
     assert catalogue.one_of(c, "newest").first().uuid == "u2"
@@ -146,6 +152,15 @@ def test_nearest_far_away(spark):
     assert tuple(nearest.nearest_xy(q, p, 0.5).first()) == (1, 7, 50.0)
 
 
+def test_nearest_at_any_distance(spark):
+    q = spark.sql("select * from values (1, 0d, 0d), (2, 1e4, -2e4), (3, null, 0d), (4, double('nan'), 0d) t(id, x, y)")
+    p = spark.sql("select * from values (1, 0d, 1d), (7, 300d, 400d), (8, -600d, 0d) t(id, x, y)")
+    got = {r.id: (r.nearest, r.distance) for r in nearest.nearest_xy(q, p, 0.05, other=True).collect()}
+    assert set(got) == {1, 2} and got[1] == (7, 500.0) and got[2][0] == 1
+    assert nearest.nearest_xy(q, p, 0.05).filter("id = 1").first().nearest == 1
+    assert nearest.nearest_xy(q, p.limit(0), 0.05).count() == nearest.nearest_xy(q.limit(0), p.limit(0), 0.05).count() == 0
+
+
 def test_dominant_and_stack(spark):
     df = spark.createDataFrame([(0, "b", 0), (0, "a", 1), (1, "c", 1)], "k int, zone string, r int")
     assert {r.k: r.zone for r in scaling.dominant(df, "k", "zone").collect()} == {0: "a", 1: "c"}
