@@ -71,6 +71,12 @@ def catalogue_reference_closure(spark: SparkSession, d: str) -> DataFrame:
     return c.references(_relationships(spark, d), start)
 
 
+@query(f"with recursive {RELS}, seen as (select 'supplier-' || s_suppkey as uuid, 0 as steps from supplier union select dst, steps + 1 from seen join rels on src = uuid) select uuid, min(steps)::integer as steps from seen group by uuid")
+def catalogue_reference_closure_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What all suppliers refer to."""
+    return c.references(_relationships(spark, d), table(spark, d, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("uuid")))
+
+
 @query("select n_nationkey, n_name from nation where not exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal > 5000)")
 def catalogue_excluded(spark: SparkSession, d: str) -> DataFrame:
     """Anti join: what is left when the referred-to uuids are excluded."""

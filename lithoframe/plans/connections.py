@@ -105,3 +105,12 @@ def grid_connected_parts(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "customer")
     e = k.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7) % 150).alias("b"))
     return c.labelled(e, k.select(F.col("c_custkey").alias("id")))
+
+
+@query()
+def grid_connected_parts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with an edge from every row, over all nodes; tested against a search on a small graph."""
+    k = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    n = k.agg(F.max("id").alias("m"))
+    e = k.crossJoin(F.broadcast(n)).select(F.col("id").alias("a"), (F.col("id") * 7 % (F.col("m") + 1)).alias("b"))
+    return c.labelled(e, k)

@@ -145,6 +145,17 @@ def grid_half_cell_irregular(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cell_id", q6(g.irregular_half(h, area, F.col("perm"))).alias("half_t"))
 
 
+@query(
+    f"with {CELLS}, h as (select cell_id, perm, 0.5 * 50.0 as hx, 0.125 * (k % 3) as hz, 40.0 * 5.0 as ax, 2.0 * (j % 4) as az from cells) "
+    f"select cell_id, {sq6(f'abs({g.DARCY['m']!r}::double * perm * (hx * ax + hz * az) / (hx * hx + hz * hz))')} as half_t from h"
+)
+def grid_half_cell_irregular_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all cells."""
+    h = (F.lit(0.5 * 50.0), F.lit(0.0), 0.125 * (F.col("k") % 3))
+    area = (F.lit(40.0 * 5.0), F.lit(0.0), 2.0 * (F.col("j") % 4))
+    return cells(spark, d).select("cell_id", q6(g.irregular_half(h, area, F.col("perm"))).alias("half_t"))
+
+
 @query(
     f"""with {CELLS}, n as (select *, min(perm) over () as lo, max(perm) over () as hi, min(log10(perm)) over () as llo, max(log10(perm)) over () as lhi,
         min(cell_id % 7) over () as clo, max(cell_id % 7) over () as chi from cells)

@@ -60,6 +60,12 @@ def downscale_refine(spark: SparkSession, d: str) -> DataFrame:
     return s.refined(c, {"k": 2, "j": 2, "i": 3}).select("fk", "fj", "fi", "cell_id", "perm", (F.lit(50.0) / 3).alias("di"))
 
 
+@query(f"with {CELLS} select k * 2 + a as fk, j * 2 + b as fj, i * 3 + e as fi, cell_id, perm, 50.0 / 3 as di from cells, range(2) t(a), range(2) u(b), range(3) v(e)")
+def downscale_refine_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the cells of all layers."""
+    return s.refined(cells(spark, d), {"k": 2, "j": 2, "i": 3}).select("fk", "fj", "fi", "cell_id", "perm", (F.lit(50.0) / 3).alias("di"))
+
+
 @query(f"select l_orderkey as cell_id, l_linenumber, l_quantity / 2.0::double as half, {sq6('o_totalprice * l_quantity')} as share from lineitem join orders on l_orderkey = o_orderkey")
 def downscale_broadcast(spark: SparkSession, d: str) -> DataFrame:
     """The value of a coarse cell brought to its fine cells by an equi-join."""
@@ -75,6 +81,14 @@ def stack_realizations(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.col("l_orderkey").alias("cell_id"), *(F.col("values")[k].alias(f"r{k}") for k in range(3)))
 
 
+@query("select l_orderkey as cell_id, list(coalesce(q, -1.0) order by r) as realizations from (select c.l_orderkey, r, max(l_quantity) as q from (select distinct l_orderkey from lineitem) c cross join (select unnest(range(1, (select max(l_linenumber) + 1 from lineitem)::bigint)) as r) left join lineitem x on x.l_orderkey = c.l_orderkey and x.l_linenumber = r group by 1, 2) group by 1")
+def stack_realizations_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All realizations side by side, as many as there are."""
+    x = table(spark, d, "lineitem").withColumn("r", F.col("l_linenumber") - 1)
+    count = (x.agg(F.max("r")).first()[0] or 0) + 1
+    return s.stacked(x, "l_orderkey", "r", "l_quantity", count, -1.0).select(F.col("l_orderkey").alias("cell_id"), F.col("values").alias("realizations"))
+
+
 @query(f"select l_linenumber as realization, {sdsum('l_quantity')} / count(*) as mean_value, min(l_quantity) as least, max(l_quantity) as most, count(*)::bigint as n from lineitem group by l_linenumber")
 def ensemble_statistics(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem")

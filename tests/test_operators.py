@@ -170,3 +170,28 @@ def test_dominant_and_stack(spark):
 def test_prime_factors(spark):
     got = one(spark, *(prime_factors(F.lit(n)) for n in (1, 2, 12, 49, 97)))
     assert [list(x) for x in got] == [[], [2], [2, 2, 3], [7, 7], [97]]
+
+
+def test_whole_connected_parts(spark, tmp_path):
+    from lithoframe.plans.connections import grid_connected_parts_whole
+
+    n = 400
+    spark.range(n).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    part = list(range(n))
+    for _ in range(n):
+        for a in range(n):
+            part[a] = part[a * 7 % n] = min(part[a], part[a * 7 % n])
+    assert {r.id: r.part for r in grid_connected_parts_whole(spark, str(tmp_path)).collect()} == dict(enumerate(part))
+
+
+def test_whole_queries_take_all_rows(spark):
+    from conftest import DATA
+
+    from lithoframe import registry
+
+    q = registry.queries()
+    cells = spark.read.parquet(f"{DATA}/orders.parquet").count()
+    assert q["downscale_refine_whole"](spark, str(DATA)).select("cell_id").distinct().count() == cells
+    assert q["grid_half_cell_irregular_whole"](spark, str(DATA)).count() == cells
+    layers = q["surface_lattice_hits_whole"](spark, str(DATA)).selectExpr("x div 220 as k").distinct().count()
+    assert layers == cells // 750
