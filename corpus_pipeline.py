@@ -33,8 +33,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shards."""
-    return sharding.shards(docs)
+    """All documents with their places in the mixture and their shards; each shard lies in one part, in the order of the mixture.
+
+    The schedule depends on the rows alone, so that it is the one of the stage before.
+    """
+    return sharding.shards(mixing.mixed(docs)).repartition("shard").sortWithinPartitions("shard", "slot", "place")
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_leaks", benchmark_leaks), ("mixture", mixture), ("shards", shards)]

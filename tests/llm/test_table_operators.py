@@ -217,6 +217,21 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), str(DATA)).count() == 0
 
 
+def test_pipeline_output_carries_the_mixture(spark):
+    import corpus_pipeline
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat(cast(id as string), 300) as text", "if(id % 10 = 0, 'b', 'a') as source")
+    by_shard = defaultdict(list)
+    for r in corpus_pipeline.shards(spark, docs, "").select("shard", "slot", "place", "source").collect():
+        by_shard[r.shard].append((r.slot, r.place, r.source))
+    assert len(by_shard) > 1 and sum(map(len, by_shard.values())) == 3000
+    for rows in by_shard.values():
+        assert [r[:2] for r in rows] == sorted(r[:2] for r in rows)
+        # tempered weights are 3 to 1 where rows are 9 to 1
+        head = rows[: len(rows) // 5]
+        assert 0.15 < sum(r[2] == "b" for r in head) / len(head) < 0.35
+
+
 def test_registered_queries(spark):
     import __spark_entry__
 
