@@ -6,7 +6,10 @@ suffix, and a prior of the host. Host priors are smoothed hierarchically: a host
 counts lean on its domain's, a domain's on those of all rows. Counts, and how far
 declarations and suffixes can be trusted, come from grouped aggregation over all rows,
 with each row's language taken from its text alone. Only the trigram models are fitted
-on a sample: ``SAMPLE`` labelled rows of each of ``LANGUAGES`` languages at most.
+on a sample: ``SAMPLE`` labelled rows of each language at most. Every label that occurs
+has a model; labels are compared in lower case, by their language without region. Models
+are fitted and applied ``LANGUAGES`` at a time, so that their number takes passes, not
+memory.
 """
 
 from __future__ import annotations
@@ -79,15 +82,30 @@ def text_scores(column: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.nda
     return score, count
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities of trigram buckets, from a bounded sample of labelled rows."""
-    named = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
-    top = [r.label for r in named.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
+def normal_label(label: Column) -> Column:
+    """The language of a label: en of EN, en-US and en_GB; other labels in lower case."""
+    plain = F.lower(F.trim(label.cast("string")))
+    return F.regexp_replace(plain, "^([a-z]{2,3})[-_].*$", "$1")
+
+
+def _named(docs: DataFrame, text: str, label: str, key: str) -> DataFrame:
+    return docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(normal_label(F.col(label)).alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
+
+
+def labels(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> list[str]:
+    """All languages that label a text, sorted."""
+    return sorted(r.label for r in _named(docs, text, label, key).select("label").distinct().collect())
+
+
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", only: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages (all, or those of ``only``) and their log-probabilities of trigram buckets, from a bounded sample of labelled rows."""
+    named = _named(docs, text, label, key)
+    top = labels(docs, text, label, key) if only is None else only
     if not top:
         return [], np.zeros((0, BUCKETS), dtype=np.float32)
     order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
     picked = named.select("label", "key").filter(F.col("label").isin(top)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE)
-    # LANGUAGES * SAMPLE keys at most
+    # SAMPLE keys for each of the languages asked for
     sample = named.join(F.broadcast(picked.select("label", "key").distinct()), ["label", "key"], "left_semi")
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -105,8 +123,14 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
 
 def _scored(docs: DataFrame, text: str, names: list[str], model: np.ndarray) -> DataFrame:
-    """``docs`` with __ll (log-likelihood of each language, weighed as ``EVIDENCE`` trigrams at most), __by_text and __odd."""
-    at = docs.columns.index(text)
+    """``docs`` with __ll (log-likelihood of each language, weighed as ``EVIDENCE`` trigrams at most), __by_text, __best (its mean) and __odd.
+
+    Docs that have these columns from other languages keep them: the new ones come after.
+    """
+    rest = [c for c in docs.columns if c not in ("__ll", "__by_text", "__best", "__odd")]
+    earlier = len(rest) < len(docs.columns)
+    docs = docs.select(*rest, *(["__ll", "__by_text", "__best", "__odd"] if earlier else []))
+    at, n = rest.index(text), len(rest)
     # text that no language explains better than letters drawn evenly from this many trigrams is no language
     chance = float(-np.log(40_000))
 
@@ -115,15 +139,18 @@ def _scored(docs: DataFrame, text: str, names: list[str], model: np.ndarray) ->
             score, count = text_scores(batch.column(at), model)
             mean = score / np.maximum(count, 1)[:, None]
             ll = mean * np.minimum(count, EVIDENCE)[:, None]
-            first = mean.argmax(axis=1) if len(names) else np.zeros(len(count), dtype=int)
-            none = count == 0
-            by_text = pa.array([None if x or not names else names[f] for x, f in zip(none, first)], pa.string())
-            odd = none | (mean.max(axis=1, initial=-np.inf) < chance)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * len(names), pa.int32()), pa.array(ll.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, by_text, pa.array(odd)], names=[*batch.schema.names, "__ll", "__by_text", "__odd"])
+            first, best, none = mean.argmax(axis=1), mean.max(axis=1), count == 0
+            by_text = [None if x else names[f] for x, f in zip(none, first)]
+            if earlier and len(count):
+                old = batch.column(n + 2).to_numpy(zero_copy_only=False)
+                by_text = [b if new else a for a, b, new in zip(batch.column(n + 1).to_pylist(), by_text, best > old)]
+                best = np.maximum(best, old)
+                ll = np.hstack([batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(len(count), -1), ll])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], lists, pa.array(by_text, pa.string()), pa.array(best), pa.array(none | (best < chance))], names=[*rest, "__ll", "__by_text", "__best", "__odd"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, __ll array<double>, __by_text string, __odd boolean")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
+    return docs.mapInArrow(run, f"{fields}, __ll array<double>, __by_text string, __best double, __odd boolean")
 
 
 def _smooth(counts: DataFrame, key: str, names: list[str]) -> DataFrame:
@@ -175,7 +202,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     labelled rows every language is null. ``narrow`` keeps key and evidence only.
     """
     columns = [c for c in docs.columns if c not in ("language", "probability", "by_text", "kept")]
-    names, model = fit(docs, text, label or declared or "lang", key)
+    of = (text, label or declared or "lang", key)
+    names = labels(docs, *of)
     found = docs.select(*columns)
     out = [key] if narrow else columns
     if not names:
@@ -185,7 +213,10 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     found = found.withColumn("__domain", F.coalesce(F.regexp_extract("__host", r"[^.]+\.[^.]+$|[^.]+$", 0), F.lit("")))
     if narrow:
         found = found.select(key, text, *evidence, "__domain")
-    scored = _scored(found, text, names, model)
+    # one group's models at a time are in memory; a further group reads what the last one wrote
+    scored = found
+    for at in range(0, len(names), LANGUAGES):
+        scored = _scored(settled(scored) if at else scored, text, *fit(docs, *of, only=names[at : at + LANGUAGES]))
     if narrow:
         scored = settled(scored.drop(text))
     hosts, said, ends = (_sized(t) for t in _evidence(scored if narrow else scored.drop(*columns), names))

@@ -307,3 +307,18 @@ def test_permutation_is_one_to_one(spark):
     days = spark.range(0, 73049, 73).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     shown = [r.p for r in days.select(pii.pseudonym(F.col("d")).alias("p")).collect()]
     assert len(set(shown)) == len(shown) and all(re.match(r"(19|20)\d\d-\d\d-\d\d$", x) for x in shown)
+
+
+def test_every_language_has_a_model(spark, monkeypatch):
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
+    rows = []
+    for k in range(70):
+        mine = words[k * 5 : k * 5 + 5]
+        rows += [(100 * k + n, " ".join(mine[(n + i) % 5] for i in range(30)), f"q{chr(97 + k // 26)}{chr(97 + k % 26)}", None) for n in range(3)]
+    variants = [(9000, rows[0][1], "QAA", None), (9001, rows[1][1], "qaa-US", None)]
+    df = spark.createDataFrame(rows + variants, "doc_id long, text string, lang string, source string").cache()
+    got = {r.doc_id: (r.language, r.by_text, r.kept, r.probability) for r in langid.identify(df).collect()}
+    assert all(got[i][:3] == (lang, lang, True) for i, _, lang, _ in rows)
+    assert got[9000][:3] == got[9001][:3] == ("qaa", "qaa", True)
+    monkeypatch.setattr(langid, "LANGUAGES", 100)
+    assert {r.doc_id: (r.language, r.by_text, r.kept, r.probability) for r in langid.identify(df).collect()} == got
