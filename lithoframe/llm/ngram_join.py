@@ -1,28 +1,32 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 Two texts link when the Jaccard similarity of their sets of five-word shingles is at
-least 0.75. A set of n shingles can only link with one with which it shares T of them,
-so it is enough to look up its n - T + 1 first shingles in a global order (here T is
-the least overlap with any partner, ceil(0.75 n)). The order is that of the hashes,
-except that shingles with long inverted lists come last: as in DivideSkip, candidates
-come from the short lists, which are merged and counted, and long ones are only probed
-by binary search for candidates that remain.
-
-Steps, none of which has a task, broadcast or driver state that grows with a group:
-
-1. ``signatures``: one pass over the texts; per document the set's size, its digest, its
-   smallest hashes and the first third of the hashes in order.
-2. Copies: equal digests are one vertex (grouped minimum).
-3. Families: documents whose smallest hashes vote for the same document share blocks of
-   bounded size; each block is verified against that of the document voted for, so that
-   a family of near copies costs in proportion to its members; links give components.
-4. Inverted lists: dealt by hash range into blocks of bounded size. Lists that would
-   give more than ``LONG`` pairs of different components are named long instead.
-5. With long lists known, the documents that hold them go on to their next shingles.
-6. ``merge_lists`` merges the short lists of a document and counts occurrences. A region
-   of small hashes that both prefixes cover tells how many hashes the two sets do not
-   share; where a partner may still reach T, the two blocks are verified on whole sets.
+least 0.75. A set of n shingles links only with sets that share at least T = ceil(0.75 n)
+of them. As in DivideSkip the L longest of its inverted lists are set aside: the others
+are merged, a partner must occur in T - L of them, and the lists set aside are then only
+probed by binary search for the partners that remain.
+
+Sets travel packed: a bucket is one row with the sorted hashes of many documents. For a
+bucket each distinct shingle asks its list once, and the lists (hash ranges, dealt into
+blocks) answer with their length and smallest member, so that a shingle that a third of
+all documents hold costs one question a bucket and is never gathered.
+
+1. ``signatures``: size, digest and first hashes of every text; equal digests are copies.
+2. ``_reaching``: with hashes as the order of lists, a document whose first n - L shingles
+   are not found elsewhere T - L times links with nothing and goes no further.
+3. ``_index``: lists ordered by length, shortest first. A document posts the n - L first
+   of them; those it shares with no one need no list.
+4. Leaders: a list names its smallest document; each document is verified against those
+   that most of its lists name. That joins large families at linear cost.
+5. Hot lists (over ``HOT`` documents) are not merged: a pair that meets in them alone
+   consists of documents with fewer than n - T + 1 other shingles, and shares just hot
+   shingles. Those with equal hot sets link exactly if their sizes add up to 7/3 of it
+   at most, so that a star around the smallest one connects them.
+6. ``_pairs_of_lists`` and ``merge_lists``: in lists that hold several components, pairs of
+   different ones are counted by query; those with T - L occurrences are verified.
 7. Connected components over all verified links.
+
+Verification (``_probed``) is exact on whole sets of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +46,40 @@ from lithoframe.llm.storage import settled
 from lithoframe.llm.text import mix, shingle_hashes, words_by_row
 
 #: Postings in a block of inverted lists, on average.
-BLOCK = 400_000
-#: A list that gives more pairs than this is long.
-LONG = 2048
-#: Long lists that are told to all tasks (8 bytes each); any beyond are merged like short ones.
-MOST_LONG = 200_000
-#: Bits of the filter that names shingles of the second round.
-FILTER_BITS = 24
-_NUM, _DEN = 3, 4
-
-
+BLOCK = 300_000
+#: Shingles in a bucket of documents; a larger document is a bucket of its own.
+BUCKET = 300_000
+#: A list of more documents than this is hot.
+HOT = 256
+#: Documents of a list that are paired by one task; longer lists are paired piece by piece.
+CHUNK = 20_000
+#: Leaders that a document may try.
+LEADERS = 4
+#: Documents that one leader's set is sent along with.
+TOGETHER = 500
 #: Tables of at most so many rows are sent to all tasks for joins with the documents; larger ones are shuffled.
 SENT_ROWS = 400_000
-#: Smallest hashes of a set by which families are gathered.
-LOW = 6
-#: Documents that are verified against each other in one go.
-TOGETHER = 64
-#: Regions of small hashes, as shares of all hashes; a prefix holds a quarter of its set.
-REGIONS = (np.array([0.17, 0.20, 0.22, 0.235]) * 2.0**48).astype(np.uint64) << np.uint64(16)
+
+
+def least_overlap(n: int) -> int:
+    """T: shingles that a set of n must share with any set it links with."""
+    return -(-3 * n // 4)
+
+
+def set_aside(n: int) -> int:
+    """L: lists of a set of n that are not merged."""
+    return 4 * least_overlap(n) // 5
+
+
+def occurrences(n: int) -> int:
+    """T - L: lists of the n - L merged ones in which two linked sets meet, n being the smaller set."""
+    return least_overlap(n) - set_aside(n)
+
+
+def _sized(table: DataFrame) -> tuple[DataFrame, bool]:
+    """``table``, to be sent to all tasks if it has at most ``SENT_ROWS`` rows (it is counted), and whether it is."""
+    small = table.count() <= SENT_ROWS
+    return (F.broadcast(table) if small else table), small
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -67,13 +87,32 @@ def _planes(values: np.ndarray) -> bytes:
     return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def _whole_numbers(data: bytes, kind) -> np.ndarray:
+def _numbers(data, kind=np.int64) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
 
 
+def _near(values: np.ndarray) -> bytes:
+    """Whole numbers that often differ little from the one before."""
+    return _planes(np.diff(values, prepend=0))
+
+
+def _from_near(data) -> np.ndarray:
+    return np.cumsum(_numbers(data))
+
+
+def _column(table: pa.Table, name: str, read) -> np.ndarray:
+    """All numbers of a packed column, in the order of the rows."""
+    parts = [read(x.as_buffer()) for x in table.column(name)]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+
+def _u64(data) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint64)
+
+
 def _short_hashes(hashes: np.ndarray) -> bytes:
-    """Leading 48 bits of each hash: enough to find candidates by, which whole hashes then verify."""
+    """Leading 48 bits of each hash: enough to pass a document over by, which whole hashes then verify."""
     return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
@@ -83,443 +122,418 @@ def _from_short(data) -> np.ndarray:
     return out.view(">u8").reshape(-1).astype(np.uint64)
 
 
-def _sized(table: DataFrame) -> tuple[DataFrame, bool]:
-    """``table``, to be sent to all tasks if it has at most ``SENT_ROWS`` rows (it is counted), and whether it is."""
-    small = table.count() <= SENT_ROWS
-    return (F.broadcast(table) if small else table), small
-
+def _block_of(tokens: np.ndarray, blocks: int) -> np.ndarray:
+    return ((tokens >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
-def least_overlap(n: int, m: int) -> int:
-    """Shingles that sets of n and m must share to link: 7 * overlap >= 3 * (n + m)."""
-    return -(-_NUM * (n + m) // (_NUM + _DEN))
 
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
 
-def prefix_length(n: int) -> int:
-    return n - -(-_NUM * n // _DEN) + 1 if n else 0
 
-
-def reserve_length(n: int) -> int:
-    """Hashes kept of a set: the prefix and as many again as 40 % of it, for long lists to be passed over."""
-    return min(n, math.ceil(1.4 * prefix_length(n)))
-
-
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("low", pa.list_(pa.int64())), ("head", pa.binary())])
+_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("head", pa.binary())])
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n, digest, low (its smallest hashes) and head (its first hashes, packed) of each document."""
+    """doc_id, n, digest and head (its first n - L hashes, packed; null where its task had the same set before) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, digests, lows, heads = [], [], [], []
+            sizes, digests, heads = [], [], []
             for words in words_by_row(batch.column(1)):
                 s = np.unique(shingle_hashes(words))
                 place = mix(s + np.arange(len(s), dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
                 d = np.array([place.sum(dtype=np.uint64), np.bitwise_xor.reduce(s) if len(s) else 0, len(s)], dtype=np.uint64).tobytes()
                 sizes.append(len(s))
                 digests.append(d)
-                lows.append(s[:LOW].view(np.int64))
-                heads.append(None if d in seen else _short_hashes(s[: reserve_length(len(s))]))
+                heads.append(None if d in seen else _short_hashes(s[: len(s) - set_aside(len(s))]))
                 if len(seen) < 200_000:
                     seen.add(d)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(lows, pa.list_(pa.int64())), pa.array(heads, pa.binary())],
-                schema=_SIG,
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.binary())], schema=_SIG)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(
-        run, "doc_id long, n long, digest binary, low array<long>, head binary"
-    )
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n long, digest binary, head binary")
 
 
-def _blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id and block of each document, and the pairs of blocks (a, b) to look at first.
+def _reaching(heads: DataFrame, total: int) -> DataFrame:
+    """doc_id of the documents whose first hashes are found in other documents often enough for a link.
 
-    Each of a document's smallest hashes votes for the smallest document that has it; the
-    document's home is the one with most votes, its own number if no other has more.
-    Documents of one home and a like size are dealt into blocks of about ``TOGETHER``.
-    Families of near copies thus come together, however large; the blocks only decide
-    what is sent together, not what links.
-    """
-    low = reps.select("doc_id", F.explode("low").alias("h"))
-    first = low.groupBy("h").agg(F.min("doc_id").alias("home"))
-    votes = low.join(first, "h").groupBy("doc_id", "home").agg(F.count("*").alias("votes"))
-    order = F.struct(-F.col("votes"), (F.col("home") != F.col("doc_id")).cast("int"), F.col("home"))
-    homes = settled(votes.groupBy("doc_id").agg(F.min_by("home", order).alias("home")))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-    dealt = homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    blocks = settled(dealt.select("doc_id", "home", F.xxhash64("home", "part").alias("block")))
-    heads = blocks.filter("doc_id = home").select("home", F.col("block").alias("b"))
-    pairs = blocks.filter("doc_id <> home").join(heads, "home").select(F.col("block").alias("a"), "b").distinct()
-    return blocks.select("doc_id", "block"), pairs
-
-
-def _links_among(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links between a few documents, as one star for each group that they connect.
-
-    Overlaps are counted exactly: shared hashes as columns, documents as rows of 0 and 1,
-    multiplied in pieces; two documents alone by binary search of one set in the other.
+    A hash that a batch of documents holds twice is sent once, without documents: they
+    need no answer.
     """
-    n = len(ids)
-    size = np.array([len(s) for s in sets])
-    if n == 2:
-        q, c = sorted(sets, key=len)
-        shared = int((c[np.minimum(np.searchsorted(c, q), len(c) - 1)] == q).sum()) if len(q) else 0
-        if shared and 100 * shared >= 75 * (len(q) + len(c) - shared):
-            yield max(ids), min(ids)
-        return
-    token, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    new = np.concatenate([[True], token[1:] != token[:-1]])
-    column = np.cumsum(new) - 1
-    often = np.bincount(column)[column] > 1
-    owner, column = owner[often], column[often]
-    shared = np.zeros((n, n), dtype=np.float64)
-    if len(column):
-        column = np.cumsum(np.diff(column, prepend=column[0]) != 0)
-        step = max(256, 2_000_000 // n)
-        for lo in range(0, int(column[-1]) + 1, step):
-            a, b = np.searchsorted(column, [lo, lo + step])
-            m = np.zeros((n, step), dtype=np.float32)
-            m[owner[a:b], column[a:b] - lo] = 1
-            shared += m @ m.T
-    linked = (shared > 0) & (100 * shared >= 75 * (size[:, None] + size[None, :] - shared))
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in np.argwhere(np.triu(linked, 1)).tolist():
-        root[find(x)] = find(y)
-    least: dict[int, int] = {}
-    for k in range(n):
-        r = find(k)
-        least[r] = min(least.get(r, ids[k]), ids[k])
-    for k in range(n):
-        if ids[k] != least[find(k)]:
-            yield ids[k], least[find(k)]
-
-
-def _verified(docs: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links a, b that connect all documents that link within ``pairs(a, b)`` of blocks, by their whole sets.
-
-    A text is sent once for each block that its own block meets.
-    """
-    # a pair may come in either order; both sides below must see it in one
-    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.xxhash64("a", "b").alias("key"), "a", "b")
-    sides = met.select("key", F.col("a").alias("block")).unionByName(met.filter("a <> b").select("key", F.col("b").alias("block")))
-    need = settled(sides.join(blocks, "block").select("key", "doc_id"))
-    ids, small = _sized(settled(need.select("doc_id").distinct()))
-    texts = docs.select("doc_id", "text")
-    rows = (texts.join(ids, "doc_id", "left_semi") if small else texts).join(need, "doc_id").select("key", "doc_id", "text")
+    blocks = max(8, total // BLOCK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for key, doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words_by_row(batch.column(2))):
-                if key != now:
-                    if len(ids) > 1:
-                        found.extend(_links_among(ids, sets))
-                    now, ids, sets = key, [], []
-                ids.append(doc)
-                sets.append(np.unique(shingle_hashes(words)))
-            yield _pairs(found)
-        if len(ids) > 1:
-            yield _pairs(list(_links_among(ids, sets)))
+            ids = np.asarray(batch.column(0))
+            parts = [_from_short(x.as_buffer()) for x in batch.column(1)]
+            if not parts:
+                continue
+            token, row = np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(p) for p in parts])
+            order = np.argsort(token, kind="stable")
+            token, row = token[order], row[order]
+            start = _runs(token)
+            size = np.diff(start, append=len(token))
+            known = np.bincount(row[np.repeat(size > 1, size)], minlength=len(ids))
+            one = start[size == 1]
+            # rows of those that come once, then the others without
+            token, who = np.concatenate([token[one], token[start[size > 1]]]), np.concatenate([row[one], np.full((size > 1).sum(), len(ids))])
+            order = np.lexsort((who, _block_of(token, blocks)))
+            token, who = token[order], who[order]
+            cuts = np.append(_runs(_block_of(token, blocks)), len(token))
+            out = {k: [] for k in ("block", "tokens", "docs", "known", "times")}
+            for nth, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                out["block"].append(int(_block_of(token[a : a + 1], blocks)[0]))
+                out["tokens"].append(_short_hashes(token[a:b]))
+                out["docs"].append(_near(ids[who[a:b][who[a:b] < len(ids)]]))
+                out["known"].append(_near(ids[known > 0]) if nth == 0 else b"")
+                out["times"].append(_planes(known[known > 0]) if nth == 0 else b"")
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("tokens", "docs", "known", "times"))]))
+
+    def answer(table: pa.Table) -> pa.Table:
+        token, docs = _column(table, "tokens", _from_short), _column(table, "docs", _from_near)
+        lengths = [(len(t.as_buffer()) // 6, len(d.as_buffer()) // 8) for t, d in zip(table.column("tokens"), table.column("docs"))]
+        owned = np.concatenate([np.arange(t) < d for t, d in lengths])
+        at = np.where(owned, np.cumsum(owned) - 1, -1)
+        order = np.argsort(token, kind="stable")
+        token, at = token[order], at[order]
+        size = np.diff(_runs(token), append=len(token))
+        found = at[np.repeat(size > 1, size)]
+        who, times = np.unique(docs[found[found >= 0]], return_counts=True)
+        return pa.table({"doc_id": np.concatenate([who, _column(table, "known", _from_near)]), "times": np.concatenate([times, _column(table, "times", _numbers)])})
+
+    asked = heads.select("doc_id", "head").mapInArrow(ask, "block long, tokens binary, docs binary, known binary, times binary")
+    times = asked.groupBy("block").applyInArrow(answer, "doc_id long, times long").groupBy("doc_id").agg(F.sum("times").alias("times"))
+    least = F.expr("cast(ceil(0.75 * ceil(0.75 * n)) as long)")
+    return heads.select("doc_id", (least - F.expr("cast(ceil(0.75 * ceil(0.75 * n)) as long) * 4 div 5")).alias("least")).join(times, "doc_id").filter("times >= least").select("doc_id")
+
+
+_BUCKET = "bucket long, ids binary, sizes binary, tokens binary"
+
+
+def buckets_of(docs: DataFrame) -> DataFrame:
+    """The sets of ``docs(doc_id, text)``, many to a row: bucket, ids, sizes and tokens, packed."""
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, held, nth = [], [], 0, TaskContext.get().partitionId() << 32
 
+        def packed() -> pa.RecordBatch:
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            row = {"bucket": [nth], "ids": [_near(np.array(ids, dtype=np.int64))], "sizes": [_planes(sizes)], "tokens": [np.concatenate(sets).tobytes()]}
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("ids", "sizes", "tokens"))]))
 
-def region_counts(n: int, head: np.ndarray) -> np.ndarray:
-    """How many hashes a set has in each of ``REGIONS``; -1 where its prefix ends before the region does."""
-    count = np.searchsorted(head, REGIONS)
-    return np.where(count <= prefix_length(n), count, -1)
+        for batch in batches:
+            for doc, words in zip(batch.column(0).to_pylist(), words_by_row(batch.column(1))):
+                s = np.unique(shingle_hashes(words))
+                if held and held + len(s) > BUCKET:
+                    yield packed()
+                    ids, sets, held, nth = [], [], 0, nth + 1
+                ids.append(doc)
+                sets.append(s)
+                held += len(s)
+        if held:
+            yield packed()
 
+    return docs.select("doc_id", "text").mapInArrow(run, _BUCKET)
 
-def _pack(blocks: int, chosen) -> callable:
-    """Deals the hashes that ``chosen(doc row, head)`` gives into blocks; one packed row for each block and batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, comps, sizes, homes = (np.asarray(batch.column(k)) for k in range(4))
-            tokens, rank, new, row = [], [], [], []
-            regions = np.zeros((len(REGIONS), len(ids)), dtype=np.int64)
-            for k, head in enumerate(batch.column(4)):
-                n, hashes = int(sizes[k]), _from_short(head.as_buffer())
-                regions[:, k] = region_counts(n, hashes)
-                t, i, fresh = chosen(n, hashes)
-                tokens.append(t)
-                rank.append(i)
-                new.append(fresh)
-                row.append(np.full(len(t), k))
-            if not tokens:
-                continue
-            t, i, f, r = (np.concatenate(x) for x in (tokens, rank, new, row))
-            block = (t >> np.uint64(32)).astype(np.int64) * blocks >> 32
-            order = np.argsort(block, kind="stable")
-            t, i, f, r, block = t[order], i[order], f[order], r[order], block[order]
-            cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
-            out = {k: [] for k in ("block", "tokens", "ranks", "fresh", "runs", "docs")}
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                rows = r[a:b]
-                at = np.flatnonzero(np.diff(rows, prepend=-1))
-                who = rows[at]
-                out["block"].append(int(block[a]))
-                out["tokens"].append(_planes(t[a:b]))
-                out["ranks"].append(_planes(i[a:b].astype(np.int32)))
-                out["fresh"].append(np.packbits(f[a:b]).tobytes())
-                out["runs"].append(_planes(np.diff(at, append=b - a).astype(np.int32)))
-                out["docs"].append(_planes(np.concatenate([np.diff(ids[who], prepend=0), comps[who] - ids[who], sizes[who], homes[who], *regions[:, who]])))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("tokens", "ranks", "fresh", "runs", "docs"))]))
-
-    return run
+def _list_facts(buckets: DataFrame, blocks: int) -> DataFrame:
+    """bucket, tokens, count, low, high: of each list that a bucket's ``tokens`` ask for, its length and its smallest and largest value.
 
+    ``buckets`` has values, packed, beside ids. Lists of one value give no answer.
+    """
 
-_PACKED = "block long, tokens binary, ranks binary, fresh binary, runs binary, docs binary"
-
-
-def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For groups of the given sizes: group number and number within the group of each element."""
-    group = np.repeat(np.arange(len(counts)), counts)
-    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-_FOUND = "kind string, q long, n long, home long, cands binary"
-
-
-def _scan(above: int, most: int, naming: bool, fresh_only: bool, listing: bool = True):
-    """Reads the inverted lists of a block: those that give over ``above`` and up to ``most`` pairs of different
-    components give each query its partners; with ``naming``, longer ones are named (q: the hash, n: its pairs)."""
-
-    def block(rows: pd.DataFrame) -> Iterator[tuple]:
-        token = whole = np.concatenate([_whole_numbers(x, np.uint64) for x in rows.tokens])
-        rank = np.concatenate([_whole_numbers(x, np.int32) for x in rows.ranks]).astype(np.int64)
-        fresh = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(t) // 8) for x, t in zip(rows.fresh, rows.tokens)]).astype(bool)
-        info = []
-        for docs, runs in zip(rows.docs, rows.runs):
-            step, comp, *others = _whole_numbers(docs, np.int64).reshape(4 + len(REGIONS), -1)
-            ids = np.cumsum(step)
-            info.append(np.repeat(np.stack([ids, ids + comp, *others]), _whole_numbers(runs, np.int32), axis=1))
-        info = np.concatenate(info, axis=1)
-        order = np.lexsort((info[0], token))
-        token = token[order]
-        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(head, append=len(token))
-        order = order[np.repeat(size > 1, size)]
-        size = size[size > 1]
-        head = np.cumsum(size) - size
-        rank, fresh, (doc, comp, n, home, *regions) = rank[order], fresh[order], info[:, order]
-        token = whole[order]
-        group = np.repeat(np.arange(len(head)), size)
-        # pairs of different components in each list
-        by = np.lexsort((comp, group))
-        change = np.flatnonzero((np.diff(group[by], prepend=-1) != 0) | (np.diff(comp[by], prepend=comp[by][:1] - 1) != 0))
-        same = np.diff(change, append=len(by))
-        inside = np.bincount(group[by][change], weights=same.astype(float) ** 2, minlength=len(head))
-        pairs = ((size.astype(float) ** 2 - inside) / 2).astype(np.int64)
-        if naming:
-            for g in np.flatnonzero(pairs > most):
-                yield "long", int(token[head[g]].view(np.int64)), int(pairs[g]), 0, b""
-        use = (pairs > above) & (pairs <= most) & listing
-        head, size = head[use], size[use]
-        for g0, g1 in _slices(size):
-            yield from _partners(head[g0:g1], size[g0:g1], doc, comp, n, home, regions, rank, fresh if fresh_only else None)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, values, sizes, tokens in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3))):
+                token, value = _u64(tokens.as_buffer()), np.repeat(_from_near(values.as_buffer()), _numbers(sizes.as_buffer()))
+                order = np.argsort(token, kind="stable")
+                token, value = token[order], value[order]
+                start = _runs(token)
+                if not len(start):
+                    continue
+                facts = [np.diff(start, append=len(token)), np.minimum.reduceat(value, start), np.maximum.reduceat(value, start)]
+                token = token[start]
+                block = _block_of(token, blocks)
+                cuts = np.append(_runs(block), len(block))
+                out = {"block": block[cuts[:-1]].tolist(), "bucket": [bucket] * (len(cuts) - 1), "tokens": [], "count": [], "low": [], "over": []}
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    out["tokens"].append(token[a:b].tobytes())
+                    out["count"].append(_planes(facts[0][a:b]))
+                    out["low"].append(_planes(facts[1][a:b]))
+                    out["over"].append(_planes(facts[2][a:b] - facts[1][a:b]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *((k, pa.binary()) for k in ("tokens", "count", "low", "over"))]))
+
+    def answer(table: pa.Table) -> pa.Table:
+        token, count, low, over = (_column(table, k, read) for k, read in (("tokens", _u64), ("count", _numbers), ("low", _numbers), ("over", _numbers)))
+        asker = np.repeat(np.asarray(table.column("bucket")), [len(x.as_buffer()) // 8 for x in table.column("tokens")])
+        order = np.argsort(token, kind="stable")
+        token, count, low, high, asker = token[order], count[order], low[order], (low + over)[order], asker[order]
+        start = _runs(token)
+        size = np.diff(start, append=len(token))
+        facts = [np.repeat(x, size) for x in (np.add.reduceat(count, start), np.minimum.reduceat(low, start), np.maximum.reduceat(high, start))]
+        mixed = np.flatnonzero(facts[1] < facts[2])
+        mixed = mixed[np.argsort(asker[mixed], kind="stable")]
+        cuts = np.append(_runs(asker[mixed]), len(mixed))
+        out = {"bucket": asker[mixed[cuts[:-1]]].tolist(), "tokens": [], "count": [], "low": []}
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = mixed[a:b]
+            out["tokens"].append(token[at].tobytes())
+            out["count"].append(_planes(facts[0][at]))
+            out["low"].append(_planes(facts[1][at]))
+        return pa.table(out, schema=pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("tokens", "count", "low"))]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks come one after the other; only one is held, and what it gives goes out in pieces."""
-        for rows in _by_first(batches):
-            found, size = [], 0
-            for row in block(rows):
-                found.append(row)
-                size += 64 + len(row[4])
-                if size > 4 << 20:
-                    yield _found(found)
-                    found, size = [], 0
-            yield _found(found)
+    asked = buckets.select("bucket", "values", "sizes", "tokens").mapInArrow(ask, "block long, bucket long, tokens binary, count binary, low binary, over binary")
+    return asked.groupBy("block").applyInArrow(answer, "bucket long, tokens binary, count binary, low binary")
 
-    return run
 
+def _facts_for(token: np.ndarray, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Length (0 where there is no answer) and smallest value of the list of each token."""
+    known, count, low = _column(right, "tokens", _u64), _column(right, "count", _numbers), _column(right, "low", _numbers)
+    if not len(known):
+        return np.zeros(len(token), dtype=np.int64), np.zeros(len(token), dtype=np.int64)
+    order = np.argsort(known)
+    known, count, low = known[order], count[order], low[order]
+    at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+    return np.where(known[at] == token, count[at], 0), low[at]
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["kind", "q", "n", "home", "cands"])
 
+_INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("leaders", pa.list_(pa.int64())), ("tokens", pa.binary()), ("hot", pa.binary()), ("kind", pa.binary()), ("hot_size", pa.int64())])
 
-def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """The rows of each value of the first column, by which they are sorted."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        keys = np.asarray(batch.column(0))
-        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            if keys[a] != now and held:
-                yield pa.Table.from_batches(held).to_pandas()
-                held = []
-            now = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held).to_pandas()
-
-
-def _slices(size: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
-    """Ranges of lists with about ``most`` pairs each, so that a block's pairs are never held at once."""
-    total = np.cumsum(size.astype(float) * (size - 1) / 2)
-    at = 0
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
-        yield at, to
-        at = to
 
+def _index(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What each document of a bucket posts: its n - L shortest lists, less those that hold no other document.
 
-def _partners(head, size, doc, comp, n, home, regions, rank, fresh) -> Iterator[tuple]:
-    """Pairs in the given lists, by query: partner, its size, lists that hold it, the ranks of the last shared hash in
-    either set, the partner's block, and most hashes that the two sets have in a region which both prefixes cover."""
-    group, within = _expand(size)
-    member = head[group] + within
-    step = max(1, 500_000 // int(size.max()))
-    for lo in range(0, len(member), step):
-        m, w = member[lo : lo + step], within[lo : lo + step]
-        group, nth = _expand(w)
-        x = m[group]
-        y = x - 1 - nth
-        ok = comp[x] != comp[y]
-        ok &= _DEN * np.minimum(n[x], n[y]) >= _NUM * np.maximum(n[x], n[y])
-        if fresh is not None:
-            ok &= fresh[x] | fresh[y]
-        x, y = x[ok], y[ok]
-        order = np.lexsort((doc[y], doc[x]))
-        x, y = x[order], y[order]
-        if not len(x):
-            continue
-        cut = np.flatnonzero(np.diff(doc[x], prepend=doc[x[0]] - 1))
-        for a, b in zip(cut, np.append(cut[1:], len(x))):
-            # a partner met in several lists counts them, and keeps the last ranks
-            at = np.flatnonzero(np.diff(doc[y[a:b]], prepend=doc[y[a]] - 1))
-            hits = np.diff(at, append=b - a)
-            last = [np.maximum.reduceat(rank[v[a:b]], at) for v in (x, y)]
-            p = y[a:b][at]
-            seen = np.max([np.where((r[x[a]] >= 0) & (r[p] >= 0), r[x[a]] + r[p], 0) for r in regions], axis=0)
-            yield "short", int(doc[x[a]]), int(n[x[a]]), int(home[x[a]]), _planes(np.concatenate([doc[p], n[p], hits, *last, home[p], seen]))
-
-
-def merge_lists(n: int, passed: int, lists: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """T-occurrence search for one query, giving partners with their blocks: heap-merges its short lists, each sorted by partner, and counts occurrences.
-
-    A list holds partner, the partner's size, how many of the lists it stands for hold
-    it, the last ranks of the shared hashes in either set, the partner's block, and how
-    many hashes the two sets have in a region that both prefixes cover; ``passed`` is how
-    many long lists the query passed over. In that region, and up to where the first of
-    the two prefixes ends, the two share what the short lists count and at most
-    ``passed`` more, so a partner stays only if the others leave room for T.
+    kind, the digest of its hot shingles, is given to documents whose other shingles
+    don't fill a prefix of n - T + 1. Documents that share less than T shingles go.
     """
-    now, hits, mine, theirs, size, home, region = None, 0, 0, 0, 0, 0, 0
+    out = {k: [] for k in _INDEX.names}
+    for ids, sizes, tokens in zip(*(left.column(k) for k in ("ids", "sizes", "tokens"))):
+        token, sizes = _u64(tokens.as_buffer()), _numbers(sizes.as_buffer())
+        length, low = _facts_for(token, right)
+        ends = np.cumsum(sizes)
+        for doc, n, b in zip(_from_near(ids.as_buffer()).tolist(), sizes.tolist(), ends.tolist()):
+            t, size, least = token[b - n : b], length[b - n : b], low[b - n : b]
+            shared = np.flatnonzero(size)
+            if len(shared) < least_overlap(n):
+                continue
+            shared = shared[np.argsort(size[shared], kind="stable")]
+            posted = shared[: len(shared) - set_aside(n)]
+            named, votes = np.unique(least[posted], return_counts=True)
+            best = named[np.argsort(-votes, kind="stable")]
+            hot = t[size > HOT]
+            crowded = len(hot) >= least_overlap(n)
+            out["doc_id"].append(doc)
+            out["n"].append(n)
+            out["leaders"].append(best[best != doc][:LEADERS])
+            out["tokens"].append(t[posted].tobytes())
+            out["hot"].append((size[posted] > HOT).tobytes())
+            out["kind"].append(np.array([mix(hot).sum(dtype=np.uint64), np.bitwise_xor.reduce(hot), len(hot)], dtype=np.uint64).tobytes() if crowded else None)
+            out["hot_size"].append(len(hot))
+    return pa.table(out, schema=_INDEX)
+
+
+def _probed(pairs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The pairs a, b that link. Whole sets: that of b is sent once for ``TOGETHER`` partners, and every shingle of a probed in it."""
+    pairs = settled(pairs.select("a", "b"))
+    sizes, few = _sized(settled(pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))))
+    dealt = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("doc_id"), F.lit(1).alias("side"))
+    heads = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("doc_id"), F.lit(0).alias("side"))
+    needed, small = _sized(settled(dealt.unionByName(heads)))
+    ids, few = _sized(settled(needed.select("doc_id").distinct()))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, tokens in zip(*(batch.column(k) for k in range(3))):
+                ids, ends, data = _from_near(ids.as_buffer()), np.cumsum(_numbers(sizes.as_buffer())) * 8, tokens.as_buffer().to_pybytes()
+                for lo in range(0, len(ids), 256):
+                    sets = [data[a:b] for a, b in zip([0, *ends][lo : lo + 256], ends[lo : lo + 256])]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 256]), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    def stays() -> bool:
-        seen = max(region, min(prefix_length(n) + theirs + 1, prefix_length(size) + mine + 1))
-        return seen - 2 * (hits + passed) <= n + size - 2 * least_overlap(n, size)
+    sets = buckets.select("ids", "sizes", "tokens").mapInArrow(unpacked, "doc_id long, shingles binary")
+    rows = (sets.join(ids, "doc_id", "left_semi") if few else sets).join(needed, "doc_id").select("b", "part", "side", "doc_id", "shingles")
 
-    for partner, m, count, i, j, block, both in heapq.merge(*(zip(*x.tolist()) for x in lists)):
-        if partner != now:
-            if now is not None and stays():
-                yield now, home
-            now, hits, mine, theirs, size, home, region = partner, 0, 0, 0, m, block, both
-        hits, mine, theirs = hits + count, max(mine, i), max(theirs, j)
-    if now is not None and stays():
-        yield now, home
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, dtype=np.uint64)
+        for batch in batches:
+            found = []
+            for b, side, doc, s in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), batch.column(4)):
+                s = _u64(s.as_buffer())
+                if side == 0:
+                    held = s.copy()
+                elif len(held) and 4 * min(len(s), len(held)) >= 3 * max(len(s), len(held)):
+                    q, c = (s, held) if len(s) < len(held) else (held, s)
+                    shared = int((c[np.minimum(np.searchsorted(c, q), len(c) - 1)] == q).sum())
+                    if 100 * shared >= 75 * (len(s) + len(held) - shared):
+                        found.append((doc, b))
+            yield _two(found)
 
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", "side").mapInArrow(probe, "a long, b long")
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs ``merge_lists`` for each query of rows q, n, passed, home, cands that are sorted by q: pairs of blocks to verify."""
-    for rows in _by_first(batches):
-        n, passed, home = int(rows.n.iloc[0]), int(rows.passed.iloc[0]), int(rows.home.iloc[0])
-        lists = [_whole_numbers(x, np.int64).reshape(7, -1) for x in rows.cands]
-        met = {block for _, block in merge_lists(n, passed, lists)}
-        if met:
-            yield _pairs([(home, block) for block in sorted(met)])
 
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+def _two(found: list[tuple[int, int]]) -> pa.RecordBatch:
     both = np.array(found, dtype=np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _first_round(n: int, head: np.ndarray):
-    t = head[: prefix_length(n)]
-    return t, np.arange(len(t)), np.ones(len(t), dtype=bool)
+#: Of each document that posts lists: id, component, size, hot lists among its posted ones, and number of its kind (0 for none).
+_FACTS = ("ids", "comps", "ns", "hots", "kinds")
 
 
-def _is_long(head: np.ndarray, long: np.ndarray) -> np.ndarray:
-    return long[np.minimum(np.searchsorted(long, head), len(long) - 1)] == head
+def _posting_buckets(index: DataFrame) -> DataFrame:
+    """``index(doc_id, comp, n, kind, tokens, hot)`` many to a row; values are the components."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = np.array([len(x.as_buffer()) // 8 for x in batch.column(4)], dtype=np.int64)
+            docs, comps, ns, kinds = (np.asarray(batch.column(k)) for k in range(4))
+            cuts = [0, *np.flatnonzero(np.diff(np.cumsum(sizes) // BUCKET)) + 1, len(sizes)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                hot = [np.frombuffer(x.as_buffer(), dtype=bool) for x in batch.column(5)[a:b]]
+                facts = (docs[a:b], comps[a:b], ns[a:b], np.array([h.sum() for h in hot], dtype=np.int64), kinds[a:b])
+                row = {"bucket": [nth], "values": [_near(comps[a:b])], "sizes": [_planes(sizes[a:b])], "tokens": [b"".join(x.as_py() for x in batch.column(4)[a:b])]}
+                row |= {"hot": [np.packbits(np.concatenate(hot)).tobytes()], "facts": [_planes(np.concatenate(facts))]}
+                yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("values", "sizes", "tokens", "hot", "facts"))]))
+                nth += 1
 
-def _second_round(long: np.ndarray, keep: np.ndarray | None):
-    """With ``long`` lists last in the order: the prefix, and which of it is new against the first round."""
+    return index.select("doc_id", "comp", "n", "kind", "tokens", "hot").mapInArrow(run, "bucket long, values binary, sizes binary, tokens binary, hot binary, facts binary")
 
-    def chosen(n: int, head: np.ndarray):
-        p = prefix_length(n)
-        last = _is_long(head, long)
-        taken = np.flatnonzero(~last)[:p]
-        fresh = taken >= p
-        if len(taken) < p:  # the set has too few others: long lists come after all
-            rest = np.flatnonzero(last)[: p - len(taken)]
-            taken, fresh = np.concatenate([taken, rest]), np.concatenate([fresh, np.ones(len(rest), dtype=bool)])
-        if keep is not None:
-            bit = (head[taken] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            held = (keep[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-            taken, fresh = taken[held], fresh[held]
-        return head[taken], taken, fresh
 
-    return chosen
+_LISTS = "block long, piece int, other int, pieces int, tokens binary, hot binary, runs binary, facts binary"
 
 
-def _passed(long: np.ndarray):
-    """doc_id, how many long lists its prefix passes over, and whether its head ends before its prefix."""
+def _postings(blocks: int):
+    """Deals a bucket's postings in lists of several components to the blocks of those lists.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            passed, short = [], []
-            for n, head in zip(batch.column(1).to_pylist(), batch.column(2)):
-                last = _is_long(_from_short(head.as_buffer()), long)
-                others = np.flatnonzero(~last)[: prefix_length(n)]
-                short.append(len(others) < prefix_length(n) and len(last) < n)
-                passed.append(int(last.sum()) if len(others) < prefix_length(n) else int(last[: others[-1]].sum()))
-            keep = pa.array([bool(x or y) for x, y in zip(passed, short)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(passed, pa.int64()), pa.array(short, pa.bool_())], names=["q", "passed", "short"]).filter(keep)
+    Of hot lists only documents with a kind are sent. Lists of over ``CHUNK`` documents
+    are cut into pieces, and each pair of pieces is a block of its own.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {k.split()[0]: [] for k in _LISTS.split(", ")}
+        for sizes, tokens, hot, facts in zip(*(left.column(k) for k in ("sizes", "tokens", "hot", "facts"))):
+            token, sizes = _u64(tokens.as_buffer()), _numbers(sizes.as_buffer())
+            hot = np.unpackbits(np.frombuffer(hot.as_buffer(), dtype=np.uint8), count=len(token)).astype(bool)
+            facts = _numbers(facts.as_buffer()).reshape(len(_FACTS), -1)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            length, _ = _facts_for(token, right)
+            sent = np.flatnonzero((length > 0) & (~hot | (facts[4, row] != 0)))
+            token, hot, row, pieces = token[sent], hot[sent], row[sent], -(-length[sent] // CHUNK)
+            block = np.where(pieces == 1, _block_of(token, blocks), mix(token).view(np.int64) | np.int64(1 << 62))
+            mine = np.where(pieces == 1, 0, facts[0, row] % pieces)
+            for most in np.unique(pieces).tolist():
+                of = np.flatnonzero(pieces == most)
+                for other in range(most):
+                    low, high = np.minimum(mine[of], other), np.maximum(mine[of], other)
+                    order = of[np.lexsort((row[of], high, low, block[of]))]
+                    ends = np.lexsort((row[of], high, low, block[of]))
+                    key = np.stack([block[of], low, high])[:, ends]
+                    cuts = np.append(np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])), len(order))
+                    for a, b in zip(cuts[:-1], cuts[1:]):
+                        at = order[a:b]
+                        who = _runs(row[at])
+                        out["block"].append(int(key[0, a]))
+                        out["piece"].append(int(key[1, a]))
+                        out["other"].append(int(key[2, a]))
+                        out["pieces"].append(most)
+                        out["tokens"].append(token[at].tobytes())
+                        out["hot"].append(np.packbits(hot[at]).tobytes())
+                        out["runs"].append(_planes(np.diff(who, append=len(at))))
+                        out["facts"].append(_planes(facts[:, row[at][who]].ravel()))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table(out, schema=pa.schema(list(zip(out, kinds))))
 
     return run
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        heads = [_short_hashes(np.unique(shingle_hashes(w))) for w in words_by_row(batch.column(4))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(heads, pa.binary())], names=["doc_id", "comp", "n", "block", "head"])
+_FOUND = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("cands", pa.binary())])
+
+
+def _pairs_of_lists(table: pa.Table) -> pa.Table:
+    """Pairs of different components in the lists of a block, by query: partner, its size, lists that hold both, and hot lists that may."""
+    piece, other, pieces = (table.column(k)[0].as_py() for k in ("piece", "other", "pieces"))
+    token = _column(table, "tokens", _u64)
+    hot = np.concatenate([np.unpackbits(np.frombuffer(h.as_buffer(), dtype=np.uint8), count=len(t.as_buffer()) // 8) for h, t in zip(table.column("hot"), table.column("tokens"))]).astype(bool)
+    info = np.concatenate([np.repeat(_numbers(f.as_buffer()).reshape(len(_FACTS), -1), _numbers(r.as_buffer()), axis=1) for f, r in zip(table.column("facts"), table.column("runs"))], axis=1)
+    order = np.lexsort((info[0], token))
+    token, hot, info = token[order], hot[order], info[:, order]
+    start = _runs(token)
+    size = np.diff(start, append=len(token))
+    # element k of a list meets the k elements before it
+    nth = np.arange(len(token)) - np.repeat(start, size)
+    doc, comp, n, hots, kind = info
+    found: list[tuple[np.ndarray, ...]] = []
+    total = np.cumsum(nth)
+    at = 0
+    while at < len(token):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, side="right")))
+        x = np.repeat(np.arange(at, to), nth[at:to])
+        y = x - 1 - (np.arange(len(x)) - np.repeat(np.cumsum(nth[at:to]) - nth[at:to], nth[at:to]))
+        ok = (comp[x] != comp[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
+        # two documents with kinds meet in hot lists unless they are of one kind
+        apart = (kind[x] != 0) & (kind[y] != 0) & (kind[x] != kind[y])
+        ok &= ~hot[x] | apart
+        if pieces > 1:
+            ok &= (np.minimum(doc[x] % pieces, doc[y] % pieces) == piece) & (np.maximum(doc[x] % pieces, doc[y] % pieces) == other)
+        x, y, apart = x[ok], y[ok], apart[ok]
+        found.append(_counted(doc[x], n[x], doc[y], n[y], np.ones(len(x), dtype=np.int64), np.where(apart, 0, np.minimum(hots[x], hots[y]))))
+        if len(found) > 8:
+            found = [_counted(*(np.concatenate(c) for c in zip(*found)))]
+        at = to
+    q, size, p, m, hits, room = _counted(*(np.concatenate(c) for c in zip(*found))) if found else [np.empty(0, dtype=np.int64)] * 6
+    cuts = np.append(_runs(q), len(q))
+    out = {"q": q[cuts[:-1]], "n": size[cuts[:-1]], "cands": [_planes(np.concatenate([v[a:b] for v in (p, m, hits, room)])) for a, b in zip(cuts[:-1], cuts[1:])]}
+    return pa.table(out, schema=_FOUND)
 
 
-def _all_known(n: int, head: np.ndarray):
-    return head, np.arange(len(head)), np.zeros(len(head), dtype=bool)
+def _counted(q, n, p, m, hits, room) -> tuple[np.ndarray, ...]:
+    """One row for each query and partner, in order."""
+    order = np.lexsort((p, q))
+    q, n, p, m, hits, room = (v[order] for v in (q, n, p, m, hits, room))
+    start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (p[1:] != p[:-1])])) if len(q) else np.empty(0, dtype=np.int64)
+    return q[start], n[start], p[start], m[start], np.add.reduceat(hits, start) if len(q) else hits, room[start]
 
 
-def _reaching(docs: DataFrame, labelled: DataFrame, long: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """``labelled`` with whole sets where the kept hashes end before a prefix without ``long`` lists does, and what each passes over."""
-    passed = settled(labelled.select("doc_id", "n", "head").mapInArrow(_passed(long), "q long, passed long, short boolean"))
-    ended = settled(passed.filter("short").select(F.col("q").alias("doc_id")))
-    if ended.isEmpty():
-        return labelled, passed
-    sent, small = _sized(ended)
-    texts = docs.select("doc_id", "text")
-    whole = (texts.join(sent, "doc_id", "left_semi") if small else texts).join(labelled.join(sent, "doc_id").select("doc_id", "comp", "n", "block"), "doc_id")
-    whole = settled(whole.select("doc_id", "comp", "n", "block", "text").mapInArrow(_whole, "doc_id long, comp long, n long, block long, head binary"))
-    again = whole.select("doc_id", "n", "head").mapInArrow(_passed(long), "q long, passed long, short boolean")
-    return labelled.join(sent, "doc_id", "left_anti").unionByName(whole), settled(passed.filter("not short").unionByName(again))
+def merge_lists(n: int, lists: list[np.ndarray]) -> Iterator[int]:
+    """T-occurrence search for a query of n shingles: heap-merges its short lists and gives the partners that occur often enough.
+
+    A list (sorted by partner) has partner, its size, how many of the lists that it
+    stands for hold it, and how many hot lists may hold it and are not merged.
+    """
+    now, hits, least = None, 0, 0
+    for partner, m, count, room in heapq.merge(*(zip(*x.tolist()) for x in lists)):
+        if partner != now:
+            if now is not None and hits >= least:
+                yield now
+            now, hits, least = partner, 0, occurrences(min(n, m)) - room
+        hits += count
+    if now is not None and hits >= least:
+        yield now
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs ``merge_lists`` for each query of rows q, n, cands that are sorted by q."""
+    now, size, lists = None, 0, []
+    for batch in batches:
+        found = []
+        for q, n, cands in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if q != now:
+                found.extend((now, p) for p in merge_lists(size, lists))
+                now, size, lists = q, n, []
+            lists.append(_numbers(cands.as_buffer()).reshape(4, -1))
+        yield _two(found)
+    yield _two([(now, p) for p in merge_lists(size, lists)])
+
+
+def _stars(index: DataFrame) -> DataFrame:
+    """Links of documents of one kind: they share all hot shingles, so a star around the smallest connects those that this alone links."""
+    of = index.filter("kind is not null").select("kind", "doc_id", "n", "hot_size")
+    hubs = of.groupBy("kind").agg(F.min(F.struct("n", "doc_id")).alias("hub"), F.count("*").alias("rows")).filter("rows > 1")
+    hubs, _ = _sized(settled(hubs.select("kind", "hub")))
+    return of.join(hubs, "kind").filter("doc_id <> hub.doc_id and 7 * hot_size >= 3 * (n + hub.n)").select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -531,77 +545,42 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sig = settled(signatures(docs))
     real = sig.filter("doc_id is not null and n > 0")
     same = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = real.select("doc_id", "digest").join(same.filter("copies > 1"), "digest").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copies = settled(copies)
-    others, small_copies = _sized(copies.select(F.col("a").alias("doc_id")))
+    copies = settled(real.select("doc_id", "digest").join(same.filter("copies > 1"), "digest").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "digest"))
+    others, _ = _sized(copies.select(F.col("a").alias("doc_id")))
     reps = real.join(others, "doc_id", "left_anti")
-    blocks, families = _blocks(reps.drop("head"))
-    near = settled(_verified(docs, blocks, families))
-    comps, small_comps = _sized(settled(components(near).withColumnRenamed("node", "doc_id")))
-    sent, small_blocks = _sized(blocks)
-    labelled = reps.join(comps, "doc_id", "left").join(sent, "doc_id").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "block", "head", "digest")
     # a head is left out where its task had it already, from a copy with a larger doc_id
-    lost = settled(labelled.filter("head is null"))
-    digests, few = _sized(lost.select("digest"))
-    if not (few and lost.isEmpty()):
-        heads = real.filter("head is not null").join(digests, "digest", "left_semi").groupBy("digest").agg(F.first("head").alias("head"))
-        labelled = labelled.filter("head is not null").unionByName(settled(lost.drop("head").join(heads, "digest")))
-    labelled = labelled.drop("digest")
-    if not (small_copies and small_comps and small_blocks):
-        labelled = settled(labelled)
-    total = labelled.agg(F.sum(F.length("head"))).first()[0] or 0
-    parts = max(8, math.ceil(total / 6 / 1.4 / BLOCK))
-
-    def lists(chosen, *scan) -> DataFrame:
-        packed = labelled.mapInArrow(_pack(parts, chosen), _PACKED)
-        return settled(packed.repartition("block").sortWithinPartitions("block").mapInArrow(_scan(*scan), _FOUND))
-
-    found = lists(_first_round, 0, LONG, True, False)
-    short = found.filter("kind = 'short'").withColumn("passed", F.lit(0))
-    heaviest = found.filter("kind = 'long'").select("q", "n").orderBy(F.desc("n"), "q").limit(MOST_LONG + 1).collect()
-    if heaviest:
-        least = heaviest[-1].n if len(heaviest) > MOST_LONG else LONG
-        long = np.sort(np.array([r.q for r in heaviest if r.n > least], dtype=np.int64).view(np.uint64))
-        if least > LONG:  # more than may be told: those that give the fewest pairs are merged like short ones
-            short = short.unionByName(lists(_first_round, LONG, least, False, False).withColumn("passed", F.lit(0)))
-        if len(long):
-            labelled, passed = _reaching(docs, labelled, long)
-            # what those documents go on to may be in long lists too
-            near_long = labelled.join(_sized(passed.select(F.col("q").alias("doc_id")))[0], "doc_id", "left_semi")
-            packed = near_long.mapInArrow(_pack(parts, _all_known), _PACKED)
-            named = packed.repartition("block").sortWithinPartitions("block").mapInArrow(_scan(0, LONG, True, False, listing=False), _FOUND)
-            more = [r.q for r in named.orderBy(F.desc("n"), "q").limit(max(0, MOST_LONG - len(long))).select("q").collect()]
-            if more:
-                long = np.union1d(long, np.array(more, dtype=np.int64).view(np.uint64))
-                labelled, passed = _reaching(docs, labelled, long)
-            keep = _fresh_filter(labelled, long)
-            more = lists(_second_round(long, keep), 0, 1 << 62, False, True)
-            short = short.drop("passed").unionByName(more).join(passed.select("q", "passed"), "q", "left").fillna(0, ["passed"])
-    queries = short.select("q", "n", "passed", "home", "cands").repartition("q").sortWithinPartitions("q")
-    cands = settled(queries.mapInArrow(_merge, "a long, b long"))
-    return sig, copies.unionByName(near).unionByName(_verified(docs, blocks, cands))
-
-
-def _fresh_filter(labelled: DataFrame, long: np.ndarray) -> np.ndarray:
-    """A bit for each leading ``FILTER_BITS`` bits of a hash that some document takes up in the second round only."""
-    chosen = _second_round(long, None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
-        for batch in batches:
-            for n, head in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t, _, fresh = chosen(n, _from_short(head.as_buffer()))
-                bit = (t[fresh] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                np.bitwise_or.at(bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-        words = bits.view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
-
-    rows = labelled.select("n", "head").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect()
-    words = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
-    for at, word in rows:
-        words[at] = word
-    return words.view(np.uint8)
+    lost = settled(reps.filter("head is null").select("doc_id", "n", "digest"))
+    heads = reps.filter("head is not null").select("doc_id", "n", "head")
+    if not lost.isEmpty():
+        digests, _ = _sized(lost.select("digest"))
+        found = real.filter("head is not null").join(digests, "digest", "left_semi").groupBy("digest").agg(F.first("head").alias("head"))
+        heads = heads.unionByName(lost.join(found, "digest").select("doc_id", "n", "head"))
+    copies = copies.select("a", "b")
+    total = heads.agg(F.sum(F.length("head"))).first()[0] or 0
+    reaching, few = _sized(settled(_reaching(heads, total // 6)))
+    texts = docs.select("doc_id", "text").join(reaching, "doc_id", "left_semi")
+    buckets = settled(buckets_of(texts))
+    total = buckets.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    if not total:
+        return sig, copies
+    blocks = max(8, total // 8 // BLOCK)
+    facts = _list_facts(buckets.withColumn("values", F.col("ids")), blocks)
+    schema = "doc_id long, n long, leaders array<long>, tokens binary, hot binary, kind binary, hot_size long"
+    index = settled(buckets.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(_index, schema))
+    first = settled(_probed(index.filter("size(leaders) > 0").select(F.col("doc_id").alias("a"), F.col("leaders")[0].alias("b")), buckets))
+    led, _ = _sized(first.select(F.col("a").alias("doc_id")))
+    rest = index.filter("size(leaders) > 1").join(led, "doc_id", "left_anti").select(F.col("doc_id").alias("a"), F.explode(F.slice("leaders", 2, LEADERS)).alias("b"))
+    near = settled(first.unionByName(_probed(rest, buckets)).unionByName(_stars(index)))
+    comps, _ = _sized(settled(components(near).withColumnRenamed("node", "doc_id")))
+    # the number of a kind only keeps apart; equal numbers of different kinds would leave out pairs, so it is of 63 bits
+    number = F.when(F.col("kind").isNull(), F.lit(0)).otherwise(F.shiftrightunsigned(F.xxhash64("kind"), 1) + 1)
+    posted = index.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).withColumn("kind", number)
+    postings = settled(_posting_buckets(posted))
+    mixed = _list_facts(postings, blocks)
+    lists = postings.groupBy("bucket").cogroup(mixed.groupBy("bucket")).applyInArrow(_postings(blocks), _LISTS)
+    found = lists.groupBy("block", "piece", "other", "pieces").applyInArrow(_pairs_of_lists, "q long, n long, cands binary")
+    pairs = found.repartition("q").sortWithinPartitions("q").mapInArrow(_merge, "a long, b long")
+    return sig, copies.unionByName(near).unionByName(_probed(pairs, buckets))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:

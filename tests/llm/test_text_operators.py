@@ -80,26 +80,46 @@ def family(seed, n=220):
     return rows
 
 
-@pytest.mark.parametrize("long", [6, 2048])
-def test_ngram_components(spark, monkeypatch, long):
-    monkeypatch.setattr(ngram_join, "LONG", long)
-    monkeypatch.setattr(ngram_join, "BLOCK", 300)
-    monkeypatch.setattr(ngram_join, "TOGETHER", 5)
-    rows = family(long)
+def small_parts(monkeypatch, hot):
+    for name, value in (("HOT", hot), ("BLOCK", 300), ("BUCKET", 1500), ("CHUNK", 7), ("TOGETHER", 5)):
+        monkeypatch.setattr(ngram_join, name, value)
+
+
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_ngram_components(spark, monkeypatch, hot):
+    small_parts(monkeypatch, hot)
+    rows = family(hot)
     got = {tuple(r) for r in ngram_join.ngram_components(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
     assert got == brute_components(rows)
 
 
 def test_ngram_components_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LONG", 6)
-    monkeypatch.setattr(ngram_join, "MOST_LONG", 5)
-    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    small_parts(monkeypatch, 6)
     monkeypatch.setattr(ngram_join, "SENT_ROWS", -1)
     rows = family(3, 150)
     got = {tuple(r) for r in ngram_join.ngram_components(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("leaders", [0, 4])
+def test_ngram_components_with_shared_passages(spark, monkeypatch, leaders):
+    """Passages that make 60 to 95 % of many texts: most pairs share them and don't link."""
+    small_parts(monkeypatch, 5)
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    rng = random.Random(leaders)
+    passages = [[f"p{k}w{j}" for j in range(60)] for k in range(3)]
+    rows = []
+    for d in range(160):
+        p = passages[min(2, d % 5)]
+        p = p[: rng.choice([60, 60, 55])]
+        own = [f"d{d}x{j}" for j in range(rng.randint(0, 30))]
+        if d % 7 == 0 and rows:
+            own = rows[rng.randrange(len(rows))][1].split()[-12:]
+        rows.append((d - 3, " ".join(p + own)))
+    got = {tuple(r) for r in ngram_join.ngram_components(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_ngram_edge_cases(spark):
     same = "one two three four five six seven"
     rows = [(5, same, 1), (3, same.upper(), 1), (None, same, 1), (7, None, 1), (8, "", 1), (9, "One two", 1), (2, "one\ttwo", 1), (4, "zz", 1), (4, "zzz " * 50_000, 1), (4, "zz", 1)]
@@ -112,42 +132,25 @@ def test_ngram_edge_cases(spark):
 
 
 def test_merge_lists_counts_occurrences():
-    lists = [np.array([[1, 4], [20, 20], [1, 1], [0, 2], [0, 3], [7, 8], [0, 0]]), np.array([[1, 9], [20, 20], [1, 1], [1, 3], [1, 40], [7, 9], [0, 0]])]
-    # sets of 20 may have 4 unshared hashes in all: with 4, one shared of the first 9 leaves 7
-    assert list(ngram_join.merge_lists(20, 0, lists)) == [(1, 7)]
-    # two long lists passed over may hold two more shared ones
-    # (9: of at least 10 hashes seen 2 * 3 may be shared, which leaves the 4 that are allowed)
-    assert list(ngram_join.merge_lists(20, 2, lists)) == [(1, 7), (4, 8), (9, 9)]
-    assert list(ngram_join.merge_lists(20, 1, lists)) == [(1, 7)]
-    # a region with 9 hashes, of which the two lists that hold partner 1 count 2 twice, leaves 5
-    lists[0][6], lists[1][6] = [9, 0], [9, 0]
-    assert list(ngram_join.merge_lists(20, 0, lists)) == []
-
-
-def test_regions_never_exclude_a_link():
+    # sets of 20: T = 15, L = 12, so that 3 of the merged lists must hold a partner
+    lists = [np.array([[1, 4], [20, 20], [1, 2], [0, 1]]), np.array([[1, 9], [20, 20], [2, 1], [0, 0]])]
+    assert ngram_join.occurrences(20) == 3
+    assert list(ngram_join.merge_lists(20, lists)) == [1, 4]
+    assert list(ngram_join.merge_lists(20, lists[1:])) == []
+
+
+def test_linked_sets_meet_in_merged_lists():
     rng = np.random.default_rng(5)
     for n in [*range(1, 60), 200, 1000]:
         for _ in range(20):
-            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-            b = a[rng.random(len(a)) > 0.12]
-            b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, int(n * rng.random() * 0.2), dtype=np.uint64) * np.uint64(2)]))
+            a = rng.permutation(n)
+            b = np.concatenate([a[rng.random(n) > 0.12], n + np.arange(int(n * rng.random() * 0.2))])
             shared = len(np.intersect1d(a, b))
             if not shared or 100 * shared < 75 * (len(a) + len(b) - shared):
                 continue
-            pa, pb = a[: ngram_join.prefix_length(len(a))], b[: ngram_join.prefix_length(len(b))]
-            hits = len(np.intersect1d(pa, pb))
-            room = len(a) + len(b) - 2 * ngram_join.least_overlap(len(a), len(b))
-            for x, y in zip(ngram_join.region_counts(len(a), a), ngram_join.region_counts(len(b), b)):
-                assert x < 0 or y < 0 or x + y - 2 * hits <= room
-
-
-def test_prefixes_are_enough():
-    for n in range(1, 120):
-        for m in range(1, 120):
-            t = ngram_join.least_overlap(n, m)
-            assert 7 * t >= 3 * (n + m) > 7 * (t - 1)
-            if t <= min(n, m):
-                assert n - ngram_join.prefix_length(n) + 1 <= t and m - ngram_join.prefix_length(m) + 1 <= t
+            order = rng.permutation(3 * n)
+            x, y = (sorted(s, key=lambda t: order[t])[: len(s) - ngram_join.set_aside(len(s))] for s in (a, b))
+            assert len(np.intersect1d(x, y)) >= ngram_join.occurrences(min(len(a), len(b)))
 
 
 def loose(t):
