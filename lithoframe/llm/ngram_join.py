@@ -49,6 +49,8 @@ from lithoframe.llm.text import mix, shingle_hashes, words_by_row
 BLOCK = 300_000
 #: Shingles in a bucket of documents; a larger document is a bucket of its own.
 BUCKET = 300_000
+#: Documents whose answers are added up together, on average.
+ANSWERS = 50_000
 #: A list of more documents than this is hot.
 HOT = 256
 #: Documents of a list that are paired by one task; longer lists are paired piece by piece.
@@ -71,9 +73,16 @@ def set_aside(n: int) -> int:
     return 4 * least_overlap(n) // 5
 
 
-def occurrences(n: int) -> int:
-    """T - L: lists of the n - L merged ones in which two linked sets meet, n being the smaller set."""
-    return least_overlap(n) - set_aside(n)
+def occurrences(n: int, m: int | None = None) -> int:
+    """T - L: merged lists in which sets of n and m that link meet at least; without m, for any partner.
+
+    Of the shingles that two sets share, the first T - L in the order of lists have at
+    most n - T shingles of either set before them that aren't shared, so that both post
+    them; T is the overlap that the two need, ceil(3 (n + m) / 7), and L the larger of theirs.
+    """
+    if m is None:
+        return least_overlap(n) - set_aside(n)
+    return -(-3 * (n + m) // 7) - max(set_aside(n), set_aside(m))
 
 
 def _sized(table: DataFrame) -> tuple[DataFrame, bool]:
@@ -162,6 +171,7 @@ def _reaching(heads: DataFrame, total: int) -> DataFrame:
     need no answer.
     """
     blocks = max(8, total // BLOCK)
+    parts = 1 + heads.count() // ANSWERS
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +196,9 @@ def _reaching(heads: DataFrame, total: int) -> DataFrame:
                 out["block"].append(int(_block_of(token[a : a + 1], blocks)[0]))
                 out["tokens"].append(_short_hashes(token[a:b]))
                 out["docs"].append(_near(ids[who[a:b][who[a:b] < len(ids)]]))
-                out["known"].append(_near(ids[known > 0]) if nth == 0 else b"")
-                out["times"].append(_planes(known[known > 0]) if nth == 0 else b"")
+                told = nth == int(ids[0]) % (len(cuts) - 1)
+                out["known"].append(_near(ids[known > 0]) if told else b"")
+                out["times"].append(_planes(known[known > 0]) if told else b"")
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("tokens", "docs", "known", "times"))]))
 
     def answer(table: pa.Table) -> pa.Table:
@@ -199,13 +210,35 @@ def _reaching(heads: DataFrame, total: int) -> DataFrame:
         token, at = token[order], at[order]
         size = np.diff(_runs(token), append=len(token))
         found = at[np.repeat(size > 1, size)]
-        who, times = np.unique(docs[found[found >= 0]], return_counts=True)
-        return pa.table({"doc_id": np.concatenate([who, _column(table, "known", _from_near)]), "times": np.concatenate([times, _column(table, "times", _numbers)])})
+        docs, times = docs[found[found >= 0]], np.ones((found >= 0).sum(), dtype=np.int64)
+        docs, times = np.concatenate([docs, _column(table, "known", _from_near)]), np.concatenate([times, _column(table, "times", _numbers)])
+        docs, times = _summed(docs, times)
+        part = (docs % parts).astype(np.int64)
+        order = np.lexsort((docs, part))
+        cuts = np.append(_runs(part[order]), len(order))
+        out = {"part": [], "docs": [], "times": []}
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            out["part"].append(int(part[order[a]]))
+            out["docs"].append(_near(docs[order[a:b]]))
+            out["times"].append(_planes(times[order[a:b]]))
+        return pa.table(out, schema=pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("times", pa.binary())]))
+
+    def added(table: pa.Table) -> pa.Table:
+        docs, times = _summed(_column(table, "docs", _from_near), _column(table, "times", _numbers))
+        return pa.table({"doc_id": docs, "times": times})
 
     asked = heads.select("doc_id", "head").mapInArrow(ask, "block long, tokens binary, docs binary, known binary, times binary")
-    times = asked.groupBy("block").applyInArrow(answer, "doc_id long, times long").groupBy("doc_id").agg(F.sum("times").alias("times"))
-    least = F.expr("cast(ceil(0.75 * ceil(0.75 * n)) as long)")
-    return heads.select("doc_id", (least - F.expr("cast(ceil(0.75 * ceil(0.75 * n)) as long) * 4 div 5")).alias("least")).join(times, "doc_id").filter("times >= least").select("doc_id")
+    answers = asked.groupBy("block").applyInArrow(answer, "part long, docs binary, times binary")
+    times = answers.groupBy("part").applyInArrow(added, "doc_id long, times long")
+    least = F.expr("cast(ceil(0.75 * n) as long) - cast(ceil(0.75 * n) as long) * 4 div 5")
+    return heads.select("doc_id", least.alias("least")).join(times, "doc_id").filter("times >= least").select("doc_id")
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    start = _runs(keys[order])
+    return keys[order][start], np.add.reduceat(values[order], start) if len(start) else values
 
 
 _BUCKET = "bucket long, ids binary, sizes binary, tokens binary"
@@ -508,7 +541,7 @@ def merge_lists(n: int, lists: list[np.ndarray]) -> Iterator[int]:
         if partner != now:
             if now is not None and hits >= least:
                 yield now
-            now, hits, least = partner, 0, occurrences(min(n, m)) - room
+            now, hits, least = partner, 0, occurrences(n, m) - room
         hits += count
     if now is not None and hits >= least:
         yield now
@@ -545,7 +578,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sig = settled(signatures(docs))
     real = sig.filter("doc_id is not null and n > 0")
     same = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = settled(real.select("doc_id", "digest").join(same.filter("copies > 1"), "digest").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "digest"))
+    repeated, _ = _sized(settled(same.filter("copies > 1")))
+    copies = settled(real.select("doc_id", "digest").join(repeated, "digest").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "digest"))
     others, _ = _sized(copies.select(F.col("a").alias("doc_id")))
     reps = real.join(others, "doc_id", "left_anti")
     # a head is left out where its task had it already, from a copy with a larger doc_id
