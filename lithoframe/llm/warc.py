@@ -10,6 +10,7 @@ each attempt of a task, and only those that a finished task reports are read.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,10 @@ from lithoframe.llm.storage import settled, shared_folder
 LEAST_BYTES = 100
 #: Bytes of an archive that one read task looks for records in.
 SPLIT_BYTES = 4 << 20
+#: Rows of a table of digests that is sent to all tasks.
+SENT_ROWS = 100_000
+#: Read tasks at most; with more ranges a task reads several.
+TASKS = 20_000
 _READ = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _DATE = "1970-01-01T00:00:00Z"
@@ -33,6 +38,12 @@ _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """``table``, to be sent to all tasks if it has at most ``SENT_ROWS`` rows (it is counted)."""
+    table = settled(table)
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, refers_to (null for a stored record) of each page."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -45,8 +56,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         .filter("n > 1")
         .drop("n")
     )
-    # only digests that repeat are joined; all other rows pass by
-    joined = rows.join(first, "digest", "left")
+    # where the digests that repeat are few, they go to the pages; otherwise the pages go to them
+    joined = rows.join(_sized(first), "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "digest", refers.alias("refers_to"))
 
@@ -152,25 +163,59 @@ def records_in(file, start: int, end: int) -> Iterator[bytes]:
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields in lower case, and the payload behind the HTTP header."""
+    """Header fields in lower case, and the payload: of an HTTP response what follows its header, else the whole block."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
-    block = rest[: int(fields["content-length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    fields: dict[str, str] = {}
+    last = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t"):  # a folded line goes on
+            fields[last] += " " + line.strip()
+            continue
+        last, _, value = line.partition(":")
+        last = last.strip().lower()
+        fields[last] = value.strip()
+    block = rest[: int(fields.get("content-length", len(rest)))]
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    return fields, block.partition(b"\r\n\r\n")[2] if http else block
+
+
+_OWN = re.compile(r"<urn:page:([0-9-]+)>")
+_SHOWN = "record_id string, page_id long, url string, record_type string, refers_to_id string, refers_to long, header_digest string, payload binary, payload_digest string"
 
 
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """page_id, url, record_type, refers_to, header_digest, payload and payload_digest of every record of ``files(path, size)``."""
+    """A row for each record, of any type, of ``files(path, size)``.
+
+    record_id and refers_to_id are as written; page_id and refers_to are the numbers in
+    ids that ``write`` made, null in others. Revisits have no payload and payload_digest,
+    the hexadecimal SHA-256 of what was read; header_digest is what the header says. A
+    missing field is null.
+    """
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    count = files.agg(F.sum(F.ceil(F.greatest("size", F.lit(1)) / split_bytes))).first()[0] or 1
+    # a range is a row of few bytes, but work for a task: the number of tasks is given, lest they be put together
+    ranges = ranges.repartition(int(min(count, TASKS)), "path", "start")
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+    names = [x.split()[0] for x in _SHOWN.split(", ")]
+
+    def number(ident: str | None) -> int | None:
+        own = _OWN.fullmatch(ident or "")
+        return int(own[1]) if own else None
+
+    def row(data: bytes) -> tuple:
+        fields, payload = parse(data)
+        ids = [fields.get(k) for k in ("warc-record-id", "warc-refers-to")]
+        kind = fields.get("warc-type")
+        stored = kind != "revisit"
+        said = fields.get("warc-payload-digest")
+        return (
+            ids[0], number(ids[0]), fields.get("warc-target-uri"), kind, ids[1], number(ids[1]), said and said.removeprefix("sha256:"),
+            payload if stored else None, hashlib.sha256(payload).hexdigest() if stored else None,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "record_type", "refers_to", "header_digest", "payload", "payload_digest"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -178,22 +223,14 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 rows, held = [], 0
                 with files.open_input_file(at) as file:
                     for data in records_in(file, start, start + split_bytes):
-                        fields, payload = parse(data)
-                        ids = [fields.get(k, "<urn:page:none>")[10:-1] for k in ("warc-record-id", "warc-refers-to")]
-                        stored = fields["warc-type"] == "response"
-                        rows.append(
-                            (
-                                None if ids[0] == "none" else int(ids[0]), fields.get("warc-target-uri"), fields["warc-type"], None if ids[1] == "none" else int(ids[1]),
-                                fields["warc-payload-digest"].removeprefix("sha256:"), payload if stored else None, hashlib.sha256(payload).hexdigest() if stored else None,
-                            )
-                        )
-                        held += len(payload)
+                        rows.append(row(data))
+                        held += len(data)
                         if held > 16 << 20:
                             yield made(rows)
                             rows, held = [], 0
                 yield made(rows)
 
-    return ranges.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, header_digest string, payload binary, payload_digest string")
+    return ranges.mapInArrow(run, _SHOWN)
 
 
 def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -210,8 +247,10 @@ def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     # digests are of what was read; a revisit takes them from the record it refers to
     records = settled(read(found, split_bytes).withColumn("payload_bytes", F.length("payload").cast("long")).drop("payload", "url"))
     stored = records.filter("record_type = 'response'")
-    origin = stored.filter("page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
     again = records.filter("record_type = 'revisit'").drop("payload_digest", "payload_bytes")
+    wanted = _sized(again.select(F.col("refers_to").alias("page_id")).distinct())
+    origin = stored.join(wanted, "page_id", "left_semi").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    origin = _sized(origin)
     again = again.join(origin, (again.refers_to == origin.refers_to) & (again.header_digest == origin.payload_digest)).drop(origin.refers_to)
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return stored.select(*out).unionByName(again.select(*out))
