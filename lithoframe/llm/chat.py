@@ -1,10 +1,11 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all turns before it are context, and
-only that reply is trainable. Examples of a conversation share their prefixes, so each
-row of the output holds what its example adds to the one before it: the turns since the
-previous reply and the reply itself, with the span of the reply's text. A last row
-without a span holds turns after the last reply. ``whole_examples`` joins the prefixes.
+Every assistant turn becomes an example of its own (``examples``): all turns before it
+are context, and only that reply is trainable. A last row without a span holds a
+conversation whose last turns have no reply. A conversation of n turns thus writes up to
+n / 2 texts that are n / 2 turns long on average; one conversation, and what it expands
+to, is made in one task. ``formatted`` gives the same in pieces, where each row holds only
+what its example adds to the one before it.
 
 Turns are marked by control strings; control strings inside roles and texts get a
 backslash after their first character, and backslashes are doubled, which
@@ -73,29 +74,29 @@ def turns_of(added: Column) -> Column:
     return F.transform(parts, one)
 
 
-def whole_examples(rows: DataFrame) -> DataFrame:
-    """conv_id, example, text (all context and the reply), target_start and target_end of every example of ``formatted``."""
-    before = F.expr("coalesce(array_join(collect_list(added) over (partition by conv_id order by example rows between unbounded preceding and 1 preceding), ''), '')")
-    shifted = rows.withColumn("before", before)
-    return shifted.filter("target_start is not null").select(
-        "conv_id", "example", F.concat("before", "added").alias("text"), (F.length("before") + F.col("target_start")).alias("target_start"), (F.length("before") + F.col("target_end")).alias("target_end")
-    )
+def examples(conversations: DataFrame) -> DataFrame:
+    """conv_id, example (from 0), text (all turns up to the reply), target_start and target_end (characters of text; null without a reply).
+
+    Nulls, ties and repeated rows are as in ``formatted``.
+    """
+    frame = "over (partition by conv_id order by example rows between unbounded preceding and 1 preceding)"
+    shifted = formatted(conversations).withColumn("before", F.expr(f"coalesce(array_join(collect_list(added) {frame}, ''), '')"))
+    at = F.length("before")
+    return shifted.select("conv_id", "example", F.concat("before", "added").alias("text"), (at + F.col("target_start")).alias("target_start"), (at + F.col("target_end")).alias("target_end"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """What ``formatted`` holds, read back from it: turns, trainable text and lengths of each conversation."""
-    reply = F.expr("substring(added, target_start + 1, target_end - target_start)")
-    turns = turns_of(F.col("added"))
-    parts = rows.select("conv_id", "example", turns.alias("turns"), F.when(F.col("target_start").isNotNull(), unescaped(reply)).otherwise("").alias("loss"), F.length("added").alias("chars"))
-    parts = parts.select("conv_id", F.size("turns").alias("n"), "chars", F.struct("example", F.array_join("turns", "").alias("turns"), "loss").alias("p"))
-    whole = parts.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sum("chars").cast("long").alias("formatted_chars"), F.sort_array(F.collect_list("p")).alias("p"))
-    loss = F.array_join(F.transform("p", lambda x: x["loss"]), "")
+    """What ``examples`` gave, read back from it: turns from a conversation's longest text, each reply from the span of its own example."""
+    reply = F.when(F.col("target_start").isNotNull(), unescaped(F.expr("substring(text, target_start + 1, target_end - target_start)")))
+    parts = rows.select("conv_id", "example", "text", F.struct("example", reply.alias("reply")).alias("p"))
+    whole = parts.groupBy("conv_id").agg(F.max_by("text", "example").alias("text"), F.sum(F.length("text")).cast("long").alias("formatted_chars"), F.sort_array(F.collect_list("p")).alias("p"))
+    whole = whole.select("conv_id", "formatted_chars", turns_of(F.col("text")).alias("turns"), F.array_join(F.transform("p", lambda x: x["reply"]), "").alias("loss"))
     return whole.select(
         "conv_id",
-        "n_turns",
-        F.sha2(F.array_join(F.transform("p", lambda x: x["turns"]), "").cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
 
@@ -111,11 +112,15 @@ ORACLE_SQL = f"""
 with c as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
     union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as nth, count(*) over (partition by conv_id) as n,
+           {len(START) + len(END) + 1} + length({_escaped_sql("role")}) + length({_escaped_sql("text")}) as chars from c),
+x as (select *, sum(chars) over (partition by conv_id order by nth) as upto from e),
 d as (
     select conv_id, count(*)::bigint as n_turns,
-           string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
-           coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
-           sum({len(START) + len(END) + 1} + length({_escaped_sql("role")}) + length({_escaped_sql("text")}))::bigint as formatted_chars
-    from c group by conv_id)
+           string_agg(role || chr(10) || text || chr(10), '' order by nth) as turns,
+           coalesce(string_agg(text, '' order by nth) filter (where role = 'assistant'), '') as loss,
+           (sum(upto) filter (where role = 'assistant' or nth = n))::bigint as formatted_chars
+    from x group by conv_id)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from d
 """

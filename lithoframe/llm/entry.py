@@ -25,7 +25,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = langid.page_evidence(_table(spark, sf_dir, "pages"))
-    return langid.identify(pages, declared="declared", host="host", suffix="suffix", key="page_id", narrow=True)
+    return langid.identify(pages, declared="declared", host="host", suffix="suffix", key="page_id", narrow=True, labelled=_table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return chat.digests(settled(chat.formatted(_table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more))))
+    return chat.digests(settled(chat.examples(_table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more))))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
