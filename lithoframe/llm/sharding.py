@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lithoframe.llm.storage import settled
 
 SHARD_BYTES = 1 << 20
+#: Cells of the directory that are sent to all tasks; a larger directory is joined by a shuffle.
+SENT_ROWS = 200_000
 _WIDTH = 60
 _MOST = 2 * _WIDTH
 
@@ -31,6 +33,12 @@ def hash_bits(doc_id: Column, text: Column) -> Column:
     return F.concat(_sixty(first), _sixty(second))
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """``table``, to be sent to all tasks if it has at most ``SENT_ROWS`` rows (it is counted)."""
+    table = settled(table)
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def _leaves(cells: DataFrame, start: int, depth: int, limit: int) -> DataFrame:
     """cell, shard and shard_bytes (null where no prefix of ``start`` to ``depth`` bits fits)."""
     sizes = (
@@ -57,14 +65,15 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     start, depth = 0, min(_MOST, max(0, math.ceil(math.log2(max(1, total / limit)))) + 3)
     done, open_rows = None, keyed
     while True:
-        cells = open_rows.groupBy(F.substring("__bits", 1, depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), (F.min("__bits") == F.max("__bits")).alias("one"))
+        # the directory: a few cells for each shard
+        cells = settled(open_rows.groupBy(F.substring("__bits", 1, depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), (F.min("__bits") == F.max("__bits")).alias("one")))
         leaves = _leaves(cells, start, depth, limit)
         # rows with all bits in common can't be split, however many are looked at
         alone = cells.filter((F.col("bytes") > limit) & F.col("one")).select("cell", F.col("bytes").alias("alone"))
         leaves = leaves.join(alone, "cell", "left").select(
             "cell", F.coalesce("shard", F.when(F.col("alone").isNotNull(), F.col("cell"))).alias("shard"), F.coalesce("shard_bytes", "alone").alias("shard_bytes")
         )
-        placed = open_rows.withColumn("cell", F.substring("__bits", 1, depth)).join(leaves, "cell").drop("cell")
+        placed = open_rows.withColumn("__cell", F.substring("__bits", 1, depth)).join(_sized(leaves.withColumnRenamed("cell", "__cell")), "__cell").drop("__cell")
         still = not cells.filter((F.col("bytes") > limit) & ~F.col("one")).isEmpty()
         part = (placed.filter("shard is not null") if still else placed).drop("__bits")
         done = part if done is None else done.unionByName(part)
