@@ -191,7 +191,7 @@ def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, key: str = "doc_id", label: str | None = None, narrow: bool = False) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, key: str = "doc_id", label: str | None = None, narrow: bool = False, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with language, probability, by_text (the text's own verdict) and kept.
 
     ``declared``, ``host`` and ``suffix`` name columns of evidence, which may be null or
@@ -199,11 +199,13 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     run of letters, have no evidence of their own: their language is null, their
     probability 0, and they are not kept. Rows repeat as they come; ties go to the
     language first by name. Columns named like the results are replaced; without
-    labelled rows every language is null. ``narrow`` keeps key and evidence only.
+    labelled rows every language is null. ``narrow`` keeps key and evidence only. Models
+    are fitted on ``labelled(doc_id, text, lang)``, or else on ``docs`` and its ``label``
+    (that which is declared, if none is named).
     """
     columns = [c for c in docs.columns if c not in ("language", "probability", "by_text", "kept")]
-    of = (text, label or declared or "lang", key)
-    names = labels(docs, *of)
+    of = (docs, text, label or declared or "lang", key) if labelled is None else (labelled,)
+    names = labels(*of)
     found = docs.select(*columns)
     out = [key] if narrow else columns
     if not names:
@@ -216,7 +218,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     # one group's models at a time are in memory; a further group reads what the last one wrote
     scored = found
     for at in range(0, len(names), LANGUAGES):
-        scored = _scored(settled(scored) if at else scored, text, *fit(docs, *of, only=names[at : at + LANGUAGES]))
+        scored = _scored(settled(scored) if at else scored, text, *fit(*of, only=names[at : at + LANGUAGES]))
     if narrow:
         scored = settled(scored.drop(text))
     hosts, said, ends = (_sized(t) for t in _evidence(scored if narrow else scored.drop(*columns), names))
