@@ -8,7 +8,7 @@ document, without any table. Separators and layout stay as they are.
 
 - payment cards (13 to 19 digits, Luhn): all digits but the check digit, which is then
   computed anew;
-- telephone numbers: the last ten digits at most, the country code stays;
+- telephone numbers: the last ten digits at most; behind a plus sign the country code stays;
 - social security numbers: nine digits, walked on until valid again;
 - IPv4 addresses: 32 bits;
 - dates (year-month-day, or day and month before the year): the days of the years 1900 to 2099;
@@ -37,6 +37,12 @@ _PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1
 _ANY = "|".join([_EMAIL, _SECRET, _IP, _DATE, _SSN, _CARD, _PHONE])
 
 
+#: Country calling codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
+
 def _digest(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)).cast("binary"), 256)
 
@@ -112,7 +118,8 @@ def _card(value: Column, key: str) -> Column:
 def _phone(value: Column, key: str) -> Column:
     def on(digits: Column) -> Column:
         n = F.length(digits)
-        kept = F.greatest(n - 10, F.lit(0))
+        code = F.when(~F.startswith(value, F.lit("+")), 0).when(digits.rlike("^[17]"), 1).when(F.substr(digits, F.lit(1), F.lit(2)).isin(_TWO_DIGITS), 2).otherwise(3)
+        kept = F.greatest(n - 10, code)
         new = F.concat(F.substr(digits, F.lit(1), kept), permuted_digits(F.substr(digits, kept + 1), key, F.lit("phone")))
         return F.when(n.between(8, 15), _laid_out(value, new))
 
@@ -179,7 +186,7 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    return F.concat(F.lit("user"), F.substring(_digest(key, F.lit("email"), F.lower(value)), 1, 12), F.lit("@example.invalid"))
+    return F.concat(F.lit("user"), F.substring(_digest(key, F.lit("email"), F.lower(value)), 1, 24), F.lit("@example.invalid"))
 
 
 def _secret(value: Column, key: str) -> Column:
@@ -204,7 +211,8 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with personal data in its text replaced, and n_replaced.
 
-    A null text stays null with 0 replaced. Equal values (letter case aside for
+    A null text stays null with 0 replaced; rows that repeat come out alike, and an empty
+    table gives an empty one. Equal values (letter case aside for
     addresses and secrets) get equal pseudonyms wherever they occur; what fails
     validation stays. Other columns stay; columns named like the results are replaced.
     """

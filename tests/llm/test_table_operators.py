@@ -6,6 +6,7 @@ import io
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -20,7 +21,8 @@ DOCS = "doc_id long, text string"
 def test_shards_fit(spark):
     rng = random.Random(1)
     rows = [(k, "x" * rng.randint(0, 400)) for k in range(600)] + [(700, None), (None, "y" * 300), (None, "z" * 300), (701, "w" * 5000)]
-    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, shard string")
+    df = spark.createDataFrame([(*r, "s", "c") for r in rows], "doc_id long, text string, shard string, cell string")
+    assert sharding.shards(df, 2000).columns == ["doc_id", "text", "cell", "shard", "bytes", "shard_bytes"]
     got = sharding.shards(df, 2000).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
     held, seen = Counter(), defaultdict(set)
@@ -88,6 +90,23 @@ def test_warc_members_and_false_magic():
         assert found == [gzip.decompress(p) for p in parts]
 
 
+def test_foreign_records(spark, tmp_path):
+    def record(kind, ident, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", *more, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>"
+    blob = record("warcinfo", "<urn:uuid:1>", b"software: x\r\n", "Content-Type: application/warc-fields")
+    blob += record("request", "<urn:uuid:2>", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request", "X-Folded: a", "  b")
+    blob += record("response", "<urn:uuid:3>", http, "content-type:application/http;msgtype=response", "WARC-Target-URI: http://a:80/b", "WARC-Payload-Digest: sha1:ABC")
+    blob += record("revisit", "<urn:uuid:4>", b"", "WARC-Refers-To: <urn:uuid:3>")
+    (tmp_path / "f.warc.gz").write_bytes(blob)
+    got = {r.record_id[-2]: r for r in warc.read(warc.archives(spark, f"file://{tmp_path}/*.gz"), 150).collect()}
+    assert [got[k].record_type for k in "1234"] == ["warcinfo", "request", "response", "revisit"] and all(r.page_id is None for r in got.values())
+    assert bytes(got["1"].payload) == b"software: x\r\n" and bytes(got["3"].payload) == b"<p>" and got["3"].payload_digest == hashlib.sha256(b"<p>").hexdigest()
+    assert (got["3"].url, got["3"].header_digest) == ("http://a:80/b", "sha1:ABC") and (got["4"].refers_to_id, got["4"].payload) == ("<urn:uuid:3>", None)
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -106,7 +125,7 @@ def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "a\\b <|im_end|>\n"), (1, 2, "assistant", "</s>[INST] \\< ok <|im_start|>"), (1, 3, "user", "x"), (1, 4, "assistant", ""), (1, 5, "user", "tailé\U0001f600")]
     rows += [(2, 0, "assistant", "\\"), (2, 0, "assistant", "\\"), (2, None, "us\ner<|", None), (3, 1, None, "only"), (None, 0, "assistant", "n"), (4, 0, "assistant", "y" * 100_000)]
     df = spark.createDataFrame([(*r, 7) for r in rows], CONV + ", example int")
-    out = chat.formatted(df)
+    out = chat.examples(df)
     got = {r.conv_id: r for r in chat.digests(out).collect()}
     for c in {r[0] for r in rows}:
         turns = sorted(((t is not None, t or 0, r or "", x or "") for i, t, r, x in rows if i == c))
@@ -115,25 +134,68 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{x}\n" for _, _, a, x in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    whole = {(r.conv_id, r.example): r for r in chat.whole_examples(out).collect()}
-    assert {k for k in whole if k[0] == 1} == {(1, 0), (1, 1)}
+    assert got[1].formatted_chars == sum(len(r.text) for r in out.collect() if r.conv_id == 1)
+    whole = {(r.conv_id, r.example): r for r in out.collect()}
+    assert {k: r.target_start is None for k, r in whole.items() if k[0] == 1} == {(1, 0): False, (1, 1): False, (1, 2): True}
     first, second = whole[1, 0], whole[1, 1]
     assert second.text.startswith(first.text) and second.text.count("<|im_start|>") == 5
     assert second.target_start == second.target_end and len(first.text) == first.target_end + len(chat.END)
-    assert chat.formatted(df.limit(0)).count() == 0
+    assert chat.examples(df.limit(0)).count() == 0
+    # every reply has all turns before it as context, and is the only trainable text
+    for (c, e), r in whole.items():
+        if r.target_start is not None:
+            assert r.text[r.target_end :] == chat.END and all(r.text.startswith(whole[c, x].text) for x in range(e))
 
 
 def test_pfair_stays_within_a_block():
     rng = random.Random(3)
     for n in (1, 2, 3, 7, 40, 300):
-        weights = {f"s{k:03}": rng.random() ** 4 + 0.001 for k in range(n)}
-        slots = mixing.quantised(weights)
-        assert sum(slots.values()) == mixing.PERIOD and min(slots.values()) >= 1
-        order, have = mixing.pfair_period(slots), Counter()
-        assert Counter(order) == slots
-        for t, s in enumerate(order, 1):
-            have[s] += 1
-            assert all(abs(have[x] - t * slots[x] / mixing.PERIOD) < 1 for x in slots)
+        targets = {f"s{k:03}": rng.random() ** 4 + 1e-6 for k in range(n)}
+        total = sum(Fraction(w) for w in targets.values())
+        blocks = {s: math.ceil(4000 * Fraction(w) / total) for s, w in targets.items()}
+        have, runs = Counter(), 0
+        for s, k, t in mixing.pfair(mixing.whole_weights(targets), blocks):
+            if runs == 4000:
+                break  # from here on sources run out
+            assert k == have[s] and t == runs
+            have[s], runs = have[s] + 1, runs + 1
+            if runs % 50 == 0 or n < 8:
+                assert all(abs(have[x] - runs * Fraction(w) / total) < 1 for x, w in targets.items())
+        assert runs == 4000
+
+
+def test_pfair_windows_when_sources_run_out():
+    weights, blocks = {"a": 5, "b": 3, "c": 1000}, {"a": 40, "b": 90, "c": 3}
+    slots = defaultdict(list)
+    for s, k, t in mixing.pfair(weights, blocks):
+        assert k * 1008 // weights[s] <= t < -(-(k + 1) * 1008 // weights[s])
+        slots[s].append(t)
+    assert {s: len(v) for s, v in slots.items()} == blocks and len({t for v in slots.values() for t in v}) == 133
+
+
+def brute_mixture(rows, got, targets, block):
+    """Checks ``got`` against one that is scheduled slot by slot from all windows; returns the slots of each lane."""
+    lanes = defaultdict(list)
+    for r in got:
+        lanes[r.lane].append((r.block, r.place, r.slot))
+    total = sum(Fraction(targets[s]) for s in lanes)
+    open_blocks = {s: -(-len(v) // block) for s, v in lanes.items()}
+    done, want, t = Counter(), {}, 0
+    while sum(done.values()) < sum(open_blocks.values()):
+        can = []
+        for s in lanes:
+            k, w = done[s], Fraction(targets[s]) / total
+            if k < open_blocks[s] and math.floor(k / w) <= t:
+                can.append((math.ceil((k + 1) / w), -w, s))
+        if can:
+            s = min(can)[2]
+            want[s, done[s]] = t
+            done[s] += 1
+        t += 1
+    for s, v in lanes.items():
+        assert sorted((b, p) for b, p, _ in v) == [divmod(k, block) for k in range(len(v))]
+        assert all(want[s, b] == t for b, _, t in v)
+    return lanes
 
 
 def test_mixture(spark):
@@ -142,25 +204,35 @@ def test_mixture(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, block int")
     got = mixing.mixed(df, {"a": 2.0, "b": 1.0, "c": 1.0}).collect()
     assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
-    by_slot = defaultdict(list)
-    for r in got:
-        by_slot[r.slot].append(r)
-    assert all(len({(r.lane, r.block) for r in v}) == 1 and sorted(r.place for r in v) == list(range(len(v))) for v in by_slot.values())
-    full = {x: max(r.block for r in got if r.lane == x) for x in "abc"}
-    shares = mixing.quantised({"a": 2.0, "b": 1.0, "c": 1.0, mixing._OTHERS: 4 / 3})
-    have = Counter()
-    for t in range(max(by_slot)):
-        if t in by_slot:
-            have[by_slot[t][0].lane] += 1
-        if any(have[x] >= full[x] for x in "abc"):
-            break
-        assert all(abs(have[x] - (t + 1) * shares[x] / mixing.PERIOD) < 1 for x in "abc")
+    assert all(r.lane == (r.source or "") for r in got)
+    brute_mixture(rows, got, {"a": 2.0, "b": 1.0, "c": 1.0, "": 4 / 3}, mixing.BLOCK)
     again = {(r.doc_id, r.text, r.source): (r.slot, r.place) for r in mixing.mixed(df.repartition(7), {"a": 2.0, "b": 1.0, "c": 1.0}).collect()}
     assert all(again[r.doc_id, r.text, r.source] == (r.slot, r.place) for r in got if r.doc_id != 5)
+    plain = mixing.mixed(df).collect()
+    brute_mixture(rows, plain, {s: math.sqrt(n) for s, n in Counter(r[2] or "" for r in rows).items()}, mixing.BLOCK)
     assert mixing.mixed(df.limit(0)).count() == 0
     assert mixing.in_order(df).columns == df.columns
 
 
+def test_mixture_of_many_sources(spark, monkeypatch):
+    """A named source keeps its lane and weight however small it is; small ones share lanes; blocks grow."""
+    for name, value in (("LANES", 50), ("SHARED", 4), ("BLOCKS", 200), ("SENT_ROWS", -1)):
+        monkeypatch.setattr(mixing, name, value)
+    rows = [(k, f"t{k}", "big" if k % 2 else f"s{k % 700}") for k in range(8000)] + [(9000 + k, "x", "tiny") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(df, {"tiny": 0.25, "big": 0.5, "absent": 9.0}).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {r[0] for r in rows}
+    names = {r.lane for r in got}
+    assert {"tiny", "big"} < names and len(names) == 6 and max(r.place for r in got) == 40
+    assert all(r.lane == r.source for r in got if r.source in ("tiny", "big"))
+    of = Counter(r.lane for r in got)
+    rest = sum(n for s, n in of.items() if s not in ("tiny", "big"))
+    mean = (0.25 + 0.5 + 9.0) / 3
+    # sums of doubles of the shared lanes may differ in the last digit: their slots may differ by one
+    first = {s: min(r.slot for r in got if r.lane == s) for s in names}
+    assert all(first[s] < math.ceil((0.75 + mean) / (mean * of[s] / rest if s not in ("tiny", "big") else {"tiny": 0.25, "big": 0.5}[s])) for s in names)
+
+
 def brute_top(rows, ask, k):
     v = {(i, tuple(math.floor(256 * float(x)) for x in e)) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
     out = set()
@@ -171,9 +243,11 @@ def brute_top(rows, ask, k):
     return out
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "CANDIDATES", 100)
-    monkeypatch.setattr(topk_search, "QUERIES", 7)
+@pytest.mark.parametrize("blocks", [7, 20_000])
+def test_top_k(spark, monkeypatch, blocks):
+    monkeypatch.setattr(topk_search, "CANDIDATES", 20)
+    monkeypatch.setattr(topk_search, "PIVOTS", 12)
+    monkeypatch.setattr(topk_search, "SENT_BLOCKS", blocks)
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(0, 0.3 + k % 5, 8).astype(np.float32).tolist()) for k in range(400)]
     rows += [(1000 + k, rows[50][1]) for k in range(9)] + [(2000, None), (2050, [None] * 8), (2100, [float("nan")] * 8), (2150, [float("inf")] + [0.0] * 7), (2200, [1.0, 2.0]), (2250, []), (50, rows[50][1]), (None, rows[3][1])]
@@ -183,6 +257,24 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_k(df.limit(0), F.expr("vec_id % 50 = 0")).count() == 0
     few = df.filter("vec_id in (0, 1, 2)")
     assert topk_search.top_k(few, F.expr("vec_id % 50 = 0")).count() == 2
+    # rows that repeat are candidates each
+    twice = few.unionByName(few).select("vec_id", F.array(F.lit(1.0), F.lit(-0.5)).alias("embedding"))
+    assert [tuple(r) for r in topk_search.top_k(twice, F.expr("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 81920), (0, 2, 1, 81920), (0, 3, 2, 81920), (0, 4, 2, 81920)]
+
+
+@pytest.mark.parametrize("size", [2e7, 1e200])
+def test_top_k_of_large_components(spark, size):
+    rng = random.Random(1)
+    rows = [(k, [size * rng.random() * (rng.random() < 0.5) * 1e-3 ** (k % 4) for _ in range(3)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk_search.top_k(df, F.expr("vec_id % 20 = 0")).collect())
+    limit = (1 << 63) - 1
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    want = []
+    for i in (0, 20, 40):
+        near = sorted((-min(limit, sum(a * b for a, b in zip(v[i], f))), j) for j, f in v.items() if j != i)[:5]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(near, 1)]
+    assert got == want
 
 
 def test_elimination_stops_early():

@@ -1,5 +1,7 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import datetime
+import hashlib
 import random
 import re
 from collections import Counter
@@ -7,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -81,7 +84,7 @@ def family(seed, n=220):
 
 
 def small_parts(monkeypatch, hot):
-    for name, value in (("HOT", hot), ("BLOCK", 300), ("BUCKET", 1500), ("CHUNK", 7), ("TOGETHER", 5)):
+    for name, value in (("HOT", hot), ("BLOCK", 300), ("BUCKET", 1500), ("CHUNK", 7), ("TOGETHER", 5), ("ANSWERS", 40)):
         monkeypatch.setattr(ngram_join, name, value)
 
 
@@ -132,9 +135,9 @@ def test_ngram_edge_cases(spark):
 
 
 def test_merge_lists_counts_occurrences():
-    # sets of 20: T = 15, L = 12, so that 3 of the merged lists must hold a partner
-    lists = [np.array([[1, 4], [20, 20], [1, 2], [0, 1]]), np.array([[1, 9], [20, 20], [2, 1], [0, 0]])]
-    assert ngram_join.occurrences(20) == 3
+    # sets of 20 share 18 if they link, L = 12, so that 6 of the merged lists must hold a partner
+    lists = [np.array([[1, 4], [20, 20], [1, 2], [0, 4]]), np.array([[1, 9], [20, 20], [5, 1], [0, 0]])]
+    assert ngram_join.occurrences(20) == 3 and ngram_join.occurrences(20, 20) == 6
     assert list(ngram_join.merge_lists(20, lists)) == [1, 4]
     assert list(ngram_join.merge_lists(20, lists[1:])) == []
 
@@ -150,7 +153,7 @@ def test_linked_sets_meet_in_merged_lists():
                 continue
             order = rng.permutation(3 * n)
             x, y = (sorted(s, key=lambda t: order[t])[: len(s) - ngram_join.set_aside(len(s))] for s in (a, b))
-            assert len(np.intersect1d(x, y)) >= ngram_join.occurrences(min(len(a), len(b)))
+            assert len(np.intersect1d(x, y)) >= ngram_join.occurrences(len(a), len(b)) >= min(map(ngram_join.occurrences, (len(a), len(b))))
 
 
 def loose(t):
@@ -240,6 +243,72 @@ def test_language_evidence_and_edges(spark):
     assert langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).filter("kept").count() == 0
 
 
+def brute_posteriors(rows, names, model):
+    """language and probability by key of rows (key, text, declared, host, suffix), counted row by row."""
+    ll, verdict = {}, {}
+    for k, t, *_ in rows:
+        score, count = langid.text_scores(pa.array([t], pa.string()), model)
+        ll[k] = score[0] / max(1, count[0]) * min(count[0], langid.EVIDENCE)
+        verdict[k] = names[int((score[0] / max(1, count[0])).argmax())] if count[0] else None
+    fine = [r for r in rows if verdict[r[0]]]
+
+    def counts(which):
+        c = Counter(verdict[r[0]] for r in fine if which(r))
+        return np.array([float(c[x]) for x in names])
+
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h else ""
+    everyone = counts(lambda r: True)
+    base = (everyone + 1) / (everyone.sum() + len(names))
+
+    def lean(c, on):
+        return (c + langid.LEAN * on) / (c.sum() + langid.LEAN)
+
+    out = {}
+    for k, t, declared, host, suffix in rows:
+        if verdict[k] is None:
+            out[k] = (None, 0.0)
+            continue
+        total = ll[k].copy()
+        if host:
+            total += np.log(lean(counts(lambda r: r[3] == host), lean(counts(lambda r: domain(r[3]) == domain(host)), base)))
+        for at, value in ((2, declared), (4, suffix)):
+            if value:
+                total += np.log((counts(lambda r: r[at] == value) + 0.5) / (everyone + 50))
+        p = np.exp(total - total.max())
+        out[k] = (names[int(p.argmax())], round(1 / p.sum(), 6))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    rng = random.Random(9)
+    said = {"en": "the cat and dog of house is that was".split(), "de": "der hund und die katze in dem haus ist".split(), "fr": "le chat et la maison de une que dans".split()}
+    labelled = [(k, " ".join(rng.choice(said[x]) for _ in range(20)), x) for k, x in enumerate(sorted(said) * 12)]
+    rows = []
+    for k in range(120):
+        x = rng.choice(sorted(said))
+        other = rng.choice(sorted(said))
+        t = " ".join(rng.choice(said[x if rng.random() < 0.6 else other]) for _ in range(rng.choice([0, 1, 2, 5, 30])))
+        rows.append((k, t if k % 17 else None, rng.choice([x, x, x, "zz", None]), rng.choice([f"a.{x}.org", f"b.{x}.org", "x.mixed.net", None]), rng.choice([x, "net", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string")
+    models = spark.createDataFrame(labelled, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.language, r.probability) for r in langid.identify(df, declared="declared", host="host", suffix="suffix", labelled=models).collect()}
+    want = brute_posteriors(rows, *langid.fit(models))
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    # evidence beside the text changes verdicts
+    plain = langid.identify(df, declared=None, host=None, labelled=models)
+    assert any(r.language != got[r.doc_id][0] for r in plain.collect())
+
+
+def test_language_of_pages_held_out(spark):
+    got = langid.page_evidence(spark.read.parquet(str(DATA / "pages.parquet")))
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    truth = got.filter("declared is not null").select("page_id", F.col("declared").alias("truth"))
+    # the declaration is held back: text, host and suffix alone must find it
+    found = langid.identify(got, declared=None, host="host", suffix="suffix", key="page_id", labelled=docs).filter("length(trim(text)) > 200").join(truth, "page_id").collect()
+    assert len(found) > 20 and sum(r.language == r.truth for r in found) / len(found) > 0.9
+
+
 def test_page_evidence(spark):
     p = spark.createDataFrame([(1, "http://m.A.example.fr/x", '<!DOCTYPE html><html lang="FR"><script>var x="<p>";</script><p>un mot</p></html>'), (2, None, None)], "page_id long, url string, html string")
     got = {r.page_id: r for r in langid.page_evidence(p).collect()}
@@ -303,6 +372,107 @@ def test_pseudonyms(spark):
     assert other != got[1].text
 
 
+def plain_number(key, *parts):
+    return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+
+def plain_feistel(a, b, size_a, size_b, key, kind):
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            a = (a + plain_number(key, kind, i, size_a, size_b, b) % size_a) % size_a
+        else:
+            b = (b + plain_number(key, kind, i, size_a, size_b, a) % size_b) % size_b
+    return a, b
+
+
+def plain_digits(d, key, kind):
+    half = len(d) // 2
+    a, b = plain_feistel(int(d[:half]), int(d[half:]), 10**half, 10 ** (len(d) - half), key, kind)
+    return f"{a:0{half}}{b:0{len(d) - half}}"
+
+
+def plain_layout(value, digits):
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in value)
+
+
+def plain_pseudonym(value, key):
+    digits = re.sub("[^0-9]", "", value)
+    sha = lambda *p: hashlib.sha256("|".join([key, *map(str, p)]).encode()).hexdigest()
+    if "@" in value:
+        return f"user{sha('email', value.lower())[:24]}@example.invalid"
+    if re.fullmatch("[0-9A-Fa-f]{32,}", value):
+        token = (sha("secret", 0, value.lower()) + sha("secret", 1, value.lower()))[: len(value)]
+        return token.upper() if value == value.upper() else token
+    if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", value):
+        p = [int(x) for x in value.split(".")]
+        if max(p) > 255:
+            return None
+        a, b = plain_feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d{1,2}([./-])\d{1,2}\1\d{4}", value):
+        p = [int(x) for x in re.split("[./-]", value)]
+        iso = re.match(r"\d{4}-", value) is not None
+        swap = not iso and p[1] > 12 and p[0] <= 12
+        y, m, d = p if iso else (p[2], p[0], p[1]) if swap else (p[2], p[1], p[0])
+        try:
+            n = (datetime.date(y, m, d) - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            return None
+        if not 0 <= n < 73049:
+            return None
+        while True:
+            a, b = plain_feistel(n // 270, n % 270, 271, 270, key, "date")
+            n = a * 270 + b
+            if n < 73049:
+                break
+        new, sep = datetime.date(1900, 1, 1) + datetime.timedelta(days=n), re.search("[./-]", value)[0]
+        parts = (f"{new.year:04}", f"{new.month:02}", f"{new.day:02}")
+        return "-".join(parts) if iso else sep.join((parts[1], parts[2], parts[0]) if swap else parts[::-1])
+    fine = lambda d: d[:3] not in ("000", "666") and d[:3] < "900" and d[3:5] != "00" and d[5:] != "0000"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", value):
+        if not fine(digits):
+            return None
+        while True:
+            digits = plain_digits(digits, key, "ssn")
+            if fine(digits):
+                return plain_layout(value, digits)
+    if value[0].isdigit() and len(digits) >= 13:
+        if not luhn(digits) or not digits.strip("0"):
+            return None
+        body = plain_digits(digits[:-1], key, "card")
+        return plain_layout(value, body + next(c for c in "0123456789" if luhn(body + c)))
+    if not 8 <= len(digits) <= 15:
+        return None
+    code = 0 if value[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in pii._TWO_DIGITS else 3
+    kept = max(len(digits) - 10, code)
+    return plain_layout(value, digits[:kept] + plain_digits(digits[kept:], key, "phone"))
+
+
+def test_pseudonyms_against_brute_force(spark):
+    """Every text of the table, by a plain loop over its matches."""
+    pattern = regex.compile(re.sub(r"\\k<(\w+)>", r"(?P=\1)", pii._ANY))
+    more = [(-1, "+4930123456 and +49 30 1234567, +353 1 234 5678, +1 (640) 555-0953; 640-555-0953; 13/12/2001 12-13-2001 2001-02-30"), (-1, "+4930123456")]
+    docs = spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "text").unionByName(spark.createDataFrame(more, DOCS))
+    rows = docs.unionByName(docs.limit(3)).collect()
+    want = Counter()
+    for r in rows:
+        times = 0
+
+        def new(m):
+            nonlocal times
+            p = plain_pseudonym(m[0], pii.KEY)
+            times += p is not None
+            return m[0] if p is None else p
+
+        want[r.doc_id, r.text and pattern.sub(new, r.text), times] += 1
+    got = Counter((r.doc_id, r.text, r.n_replaced) for r in pii.pseudonymised(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == want and sum(k[2] > 0 for k in want) > 5
+    kept = [r.text for r in pii.pseudonymised(spark.createDataFrame(more, DOCS)).collect()]
+    assert kept[0].startswith(kept[1] + " and +49 ") and ", +353 " in kept[0] and kept[1].startswith("+49") and "2001-02-30" in kept[0]
+    assert pii.pseudonymised(docs.limit(0)).count() == 0
+
+
 def test_permutation_is_one_to_one(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = [r.p for r in n.select(pii.permuted_digits(F.col("d"), "key", F.lit("t")).alias("p")).collect()]
