@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.storage import settled
+
 _MODES = {
     "is": lambda t, s: t == s,
     "starts": lambda t, s: F.startswith(t, F.lit(s)),
@@ -79,18 +81,45 @@ def references(relationships: DataFrame, start: DataFrame) -> DataFrame:
     """uuids that can be reached from ``start(uuid)`` along references, with the fewest steps.
 
     The frontier is joined with the relationships until it is empty, however many steps
-    that takes; only new uuids go on, and each round's lineage is cut, by a checkpoint
-    where the session has a folder for it.
+    that takes; only new uuids go on, and each round's lineage is cut.
     """
-    cut = (lambda x: x.checkpoint()) if start.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.localCheckpoint())
     seen = start.select("uuid").distinct().withColumn("steps", F.lit(0))
     frontier, step = seen, 0
     while True:
         step += 1
         found = frontier.join(relationships, F.col("uuid") == F.col("src")).select(F.col("dst").alias("uuid")).distinct()
-        frontier = cut(found.join(seen, "uuid", "left_anti").withColumn("steps", F.lit(step)))
+        frontier = settled(found.join(seen, "uuid", "left_anti").withColumn("steps", F.lit(step)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
         if step % 16 == 0:
-            seen = cut(seen.repartition("uuid"))
+            seen = settled(seen.repartition("uuid"))
+
+
+def supported_by(catalogue: DataFrame, supports: DataFrame, uuid: str) -> DataFrame:
+    """Parts that lean on one part: a semi join with ``supports(uuid, support)``."""
+    wanted = supports.filter(same_uuid(F.col("support"), F.lit(uuid))).select("uuid")
+    return catalogue.join(wanted, "uuid", "left_semi")
+
+
+def in_type_order(catalogue: DataFrame, order: list[str]) -> DataFrame:
+    """``catalogue`` with place: types in ``order`` first, then others, then representations, and properties last; sorted by it and uuid."""
+    plain = F.regexp_replace("obj_type", "^obj_", "")
+    listed = F.array_position(F.array(*(F.lit(x) for x in order)), plain)
+    n = len(order)
+    other = F.when(plain.endswith("Representation"), n + 3).when(plain.endswith("Property"), n + 4).otherwise(n + 1)
+    return catalogue.withColumn("place", F.when(listed > 0, listed).otherwise(other).cast("long")).orderBy("place", "uuid")
+
+
+def gathered(members: list[DataFrame], equal: list[str]) -> DataFrame:
+    """Catalogues of an ensemble as one, with realization; parts that agree in the columns ``equal`` keep one uuid, that of the first realization, as gathered."""
+    rows = None
+    for n, m in enumerate(members):
+        part = m.withColumn("realization", F.lit(n))
+        rows = part if rows is None else rows.unionByName(part)
+    first = rows.groupBy(*equal).agg(F.min_by("uuid", F.struct("realization", "uuid")).alias("gathered"))
+    same = [rows[c].eqNullSafe(first[c]) for c in equal]
+    on = same[0]
+    for x in same[1:]:
+        on &= x
+    return rows.join(first, on).select(*(rows[c] for c in rows.columns), "gathered")

@@ -71,9 +71,65 @@ def thickness(tops: list[Column], bases: list[Column]) -> Column:
 
 
 def pinched_out(thick: Column, tolerance: float = 0.001) -> Column:
-    return thick.isNull() | (thick < tolerance)
+    """Cells without thickness (null or NaN), or of ``tolerance`` at most."""
+    return thick.isNull() | F.isnan(thick) | (thick <= tolerance)
 
 
 def column_inactive(cells: DataFrame, active: str = "active") -> DataFrame:
     """j, i and whether all cells of the column are inactive."""
     return cells.groupBy("j", "i").agg((~F.bool_or(active)).alias("inactive"))
+
+
+def infilled(cells: DataFrame, tolerance: float = 0.01, sign: float = 1.0) -> DataFrame:
+    """``cells(k, j, i, depth, thickness, x, y)`` with the geometry of inactive ones (depth 0 within ``tolerance``, or null) filled in.
+
+    Between two active cells of a column the inactive ones share the void between them;
+    above the first and below the last they are pinched out at its top and base. Depth
+    grows with k, or falls (``sign`` -1). Columns without active cells stay as they are, and so do
+    voids whose active cells overlap.
+    """
+    w = Window.partitionBy("j", "i").orderBy("k")
+    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("j", "i").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    active = F.coalesce(F.abs("depth") > tolerance, F.lit(False))
+    own = F.when(active, F.struct("k", "depth", "thickness", "x", "y"))
+    c = cells.withColumns({"__active": active, "__a": F.last(own, ignorenulls=True).over(back), "__b": F.last(own, ignorenulls=True).over(ahead)})
+    top = F.col("__a.depth") + sign * F.col("__a.thickness") / 2.0
+    base = F.col("__b.depth") - sign * F.col("__b.thickness") / 2.0
+    count = F.col("__b.k") - F.col("__a.k") - 1
+    each = sign * (base - top) / count
+    nth = F.col("k") - F.col("__a.k") - 0.5
+    void = F.col("__a").isNotNull() & F.col("__b").isNotNull() & (each >= 0)
+    overlaps = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+
+    def filled(between: Column, above: Column, below: Column, name: str) -> Column:
+        return F.when(F.col("__active"), F.col(name)).when(void, between).when(overlaps, F.col(name)).when(F.col("__b").isNotNull(), above).when(F.col("__a").isNotNull(), below).otherwise(F.col(name))
+
+    flat = lambda n: F.col(f"__a.{n}") + nth * (F.col(f"__b.{n}") - F.col(f"__a.{n}")) / count
+    new = {
+        "depth": filled(top + nth * each * sign, base, top, "depth"), "thickness": filled(each, F.lit(0.0), F.lit(0.0), "thickness"),
+        "x": filled(flat("x"), F.col("__b.x"), F.col("__a.x"), "x"), "y": filled(flat("y"), F.col("__b.y"), F.col("__a.y"), "y"),
+    }
+    return c.select(*[x for x in cells.columns if x not in new], *(v.alias(k) for k, v in new.items()))
+
+
+def pixel_map(quads: DataFrame, origin: tuple[float, float], width: int, height: int, dx: float, dy: float | None = None) -> DataFrame:
+    """row, column of the pixels whose centres lie in a column of cells, with its j and i; ``quads`` has x0, y0 ... x3, y3 in order around it.
+
+    Every quadrilateral is spread over the rows it covers and, along each, over its own span.
+    """
+    dy = dx if dy is None else dy
+    xs, ys = [F.col(f"x{k}") for k in range(4)], [F.col(f"y{k}") for k in range(4)]
+    first = lambda v, o, d: F.ceil((v - o) / d - 0.5)
+    last = lambda v, o, d: F.floor((v - o) / d - 0.5)
+    low, high = F.greatest(first(F.least(*ys), origin[1], dy), F.lit(0)), F.least(last(F.greatest(*ys), origin[1], dy), F.lit(height - 1))
+    rows = quads.filter(low <= high).withColumn("row", F.explode(F.sequence(low, high)))
+    y = origin[1] + (F.col("row") + 0.5) * dy
+    spans = []
+    for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)):
+        t = (y - ys[a]) / F.nullif(ys[b] - ys[a], F.lit(0.0))
+        spans.append(F.when((t >= 0) & (t <= 1), xs[a] + t * (xs[b] - xs[a])))
+    left, right = F.greatest(first(F.least(*spans), origin[0], dx), F.lit(0)), F.least(last(F.greatest(*spans), origin[0], dx), F.lit(width - 1))
+    found = rows.filter(left <= right).withColumn("column", F.explode(F.sequence(left, right)))
+    # a pixel on the side of two columns goes to the first
+    return found.groupBy("row", "column").agg(F.min(F.struct("j", "i")).alias("c")).select("row", "column", "c.j", "c.i")

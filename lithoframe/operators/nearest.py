@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.storage import settled
+
 #: Largest number of tiles along an axis: beyond it tile numbers lose their meaning.
 _TILES = 2**40
 
@@ -22,8 +24,6 @@ def nearest_xy(queries: DataFrame, points: DataFrame, tile: float, other: bool =
     point is no neighbour of a query with its id. Queries and points without finite
     coordinates are left out; only without any candidate has a query no row.
     """
-    spark = queries.sparkSession
-    cut = (lambda x: x.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda x: x.localCheckpoint())
     finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xy")
     queries, points = queries.filter(finite), points.filter(finite)
     ends = [f(F.col(c).cast("double")).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))]
@@ -51,9 +51,9 @@ def nearest_xy(queries: DataFrame, points: DataFrame, tile: float, other: bool =
         best = pairs.withColumn("distance", d).groupBy("id").agg(F.min_by(F.struct("nearest", "distance"), F.struct(rough, F.col("nearest"))).alias("m"))
         # the last tiles hold everything, however far
         found = best.select("id", "m.*").filter(F.lit(k == last) | (F.col("distance") < size))
-        found = cut(found)
+        found = settled(found)
         done.append(found)
-        left = cut(left.join(found.select("id"), "id", "left_anti"))
+        left = settled(left.join(found.select("id"), "id", "left_anti"))
         if k == last or left.isEmpty():
             break
         # where nothing was found, far larger tiles are worth a try

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def normalised(df: DataFrame, value: str, out: str, *, log: bool = False, cycle: int | None = None, zero_at: float | None = None, mask: str | None = None) -> DataFrame:
     """``df`` with ``value`` mapped to 0..1 by its least and greatest (NaN apart), which are found by one aggregation.
 
-    Equal extremes map to 0.5. With ``log``, values below 0.0001 are raised to it if any
+    Equal extremes map to 0.5. With ``cycle``, whole numbers count modulo it, and the
+    range is that of its remainders, 0 to cycle - 1, whichever occur. With ``log``, values below 0.0001 are raised to it if any
     is not positive. ``zero_at`` pins zero at 0 or 1 (values beyond are clipped) or in
     between (the range is stretched on one side). ``mask`` names a column of rows to
     take the extremes from.
@@ -29,7 +30,7 @@ def normalised(df: DataFrame, value: str, out: str, *, log: bool = False, cycle:
     ends = rows.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     if ends.lo is None:
         return df.withColumn(out, F.lit(None).cast("double"))
-    lo, hi = ends.lo, ends.hi
+    lo, hi = (0.0, cycle - 1.0) if cycle and not log else (ends.lo, ends.hi)
     if zero_at is not None:
         if zero_at <= 0.0:
             v, lo = F.greatest(v, F.lit(0.0)), 0.0

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def weighted_mean(value: Column, weight: Column, total: Column | None = None) -> Column:
-    """sum(value * weight) over sum(weight), or over a coarse weight; null where that is 0."""
-    terms = F.sum((value * weight).cast("decimal(38,9)")).cast("double")
-    below = total if total is not None else F.sum(F.when(value.isNotNull(), weight).cast("decimal(38,9)")).cast("double")
+    """sum(value * weight) over sum(weight), or over a coarse weight; null where that is 0, null or NaN.
+
+    Nulls and NaNs are left out of either sum on their own: a missing value adds nothing
+    above, but its weight still counts below.
+    """
+    known = lambda c: F.when(~F.isnan(c.cast("double")), c.cast("double"))
+    terms = F.coalesce(F.sum(known(value.cast("double") * weight)), F.lit(0.0))
+    below = known(total) if total is not None else F.sum(known(weight))
     return terms / F.nullif(below, F.lit(0.0))
 
 

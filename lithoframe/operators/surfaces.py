@@ -19,6 +19,11 @@ def rim(triangles: DataFrame) -> DataFrame:
     return edges(triangles).filter("uses = 1").select("a", "b")
 
 
+def internal(triangles: DataFrame) -> DataFrame:
+    """Edges that several triangles share."""
+    return edges(triangles).filter("uses > 1").select("a", "b")
+
+
 def with_corners(triangles: DataFrame, nodes: DataFrame) -> DataFrame:
     """``triangles`` with x0, y0, z0 ... z2 from ``nodes(node, x, y, z)``."""
     for k, n in enumerate(CORNERS):
@@ -71,7 +76,7 @@ def sampled(points: DataFrame, corners: DataFrame, tile: float) -> DataFrame:
     p = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
     j = p.join(t, ["tx", "ty"]).filter(inside(F.col("x"), F.col("y"))).withColumn("z", plane_z(F.col("x"), F.col("y"))).filter(F.col("z").isNotNull())
     z = F.col("z")
-    return j.groupBy("id").agg((F.sum(z.cast("decimal(38,9)")).cast("double") / F.count(z)).alias("mean_z"), F.min(z).alias("least"), F.max(z).alias("most"), F.count(z).alias("hits"))
+    return j.groupBy("id").agg(F.avg(z).alias("mean_z"), F.min(z).alias("least"), F.max(z).alias("most"), F.count(z).alias("hits"))
 
 
 def inside(x: Column, y: Column) -> Column:
@@ -114,9 +119,8 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Colu
 
 
 def stencil(mesh: DataFrame, offsets: list[tuple[int, int, float]], value: str) -> DataFrame:
-    """j, i and the weighted mean of the values around each node; missing and null ones count for nothing."""
+    """j, i and the weighted mean of the values around each node; missing and null ones count for nothing, and a node with none about it is null."""
     spread = F.explode(F.array(*(F.struct(F.lit(-dj).alias("dj"), F.lit(-di).alias("di"), F.lit(w).alias("w")) for dj, di, w in offsets)))
     parts = mesh.filter(F.col(value).isNotNull()).select("j", "i", value, spread.alias("o"))
-    d = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
-    total = parts.groupBy((F.col("j") + F.col("o.dj")).alias("j"), (F.col("i") + F.col("o.di")).alias("i")).agg((d(F.col(value) * F.col("o.w")) / d(F.col("o.w"))).alias("smoothed"))
-    return mesh.select("j", "i").join(total, ["j", "i"])
+    total = parts.groupBy((F.col("j") + F.col("o.dj")).alias("j"), (F.col("i") + F.col("o.di")).alias("i")).agg((F.sum(F.col(value) * F.col("o.w")) / F.sum("o.w")).alias("smoothed"))
+    return mesh.select("j", "i").join(total, ["j", "i"], "left")

@@ -38,11 +38,11 @@ def as_of(left: DataFrame, right: DataFrame, by: str, time: str, carry: list[str
     r = right.select(by, time, F.lit(1).alias("__side"), have.alias("__have"))
     own = F.struct(*(F.col(c) for c in left.columns))
     both = left.select(by, time, F.lit(0).alias("__side"), F.lit(None).cast(r.schema["__have"].dataType).alias("__have"), own.alias("__own")).unionByName(r, allowMissingColumns=True)
-    # rows at the same time count for both directions
-    w = Window.partitionBy(by).orderBy(time)
-    back = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    joined = both.withColumns({"__b": F.last("__have", ignorenulls=True).over(back), "__a": F.first("__have", ignorenulls=True).over(ahead)}).filter("__side = 0")
+    # rows at the same time count for both directions; either frame grows with its sort, so that a key costs one pass each way
+    grows = (Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(by).orderBy(time).rangeBetween(*grows)
+    ahead = Window.partitionBy(by).orderBy(F.desc(time)).rangeBetween(*grows)
+    joined = both.withColumns({"__b": F.last("__have", ignorenulls=True).over(back), "__a": F.last("__have", ignorenulls=True).over(ahead)}).filter("__side = 0")
     return joined.select("__own.*", *(F.col(f"__b.{c}").alias(f"before_{c}") for c in cols), *(F.col(f"__a.{c}").alias(f"after_{c}") for c in cols))
 
 
@@ -54,3 +54,12 @@ def nearest(value: Column, before: Column, after: Column) -> Column:
 def lerped(at: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Linear interpolation between two samples; null outside them."""
     return F.when(x0 == x1, y0).otherwise(y0 + (at - x0) * (y1 - y0) / F.nullif(x1 - x0, F.lit(0)))
+
+
+def looked_up(values: DataFrame, curve: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """``values`` with ``y`` of a curve (by, x, y), straight between its points; beyond its ends the nearest end counts."""
+    j = as_of(values, curve, by, x, [y])
+    before, after = (F.col(f"before_{x}"), F.col(f"before_{y}")), (F.col(f"after_{x}"), F.col(f"after_{y}"))
+    between = lerped(F.col(x), before[0], before[1], after[0], after[1])
+    found = F.when(before[0].isNull(), after[1]).when(after[0].isNull(), before[1]).otherwise(between)
+    return j.select(*values.columns, found.alias(y))

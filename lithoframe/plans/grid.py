@@ -93,7 +93,7 @@ def grid_column_inactive(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"with {CELLS} select count(*)::bigint as all_cells, count(*) filter (active)::bigint as active_cells, count(*) filter (poro < 0.12)::bigint as pinched, count(*) filter (active and poro >= 0.12)::bigint as flowing from cells"
+    f"with {CELLS} select count(*)::bigint as all_cells, count(*) filter (active)::bigint as active_cells, count(*) filter (poro <= 0.12)::bigint as pinched, count(*) filter (active and poro > 0.12)::bigint as flowing from cells"
 )
 def grid_cell_count(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d).withColumn("pinched", g.pinched_out(F.col("poro"), 0.12))
@@ -134,41 +134,29 @@ def property_perm_k(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cell_id", q6(vertical_permeability(F.col("perm"), F.col("perm") * 0.5, 0.1, F.col("ntg"), squared=True)).alias("perm_k"))
 
 
-@query(
-    f"with {CELLS}, h as (select cell_id, perm, 0.5 * 50.0 as hx, 0.125 * (k % 3) as hz, 40.0 * 5.0 as ax, 2.0 * (j % 4) as az from cells where i % 7 > 0) "
-    f"select cell_id, {sq6(f'abs({g.DARCY['m']!r}::double * perm * (hx * ax + hz * az) / (hx * hx + hz * hz))')} as half_t from h"
-)
-def grid_half_cell_irregular(spark: SparkSession, d: str) -> DataFrame:
-    c = cells(spark, d).filter("i % 7 > 0")
-    h = (F.lit(0.5 * 50.0), F.lit(0.0), 0.125 * (F.col("k") % 3))
-    area = (F.lit(40.0 * 5.0), F.lit(0.0), 2.0 * (F.col("j") % 4))
-    return c.select("cell_id", q6(g.irregular_half(h, area, F.col("perm"))).alias("half_t"))
-
-
 @query(
     f"with {CELLS}, h as (select cell_id, perm, 0.5 * 50.0 as hx, 0.125 * (k % 3) as hz, 40.0 * 5.0 as ax, 2.0 * (j % 4) as az from cells) "
     f"select cell_id, {sq6(f'abs({g.DARCY['m']!r}::double * perm * (hx * ax + hz * az) / (hx * hx + hz * hz))')} as half_t from h"
 )
-def grid_half_cell_irregular_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same for all cells."""
+def grid_half_cell_irregular(spark: SparkSession, d: str) -> DataFrame:
     h = (F.lit(0.5 * 50.0), F.lit(0.0), 0.125 * (F.col("k") % 3))
     area = (F.lit(40.0 * 5.0), F.lit(0.0), 2.0 * (F.col("j") % 4))
     return cells(spark, d).select("cell_id", q6(g.irregular_half(h, area, F.col("perm"))).alias("half_t"))
 
 
 @query(
-    f"""with {CELLS}, n as (select *, min(perm) over () as lo, max(perm) over () as hi, min(log10(perm)) over () as llo, max(log10(perm)) over () as lhi,
-        min(cell_id % 7) over () as clo, max(cell_id % 7) over () as chi from cells)
-    select cell_id, {sq6('(perm - lo) / (hi - lo)')} as linear, {sq6('(log10(perm) - llo) / (lhi - llo)')} as logarithmic, {sq6('perm / hi')} as from_zero, {sq6('(cell_id % 7) / 6.0')} as cyclic, 0.5::double as constant from n"""
+    f"""with {CELLS}, n as (select *, min(perm) over () as lo, max(perm) over () as hi, min(log10(perm)) over () as llo, max(log10(perm)) over () as lhi from cells)
+    select cell_id, {sq6('(perm - lo) / (hi - lo)')} as linear, {sq6('(log10(perm) - llo) / (lhi - llo)')} as logarithmic, {sq6('perm / hi')} as from_zero, {sq6('(cell_id % 3) / 6.0')} as cyclic, 0.5::double as constant from n"""
 )
 def property_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Mapped to 0..1 in several ways; the cycle's range counts, not that of the remainders that occur."""
     from lithoframe.operators.properties import normalised
 
-    c = cells(spark, d).withColumn("cycle", (F.col("cell_id") % 7).cast("double")).withColumn("same", F.lit(3.0))
+    c = cells(spark, d).withColumn("cycle", (F.col("cell_id") % 3 + 7 * (F.col("cell_id") % 2)).cast("double")).withColumn("same", F.lit(3.0))
     c = normalised(c, "perm", "linear")
     c = normalised(c, "perm", "logarithmic", log=True)
     c = normalised(c, "perm", "from_zero", zero_at=0.0)
-    c = normalised(c, "cycle", "cyclic")
+    c = normalised(c, "cycle", "cyclic", cycle=7)
     c = normalised(c, "same", "constant")
     return c.select("cell_id", *(q6(F.col(x)).alias(x) for x in ("linear", "logarithmic", "from_zero", "cyclic")), "constant")
 
@@ -204,10 +192,7 @@ def grid_interpolated_point(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cell_id", q6(trilinear(corners, 0.25, 0.5, 0.75)).alias("z"))
 
 
-@query(
-    "select o_orderkey as cell_id, [o_custkey % 5, o_custkey % 7, o_custkey % 11, o_custkey % 13] as resqml, (o_custkey % 13) * 1000 + (o_custkey % 7) * 100 + (o_custkey % 5) * 10 + o_custkey % 11 as logical from orders"
-    .replace("[o_custkey % 5, o_custkey % 7, o_custkey % 11, o_custkey % 13] as resqml, ", "")
-)
+@query("select o_orderkey as cell_id, (o_custkey % 13) * 1000 + (o_custkey % 7) * 100 + (o_custkey % 5) * 10 + o_custkey % 11 as logical from orders")
 def property_face_order(spark: SparkSession, d: str) -> DataFrame:
     """Values on the edges of columns, stored as I-, J+, I+, J-, put in the logical order J-, J+, I-, I+ and packed."""
     from lithoframe.operators.properties import reordered

@@ -15,17 +15,30 @@ def upscale_sum(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id")).agg(dsum(F.col("l_quantity")).alias("rock_volume"), F.count("*").alias("fine"))
 
 
-@query(f"select l_orderkey as cell_id, {sdsum('l_tax * l_quantity')} / nullif({sdsum('l_quantity')}, 0) as poro, {sdsum('(1 - l_discount) * l_quantity')} / nullif({sdsum('l_quantity')}, 0) as ntg from lineitem group by l_orderkey")
+_NAN = "'nan'::double"
+_PORO = f"case when l_linenumber = 2 then {_NAN} when l_linenumber <> 3 then l_tax end"
+_WEIGHT = f"case when l_suppkey % 7 = 0 then {_NAN} when l_suppkey % 7 <> 1 then l_quantity end"
+
+
+def _mean(value: str, weight: str) -> str:
+    """As nansum over nansum; null and NaN are alike."""
+    return sq6(f"coalesce(sum({value} * {weight}) filter (not isnan({value} * {weight})), 0) / nullif(sum({weight}) filter (not isnan({weight})), 0)")
+
+
+@query(f"with f as (select l_orderkey as cell_id, {_PORO} as p, {_WEIGHT} as w, 1 - l_discount as n from lineitem) select cell_id, {_mean('p', 'w')} as poro, {_mean('n', 'w')} as ntg, {_mean('n', 'w')} as large, {_mean('n', 'w')} as small from f group by cell_id")
 def upscale_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
-    x, w = table(spark, d, "lineitem"), F.col("l_quantity")
-    return x.groupBy(F.col("l_orderkey").alias("cell_id")).agg(s.weighted_mean(F.col("l_tax"), w).alias("poro"), s.weighted_mean(1 - F.col("l_discount"), w).alias("ntg"))
+    """Means of values and weights of which some are null or NaN, some very large."""
+    x, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    p = F.when(n == 2, float("nan")).when(n != 3, F.col("l_tax"))
+    w = F.when(F.col("l_suppkey") % 7 == 0, float("nan")).when(F.col("l_suppkey") % 7 != 1, F.col("l_quantity"))
+    ntg = 1 - F.col("l_discount")
+    means = {"poro": s.weighted_mean(p, w), "ntg": s.weighted_mean(ntg, w), "large": s.weighted_mean(ntg * 1e30, w) * 1e-30, "small": s.weighted_mean(ntg * 1e-15, w) * 1e15}
+    return x.groupBy(F.col("l_orderkey").alias("cell_id")).agg(*(q6(m).alias(k) for k, m in means.items()))
 
 
 @query(
     f"""with f as (select l_orderkey as cell_id, l_quantity as rv, 1 - l_discount as ntg, 0.1 + l_tax as poro, l_extendedprice / 1e5 as sw, l_extendedprice / 100.0 as perm from lineitem)
-    select cell_id, {sdsum('rv')} as rv, {sq6(sdsum('ntg * rv') + ' / nullif(' + sdsum('rv') + ', 0)')} as ntg, {sq6(sdsum('poro * (rv * ntg)') + ' / nullif(' + sdsum('rv * ntg') + ', 0)')} as poro,
-           {sq6(sdsum('sw * (rv * ntg * poro)') + ' / nullif(' + sdsum('rv * ntg * poro') + ', 0)')} as sw, {sq6(sdsum('perm * (rv * ntg)') + ' / nullif(' + sdsum('rv * ntg') + ', 0)')} as perm
-    from f group by cell_id"""
+    select cell_id, {sdsum('rv')} as rv, {_mean('ntg', 'rv')} as ntg, {_mean('poro', '(rv * ntg)')} as poro, {_mean('sw', '(rv * ntg * poro)')} as sw, {_mean('perm', '(rv * ntg)')} as perm from f group by cell_id"""
 )
 def upscale_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Rock volume summed; net to gross weighed by it, porosity and permeability by net volume, saturation by pore volume, in one pass."""
@@ -41,28 +54,19 @@ def upscale_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {CELLS} select cast(floor(k / 2.0) as bigint) as k, cast(floor(j / 5.0) as bigint) as j, cast(floor(i / 6.0) as bigint) as i, {sdsum('perm * ntg')} / nullif({sdsum('ntg')}, 0) as perm,
+    f"""with {CELLS} select cast(floor(k / 2.0) as bigint) as k, cast(floor(j / 5.0) as bigint) as j, cast(floor(i / 6.0) as bigint) as i, {_mean('perm', 'ntg')} as perm,
         {sdsum('5.0 + ntg')} / (5 * 6) as dz, count(*)::bigint as fine from cells group by 1, 2, 3"""
 )
 def upscale_box(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of 2 by 5 by 6 cells: permeability weighed by net to gross, lengths summed along k and averaged over the rest."""
     c = cells(spark, d)
     by = [s.coarse_index(F.col(a), r).alias(a) for a, r in (("k", 2), ("j", 5), ("i", 6))]
-    return c.groupBy(*by).agg(s.weighted_mean(F.col("perm"), F.col("ntg")).alias("perm"), (dsum(5.0 + F.col("ntg")) / (5 * 6)).alias("dz"), F.count("*").alias("fine"))
+    return c.groupBy(*by).agg(q6(s.weighted_mean(F.col("perm"), F.col("ntg"))).alias("perm"), (dsum(5.0 + F.col("ntg")) / (5 * 6)).alias("dz"), F.count("*").alias("fine"))
 
 
-@query(
-    f"with {CELLS} select k * 2 + a as fk, j * 2 + b as fj, i * 3 + e as fi, cell_id, perm, 50.0 / 3 as di from cells, range(2) t(a), range(2) u(b), range(3) v(e) where k < 3"
-)
+@query(f"with {CELLS} select k * 2 + a as fk, j * 2 + b as fj, i * 3 + e as fi, cell_id, perm, 50.0 / 3 as di from cells, range(2) t(a), range(2) u(b), range(3) v(e)")
 def downscale_refine(spark: SparkSession, d: str) -> DataFrame:
     """Every coarse cell's value on its 2 by 2 by 3 fine cells, lengths in proportion."""
-    c = cells(spark, d).filter("k < 3")
-    return s.refined(c, {"k": 2, "j": 2, "i": 3}).select("fk", "fj", "fi", "cell_id", "perm", (F.lit(50.0) / 3).alias("di"))
-
-
-@query(f"with {CELLS} select k * 2 + a as fk, j * 2 + b as fj, i * 3 + e as fi, cell_id, perm, 50.0 / 3 as di from cells, range(2) t(a), range(2) u(b), range(3) v(e)")
-def downscale_refine_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same for the cells of all layers."""
     return s.refined(cells(spark, d), {"k": 2, "j": 2, "i": 3}).select("fk", "fj", "fi", "cell_id", "perm", (F.lit(50.0) / 3).alias("di"))
 
 
@@ -73,16 +77,8 @@ def downscale_broadcast(spark: SparkSession, d: str) -> DataFrame:
     return x.join(o, x.l_orderkey == o.o_orderkey).select(F.col("l_orderkey").alias("cell_id"), "l_linenumber", (F.col("l_quantity") / 2.0).alias("half"), q6(F.col("o_totalprice") * F.col("l_quantity")).alias("share"))
 
 
-@query("select l_orderkey as cell_id, coalesce(max(l_quantity) filter (l_linenumber = 1), -1.0) as r0, coalesce(max(l_quantity) filter (l_linenumber = 2), -1.0) as r1, coalesce(max(l_quantity) filter (l_linenumber = 3), -1.0) as r2 from lineitem group by l_orderkey")
-def stack_realizations(spark: SparkSession, d: str) -> DataFrame:
-    """Realizations side by side, missing ones as -1."""
-    x = table(spark, d, "lineitem").withColumn("r", F.col("l_linenumber") - 1)
-    v = s.stacked(x, "l_orderkey", "r", "l_quantity", 3, -1.0)
-    return v.select(F.col("l_orderkey").alias("cell_id"), *(F.col("values")[k].alias(f"r{k}") for k in range(3)))
-
-
 @query("select l_orderkey as cell_id, list(coalesce(q, -1.0) order by r) as realizations from (select c.l_orderkey, r, max(l_quantity) as q from (select distinct l_orderkey from lineitem) c cross join (select unnest(range(1, (select max(l_linenumber) + 1 from lineitem)::bigint)) as r) left join lineitem x on x.l_orderkey = c.l_orderkey and x.l_linenumber = r group by 1, 2) group by 1")
-def stack_realizations_whole(spark: SparkSession, d: str) -> DataFrame:
+def stack_realizations(spark: SparkSession, d: str) -> DataFrame:
     """All realizations side by side, as many as there are."""
     x = table(spark, d, "lineitem").withColumn("r", F.col("l_linenumber") - 1)
     count = (x.agg(F.max("r")).first()[0] or 0) + 1

@@ -9,12 +9,13 @@ from lithoframe.functions.vectors import triangle_area, triangle_normal
 from lithoframe.operators import surfaces as s
 from lithoframe.plans import CELLS, POINTS, cells, dsum, points, q6, query, sdsum, sq6, table
 
-TRIANGLES = "tri as (select l_orderkey as t, l_partkey % 500 as n0, (l_partkey + 1 + l_suppkey % 3) % 500 as n1, (l_partkey + 4 + l_linenumber) % 500 as n2 from lineitem)"
+TRIANGLES = "tri as (select l_orderkey as t, l_partkey % m as n0, (l_partkey + 1 + l_suppkey % 3) % m as n1, (l_partkey + 4 + l_linenumber) % m as n2 from lineitem, (select count(*)::bigint as m from embeddings))"
 
 
 def _triangles(spark: SparkSession, d: str) -> DataFrame:
-    x, p = table(spark, d, "lineitem"), F.col("l_partkey")
-    return x.select(F.col("l_orderkey").alias("t"), (p % 500).alias("n0"), ((p + 1 + F.col("l_suppkey") % 3) % 500).alias("n1"), ((p + 4 + F.col("l_linenumber")) % 500).alias("n2"))
+    """A triangle for each row of lineitem, its nodes dealt over all points (as many as are counted)."""
+    x, p = table(spark, d, "lineitem").crossJoin(F.broadcast(points(spark, d).agg(F.count("*").alias("m")))), F.col("l_partkey")
+    return x.select(F.col("l_orderkey").alias("t"), (p % F.col("m")).alias("n0"), ((p + 1 + F.col("l_suppkey") % 3) % F.col("m")).alias("n1"), ((p + 4 + F.col("l_linenumber")) % F.col("m")).alias("n2"))
 
 
 _EDGES = f"with {TRIANGLES}, e as (select least(n0, n1) as a, greatest(n0, n1) as b from tri union all select least(n1, n2), greatest(n1, n2) from tri union all select least(n2, n0), greatest(n2, n0) from tri), u as (select a, b, count(*)::bigint as uses from e group by a, b)"
@@ -25,11 +26,6 @@ def surface_edges(spark: SparkSession, d: str) -> DataFrame:
     return s.edges(_triangles(spark, d))
 
 
-@query(_EDGES + " select a, b from u where uses = 1")
-def surface_rim(spark: SparkSession, d: str) -> DataFrame:
-    return s.rim(_triangles(spark, d))
-
-
 _CORNERS = f"with {TRIANGLES}, {POINTS}, c as (select t, a.x as x0, a.y as y0, a.z as z0, b.x as x1, b.y as y1, b.z as z1, c.x as x2, c.y as y2, c.z as z2 from tri join points a on n0 = a.id join points b on n1 = b.id join points c on n2 = c.id), v as (select t, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) as cx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) as cy, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) as cz from c)"
 
 
@@ -56,9 +52,9 @@ def surface_trim(spark: SparkSession, d: str) -> DataFrame:
     return s.trimmed(_triangles(spark, d), kept).groupBy("t").agg(F.count("*").alias("n"))
 
 
-@query(f"with {TRIANGLES}, {POINTS}, u as (select n0 as n from tri where t < 50 union select n1 from tri where t < 50 union select n2 from tri where t < 50) select id, {sq6('x')} as x from points where id in (select n from u)")
+@query(f"with {TRIANGLES}, {POINTS}, u as (select n0 as n from tri union select n1 from tri union select n2 from tri) select id, {sq6('x')} as x from points where id in (select n from u)")
 def surface_used_points(spark: SparkSession, d: str) -> DataFrame:
-    n = s.used_nodes(points(spark, d).withColumnRenamed("id", "node"), _triangles(spark, d).filter("t < 50"))
+    n = s.used_nodes(points(spark, d).withColumnRenamed("id", "node"), _triangles(spark, d))
     return n.select(F.col("node").alias("id"), q6(F.col("x")).alias("x"))
 
 
@@ -77,89 +73,11 @@ def polygon_inclusion(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("id", s.in_polygon(F.col("x"), F.col("y"), _POLYGON).alias("inside"))
 
 
-def _lattice(spark: SparkSession, d: str) -> DataFrame:
-    """Triangles over a lattice of points 7.3 by 5.7 apart, whose depths come from the cells of the first layer."""
-    c = cells(spark, d).filter("k = 0 and j < 20 and i < 25").select("j", "i", (F.col("perm") / 10.0).alias("z"))
-    n = c.select((F.col("j") * 100 + F.col("i")).alias("node"), (F.col("i") * 7.3 - 1.1).alias("x"), (F.col("j") * 5.7 - 0.9).alias("y"), "z")
-    low = c.filter("j < 19 and i < 24").select((F.col("j") * 100 + F.col("i")).alias("b"))
-    t = low.select(F.explode(F.array(*(F.struct(*((F.col("b") + o).alias(k) for k, o in zip(s.CORNERS, q))) for q in ((0, 1, 101), (0, 101, 100))))).alias("c")).select("c.*")
-    return s.with_corners(t, n)
-
-
-_LATTICE = f"""with {CELLS}, c as (select j, i, perm / 10.0::double as z from cells where k = 0 and j < 20 and i < 25), n as (select j * 100 + i as node, i * 7.3::double - 1.1::double as x, j * 5.7::double - 0.9::double as y, z from c),
-q as (select j * 100 + i as b from c where j < 19 and i < 24), t as (select b as n0, b + 1 as n1, b + 101 as n2 from q union all select b, b + 101, b + 100 from q),
-k as (select t.*, p.x as x0, p.y as y0, p.z as z0, r.x as x1, r.y as y1, r.z as z1, u.x as x2, u.y as y2, u.z as z2 from t join n p on n0 = p.node join n r on n1 = r.node join n u on n2 = u.node),
-g as (select range as x, y from range(0, 160), (select range as y from range(0, 100))),
-h as (select k.*, g.x, g.y, ((y1 - y2) * (g.x - x2) + (x2 - x1) * (g.y - y2)) / ((y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)) as a, ((y2 - y0) * (g.x - x2) + (x0 - x2) * (g.y - y2)) / ((y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)) as b from k join g on g.x between least(x0, x1, x2) and greatest(x0, x1, x2) and g.y between least(y0, y1, y2) and greatest(y0, y1, y2)),
-z as (select x, y, a * z0 + b * z1 + (1 - a - b) * z2 as z from h where a >= -1e-12 and b >= -1e-12 and a + b <= 1 + 1e-12)"""
-
-
-@query(_LATTICE + f" select x, y, {sq6('max(z)')} as z from z group by x, y")
-def surface_lattice_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Depth of a surface at every lattice point under it."""
-    return s.hits_on_lattice(_lattice(spark, d), 160, 100).groupBy("x", "y").agg(q6(F.max("z")).alias("z"))
-
-
-@query(_LATTICE + ", f as (select cast(floor(z / 5.0 - 0.5) as bigint) as k, y as j, x as i from z) select distinct k, j, i from f where k >= 0 and k < 9")
-def surface_grid_faces(spark: SparkSession, d: str) -> DataFrame:
-    """K faces of a regular grid of ten layers that stand for the surface."""
-    return s.grid_faces(s.hits_on_lattice(_lattice(spark, d), 160, 100), 10, 5.0)
-
-
-@query(_LATTICE.replace("g as (select range as x, y from range(0, 160), (select range as y from range(0, 100)))", "g as (select c_custkey as id, 3.0 + (c_custkey % 150) * 1.01::double as x, 2.0 + (c_custkey % 89) * 1.07::double as y from customer)").replace("k.*, g.x, g.y,", "k.*, g.id, g.x, g.y,").replace("z as (select x, y,", "z as (select id,") + f" select id, {sq6('min(z)')} as least, {sq6('max(z)')} as most from z group by id")
-def surface_sample_z(spark: SparkSession, d: str) -> DataFrame:
-    """Depths of a surface at points, by a join on tiles."""
-    k = F.col("c_custkey")
-    p = table(spark, d, "customer").select(k.alias("id"), (3.0 + (k % 150) * 1.01).alias("x"), (2.0 + (k % 89) * 1.07).alias("y"))
-    return s.sampled(p, _lattice(spark, d), 10.0).select("id", q6(F.col("least")).alias("least"), q6(F.col("most")).alias("most"))
-
-
-# The queries above take the part of the rows that their SQL states; those below take all rows.
-
-
-def _whole_triangles(spark: SparkSession, d: str) -> DataFrame:
-    """A triangle for each row of lineitem, its nodes dealt over all points (as many as are counted)."""
-    x, p = table(spark, d, "lineitem").crossJoin(F.broadcast(points(spark, d).agg(F.count("*").alias("m")))), F.col("l_partkey")
-    return x.select(F.col("l_orderkey").alias("t"), (p % F.col("m")).alias("n0"), ((p + 1 + F.col("l_suppkey") % 3) % F.col("m")).alias("n1"), ((p + 4 + F.col("l_linenumber")) % F.col("m")).alias("n2"))
-
-
-def _whole_cornered(spark: SparkSession, d: str) -> DataFrame:
-    return s.with_corners(_whole_triangles(spark, d), points(spark, d).withColumnRenamed("id", "node"))
-
-
-_WHOLE_TRIANGLES = "tri as (select l_orderkey as t, l_partkey % m as n0, (l_partkey + 1 + l_suppkey % 3) % m as n1, (l_partkey + 4 + l_linenumber) % m as n2 from lineitem, (select count(*)::bigint as m from embeddings))"
-_WHOLE_CORNERS = _CORNERS.replace(TRIANGLES, _WHOLE_TRIANGLES)
-
-
-@query(_WHOLE_CORNERS + f" select t, count(*)::bigint as triangles, {sdsum('sqrt(cx * cx + cy * cy + cz * cz) / 2')} as area from v group by t")
-def surface_area_whole(spark: SparkSession, d: str) -> DataFrame:
-    area = triangle_area(*(s.corner(k) for k in range(3)))
-    return _whole_cornered(spark, d).groupBy("t").agg(F.count("*").alias("triangles"), dsum(area).alias("area"))
-
-
-@query(_WHOLE_CORNERS + f" select t, count(*)::bigint as n, {sdsum('cz / sqrt(cx * cx + cy * cy + cz * cz)')} as nz from v where cx * cx + cy * cy + cz * cz > 0 group by t")
-def surface_normals_whole(spark: SparkSession, d: str) -> DataFrame:
-    c = _whole_cornered(spark, d).filter(triangle_area(*(s.corner(k) for k in range(3))) > 0)
-    return c.groupBy("t").agg(F.count("*").alias("n"), dsum(triangle_normal(*(s.corner(k) for k in range(3)))[2]).alias("nz"))
-
-
-@query(f"with {_WHOLE_TRIANGLES}, {POINTS}, k as (select id as node from points where x between -0.1 and 0.1 and y between -0.2 and 0.2) select t, count(*)::bigint as n from tri where n0 in (select node from k) and n1 in (select node from k) and n2 in (select node from k) group by t")
-def surface_trim_whole(spark: SparkSession, d: str) -> DataFrame:
-    kept = points(spark, d).filter("x between -0.1 and 0.1 and y between -0.2 and 0.2").select(F.col("id").alias("node"))
-    return s.trimmed(_whole_triangles(spark, d), kept).groupBy("t").agg(F.count("*").alias("n"))
-
-
-@query(f"with {_WHOLE_TRIANGLES}, {POINTS}, u as (select n0 as n from tri union select n1 from tri union select n2 from tri) select id, {sq6('x')} as x from points where id in (select n from u)")
-def surface_used_points_whole(spark: SparkSession, d: str) -> DataFrame:
-    n = s.used_nodes(points(spark, d).withColumnRenamed("id", "node"), _whole_triangles(spark, d))
-    return n.select(F.col("node").alias("id"), q6(F.col("x")).alias("x"))
-
-
 #: Lattice points of one layer of cells, along x and y.
 _NX, _NY = 220, 140
 
 
-def _whole_lattice(spark: SparkSession, d: str) -> DataFrame:
+def _lattice(spark: SparkSession, d: str) -> DataFrame:
     """Triangles over all cells of every layer; layers lie beside one another, ``_NX`` apart along x."""
     c = cells(spark, d).select("k", "j", "i", (F.col("perm") / 10.0).alias("z"))
     at = F.col("k") * 10000 + F.col("j") * 100 + F.col("i")
@@ -172,7 +90,7 @@ def _width(spark: SparkSession, d: str) -> int:
     return _NX * ((cells(spark, d).agg(F.max("k")).first()[0] or 0) + 1)
 
 
-_WHOLE_LATTICE = f"""with {CELLS}, c as (select k, j, i, k * 10000 + j * 100 + i as node, perm / 10.0::double as z from cells), n as (select node, k * {_NX}.0::double + i * 7.3::double + 1.1::double as x, j * 5.7::double - 0.9::double as y, z from c),
+_LATTICE = f"""with {CELLS}, c as (select k, j, i, k * 10000 + j * 100 + i as node, perm / 10.0::double as z from cells), n as (select node, k * {_NX}.0::double + i * 7.3::double + 1.1::double as x, j * 5.7::double - 0.9::double as y, z from c),
 t as (select node as n0, node + 1 as n1, node + 101 as n2 from c union all select node, node + 101, node + 100 from c),
 k as (select t.*, p.x as x0, p.y as y0, p.z as z0, r.x as x1, r.y as y1, r.z as z1, u.x as x2, u.y as y2, u.z as z2 from t join n p on n0 = p.node join n r on n1 = r.node join n u on n2 = u.node),
 g as (select a.x::bigint as x, b.y::bigint as y, a.x // 10 as tx from (select unnest(range(0, {_NX} * (select max(k) + 1 from cells)::bigint)) as x) a, (select unnest(range(0, {_NY})) as y) b),
@@ -180,32 +98,46 @@ kt as (select k.*, unnest(range(floor(x0 / 10)::bigint, floor(greatest(x1, x2) /
 h as (select k.*, g.x, g.y, ((y1 - y2) * (g.x - x2) + (x2 - x1) * (g.y - y2)) / ((y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)) as a, ((y2 - y0) * (g.x - x2) + (x0 - x2) * (g.y - y2)) / ((y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)) as b from kt k join g on g.tx = k.tx and g.x between least(x0, x1, x2) and greatest(x0, x1, x2) and g.y between least(y0, y1, y2) and greatest(y0, y1, y2)),
 z as (select x, y, a * z0 + b * z1 + (1 - a - b) * z2 as z from h where a >= -1e-12 and b >= -1e-12 and a + b <= 1 + 1e-12)"""
 
+_LATTICE_EDGES = _LATTICE[: _LATTICE.index("k as (")] + "x as (select t.* from t join n p on n0 = p.node join n r on n1 = r.node join n u on n2 = u.node), e as (select least(n0, n1) as a, greatest(n0, n1) as b from x union all select least(n1, n2), greatest(n1, n2) from x union all select least(n2, n0), greatest(n2, n0) from x), u as (select a, b, count(*) as uses from e group by a, b)"
+
+
+@query(_LATTICE_EDGES + " select a, b from u where uses = 1")
+def surface_rim(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that one triangle has alone."""
+    return s.rim(_lattice(spark, d))
 
-@query(_WHOLE_LATTICE + f" select x, y, {sq6('max(z)')} as z from z group by x, y")
-def surface_lattice_hits_whole(spark: SparkSession, d: str) -> DataFrame:
-    return s.hits_on_lattice(_whole_lattice(spark, d), _width(spark, d), _NY).groupBy("x", "y").agg(q6(F.max("z")).alias("z"))
 
+@query(_LATTICE_EDGES + " select a, b from u where uses > 1")
+def surface_internal_edges(spark: SparkSession, d: str) -> DataFrame:
+    return s.internal(_lattice(spark, d))
 
-@query(_WHOLE_LATTICE + ", f as (select cast(floor(z / 5.0 - 0.5) as bigint) as k, y as j, x as i from z) select distinct k, j, i from f where k >= 0 and k < 9")
-def surface_grid_faces_whole(spark: SparkSession, d: str) -> DataFrame:
-    return s.grid_faces(s.hits_on_lattice(_whole_lattice(spark, d), _width(spark, d), _NY), 10, 5.0)
 
+@query(_LATTICE + f" select x, y, {sq6('max(z)')} as z from z group by x, y")
+def surface_lattice_hits(spark: SparkSession, d: str) -> DataFrame:
+    return s.hits_on_lattice(_lattice(spark, d), _width(spark, d), _NY).groupBy("x", "y").agg(q6(F.max("z")).alias("z"))
 
-@query(_WHOLE_LATTICE.replace(_WHOLE_LATTICE[_WHOLE_LATTICE.index("g as (") : _WHOLE_LATTICE.index("kt as (")], f"g as (select *, floor(x / 10)::bigint as tx from (select c_custkey as id, 3.0 + (c_custkey * 7919 % ({_NX} * m)) * 0.997::double as x, 2.0 + (c_custkey % 127) * 1.07::double as y from customer, (select max(k) + 1 as m from cells))),\n").replace("k.*, g.x, g.y,", "k.*, g.id, g.x, g.y,").replace("z as (select x, y,", "z as (select id,") + f" select id, {sq6('min(z)')} as least, {sq6('max(z)')} as most from z group by id")
-def surface_sample_z_whole(spark: SparkSession, d: str) -> DataFrame:
+
+@query(_LATTICE + ", f as (select cast(floor(z / 5.0 - 0.5) as bigint) as k, y as j, x as i from z) select distinct k, j, i from f where k >= 0 and k < 9")
+def surface_grid_faces(spark: SparkSession, d: str) -> DataFrame:
+    return s.grid_faces(s.hits_on_lattice(_lattice(spark, d), _width(spark, d), _NY), 10, 5.0)
+
+
+@query(_LATTICE.replace(_LATTICE[_LATTICE.index("g as (") : _LATTICE.index("kt as (")], f"g as (select *, floor(x / 10)::bigint as tx from (select c_custkey as id, 3.0 + (c_custkey * 7919 % ({_NX} * m)) * 0.997::double as x, 2.0 + (c_custkey % 127) * 1.07::double as y from customer, (select max(k) + 1 as m from cells))),\n").replace("k.*, g.x, g.y,", "k.*, g.id, g.x, g.y,").replace("z as (select x, y,", "z as (select id,") + f" select id, {sq6('min(z)')} as least, {sq6('max(z)')} as most from z group by id")
+def surface_sample_z(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     p = table(spark, d, "customer").select(k.alias("id"), (3.0 + (k * 7919 % _width(spark, d)) * 0.997).alias("x"), (2.0 + (k % 127) * 1.07).alias("y"))
-    return s.sampled(p, _whole_lattice(spark, d), 10.0).select("id", q6(F.col("least")).alias("least"), q6(F.col("most")).alias("most"))
+    return s.sampled(p, _lattice(spark, d), 10.0).select("id", q6(F.col("least")).alias("least"), q6(F.col("most")).alias("most"))
 
 
 _STENCIL = [(0, 0, 0.5), (0, 1, 0.25), (0, -1, 0.25), (1, 0, 0.125), (-1, 0, 0.125), (1, -1, 0.0625), (-1, 1, 0.0625)]
 
 
 @query(
-    f"""with {CELLS}, m as (select k * 100 + j as j, i, case when cell_id % 11 > 0 then perm end as v from cells), o(dj, di, w) as (values {", ".join(f"({a}, {b}, {w}::double)" for a, b, w in _STENCIL)})
-    select m.j::bigint as j, m.i::bigint as i, {sdsum('n.v * w')} / {sdsum('w')} as smoothed from m, o, m n where n.j = m.j + dj and n.i = m.i + di and n.v is not null group by m.j, m.i"""
+    f"""with {CELLS}, m as (select k * 100 + j as j, i, case when cell_id % 11 > 0 and i <> 3 then perm end as v from cells), o(dj, di, w) as (values {", ".join(f"({a}, {b}, {w}::double)" for a, b, w in _STENCIL)}),
+    t as (select m.j, m.i, sum(n.v * w) / sum(w) as v from m, o, m n where n.j = m.j + dj and n.i = m.i + di and n.v is not null group by m.j, m.i)
+    select m.j::bigint as j, m.i::bigint as i, {sq6('t.v')} as smoothed from m left join t on m.j = t.j and m.i = t.i"""
 )
 def surface_stencil(spark: SparkSession, d: str) -> DataFrame:
     """A weighted mean over the neighbours on a triangular lattice, missing values aside."""
-    m = cells(spark, d).select((F.col("k") * 100 + F.col("j")).alias("j"), "i", F.when(F.col("cell_id") % 11 > 0, F.col("perm")).alias("v"))
-    return s.stencil(m, _STENCIL, "v")
+    m = cells(spark, d).select((F.col("k") * 100 + F.col("j")).alias("j"), "i", F.when((F.col("cell_id") % 11 > 0) & (F.col("i") != 3), F.col("perm")).alias("v"))
+    return s.stencil(m, _STENCIL, "v").withColumn("smoothed", q6(F.col("smoothed")))

@@ -79,21 +79,15 @@ def well_frame_upscaling(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {SAMPLES}, l as (select well, event_id, md from samples where event_type = 'purchase'), n as (select well, md, lead(md) over q as md1, row_number() over q - 1 as interval from samples where event_type = 'click' window q as (partition by well order by md)),
-    m as (select l.well, l.event_id, l.md, n.interval, n.md as md0, n.md1, min(n.md) over (partition by l.event_id) as lo from l left join n on l.well = n.well)
-    select event_id, coalesce(max(interval) filter (md > md0 and md <= md1), -1)::bigint as interval, {sq6('coalesce(max((md - md0) / (md1 - md0)) filter (md > md0 and md <= md1), case when min(md0) is null or min(md) < min(md0) then 0.0 else 1.0 end)')} as fraction from m group by event_id"""
+    f"""with {SAMPLES}, l as (select well, event_id, md from samples where event_type in ('purchase', 'click')), n as (select well, md, lead(md) over q as md1, row_number() over q - 1 as interval from samples where event_type = 'click' window q as (partition by well order by md)),
+    m as (select l.well, l.event_id, l.md, n.interval, n.md as md0, n.md1 from l left join n on l.well = n.well)
+    select event_id, coalesce(min(interval) filter (md >= md0 and md <= md1), -1)::bigint as interval,
+           {sq6('case when min(md0) is null or min(md) < min(md0) then 0.0 when bool_or(md >= md0 and md <= md1) then arg_min((md - md0) / (md1 - md0), interval) filter (md >= md0 and md <= md1) else 1.0 end')} as fraction from m group by event_id"""
 )
 def well_interval_for_md(spark: SparkSession, d: str) -> DataFrame:
-    """The interval that holds a depth and how far along it lies; a boundary belongs to the shallower one, -1 outside."""
-    from lithoframe.operators.timeseries import as_of
-
+    """The interval that holds a depth and how far along it lies; depths of nodes are among those asked for."""
     s = _samples(spark, d)
-    nodes = s.filter("event_type = 'click'").withColumn("node", F.expr("row_number() over (partition by well order by md) - 1").cast("long"))
-    j = as_of(s.filter("event_type = 'purchase'").select("well", "event_id", "md"), nodes, "well", "md", ["node"])
-    inside = F.col("before_md").isNotNull() & F.col("after_md").isNotNull()
-    part = (F.col("md") - F.col("before_md")) / F.nullif(F.col("after_md") - F.col("before_md"), F.lit(0.0))
-    outside = F.when(F.col("before_md").isNull(), 0.0).otherwise(1.0)
-    return j.select("event_id", F.when(inside, F.col("before_node")).otherwise(F.lit(-1)).cast("long").alias("interval"), q6(F.when(inside, part).otherwise(outside)).alias("fraction"))
+    return w.interval_for_md(s.filter("event_type in ('purchase', 'click')").select("well", "event_id", "md"), s.filter("event_type = 'click'")).select("event_id", "interval", q6(F.col("fraction")).alias("fraction"))
 
 
 _KH = "case when cell_id % 4 = 0 then 5.0 * sqrt(perm * perm * 0.5) else pow(perm * (perm * 0.5) * (perm * 0.1), 1.0::double / 3.0) * sqrt(pow(5.0 * sqrt(pow(perm * (perm * 0.5) * (perm * 0.1), 1.0::double / 3.0) / perm) * sin((cell_id % 4) * 0.3) * cos(0.7), 2) + pow(5.0 * sqrt(pow(perm * (perm * 0.5) * (perm * 0.1), 1.0::double / 3.0) / (perm * 0.5)) * sin((cell_id % 4) * 0.3) * sin(0.7), 2) + pow(5.0 * sqrt(pow(perm * (perm * 0.5) * (perm * 0.1), 1.0::double / 3.0) / (perm * 0.1)) * cos((cell_id % 4) * 0.3), 2)) end"
@@ -117,17 +111,26 @@ def well_static_kh(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("j", "i").agg(dsum(q6(_kh(c))).alias("kh"), F.count("*").alias("intervals"))
 
 
+_ANGLES = "(cell_id % 4) * 0.3 as v, 0.7::double as a"
+
+
 @query(
-    f"""with {CELLS}, r as (select cell_id, perm, 0.14 * sqrt(sqrt(perm * (perm * 0.5)) * (2500.0 / perm + 1600.0 / (perm * 0.5))) as rb from cells where perm > 0)
-    select cell_id, {sq6('rb')} as radb, {sq6('2 * pi() / (ln(rb / 0.1) + 1.5)')} as wi, {sq6('8.5270171e-5::double * (5.0 * sqrt(perm * (perm * 0.5))) * (2 * pi() / (ln(rb / 0.1) + 1.5))')} as wbc from r"""
+    f"""with {CELLS}, k as (select cell_id, perm as ki, perm * 0.5 as kj, perm * 0.1 as kk, {_ANGLES} from cells where perm > 0),
+    m as (select *, sqrt(kj * kk) as ei, sqrt(ki * kk) as ej, sqrt(ki * kj) as ek from k),
+    r as (select *, 0.14 * sqrt(ei * (1600.0 / kj + 25.0 / kk)) * sin(v) * cos(a) as bi, 0.14 * sqrt(ej * (2500.0 / ki + 25.0 / kk)) * sin(v) * sin(a) as bj, 0.14 * sqrt(ek * (2500.0 / ki + 1600.0 / kj)) * cos(v) as bk,
+          0.05 * (sqrt(ei / kj) + sqrt(ei / kk)) * sin(v) * cos(a) as wi, 0.05 * (sqrt(ej / ki) + sqrt(ej / kk)) * sin(v) * sin(a) as wj, 0.05 * (sqrt(ek / ki) + sqrt(ek / kj)) * cos(v) as wk from m),
+    e as (select c.*, 0.1 * sqrt(bi * bi + bj * bj + bk * bk) / sqrt(wi * wi + wj * wj + wk * wk) as rb from r join (select cell_id, perm from cells) c using (cell_id)),
+    f as (select cell_id, rb, 2 * pi() / (ln(rb / 0.1) + 1.5) as wi, {_KH} as kh from e)
+    select cell_id, {sq6('rb')} as radb, {sq6('case when rb <= 0 then 0 else wi end')} as wi, {sq6('8.5270171e-5::double * kh * wi')} as wbc from f"""
 )
 def well_inflow(spark: SparkSession, d: str) -> DataFrame:
-    """Equivalent radius, well index and well block conductivity of vertical intervals."""
+    """Equivalent radius, well index and well block conductivity of intervals at several angles in anisotropic cells."""
     p = F.col("perm")
-    c = cells(spark, d).filter("perm > 0").withColumn("rb", w.block_radius(p, p * 0.5, 50.0, 40.0))
+    c = cells(spark, d).filter("perm > 0")
+    sizes = tuple(F.lit(x) for x in (50.0, 40.0, 5.0))
+    c = c.withColumn("rb", w.block_radius(F.lit(0.1), (p, p * 0.5, p * 0.1), sizes, (F.col("cell_id") % 4) * 0.3, F.lit(0.7)))
     wi = w.well_index(F.col("rb"), F.lit(0.1), F.lit(1.5))
-    kh = w.flow_capacity(F.lit(5.0), p, p * 0.5, p * 0.1, F.lit(0.0), F.lit(0.0))
-    return c.select("cell_id", q6(F.col("rb")).alias("radb"), q6(wi).alias("wi"), q6(F.lit(w.WELL_CONSTANT["m"]) * kh * wi).alias("wbc"))
+    return c.select("cell_id", q6(F.col("rb")).alias("radb"), q6(wi).alias("wi"), q6(F.lit(w.WELL_CONSTANT["m"]) * _kh(c) * wi).alias("wbc"))
 
 
 @query(f"with {CELLS} select cell_id, {sq6('case when p <= ntg then 1.0 else ntg / p end')} as ntg from (select cell_id, ntg, 0.2 + (cell_id % 8) / 10.0 as p from cells)")

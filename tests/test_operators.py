@@ -33,7 +33,7 @@ def test_closed_faces(spark):
 
 
 def test_crs_there_and_back(spark):
-    crs = Crs(1.0, 2.0, 3.0, 0.4, z_up=True, northing_first=True)
+    crs = Crs(1.0, 2.0, 3.0, 0.4, z_up=True, axis_order="northing easting")
     back = crs.to_global(crs.to_local((F.lit(5.0), F.lit(6.0), F.lit(7.0))))
     assert list(one(spark, *back)) == pytest.approx([5.0, 6.0, 7.0])
 
@@ -93,8 +93,8 @@ def test_multipliers(spark):
     for how, want in (("min", 0.25), ("max", 0.5), ("product", 0.125)):
         got = {r.cell_id: r.multiplier for r in connections.merged_multipliers(f, how).collect()}
         assert got == {1: want, 2: 1.0}
-    with pytest.raises(ValueError):
-        connections.merged_multipliers(f.withColumn("multiplier", F.lit(-1.0)), "min")
+    with pytest.raises(Exception, match="a multiplier is negative"):
+        connections.merged_multipliers(f.withColumn("multiplier", F.lit(-1.0)), "min").collect()
 
 
 def test_labelled_chain(spark):
@@ -136,7 +136,82 @@ def test_one_of(spark):
 
 def test_close_vertices(spark):
     v = spark.createDataFrame([("l", k, x, 0.0, 0.0) for k, x in enumerate([0.0, 0.05, 0.2, 0.25, 0.26])], "line string, seq int, x double, y double, z double")
-    assert sorted(r.seq for r in lines.without_close_vertices(v, 0.1).collect()) == [0, 2, 4]
+    # where a vertex goes, the last one takes the place of the last kept
+    assert sorted(r.seq for r in lines.without_close_vertices(v, 0.1).collect()) == [0, 4]
+    assert sorted(r.seq for r in lines.without_close_vertices(v, 0.005).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.seq for r in lines.without_close_vertices(v.filter("seq < 2"), 1.0).collect()) == [0, 1]
+
+
+def test_axis_orders(spark):
+    p = (F.lit(1.0), F.lit(0.0), F.lit(0.0))
+    c, s = math.cos(0.5), math.sin(0.5)
+    # a left-handed system turns anticlockwise, a right-handed one clockwise
+    assert list(one(spark, *Crs(rotation=0.5).to_local(p)))[:2] == pytest.approx([c, s])
+    assert list(one(spark, *Crs(rotation=0.5, axis_order="northing easting").to_local(p)))[:2] == pytest.approx([s, c])
+    assert list(one(spark, *Crs(axis_order="southing westing").to_local(p)))[:2] == pytest.approx([0.0, -1.0])
+    with pytest.raises(ValueError):
+        Crs(axis_order="up down")
+
+
+def test_means_of_missing_values(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 2.0, 1.0), (1, None, 3.0), (1, nan, 4.0), (1, 6.0, None), (2, 1e-15, 1.0), (3, 1e30, 2.0), (4, 5.0, 0.0), (5, None, 1.0)], "k int, v double, w double")
+    got = {r.k: r.m for r in df.groupBy("k").agg(scaling.weighted_mean(F.col("v"), F.col("w")).alias("m")).collect()}
+    # weights of missing values count: 2 / (1 + 3 + 4)
+    assert got == {1: 0.25, 2: 1e-15, 3: 1e30, 4: None, 5: 0.0}
+
+
+def test_cycle_counts_all_remainders(spark):
+    df = spark.createDataFrame([(3,), (9,)], "v int")
+    assert [r.n for r in properties.normalised(df, "v", "n", cycle=7).collect()] == [3 / 6, 2 / 6]
+
+
+def test_pinched_out(spark):
+    got = one(spark, *(grid.pinched_out(F.lit(x).cast("double"), 0.5) for x in (0.4, 0.5, 0.6, float("nan"), None)))
+    assert list(got) == [True, True, False, True, True]
+    cells = spark.createDataFrame([(k, k, 0, 0, k in (1, 4), k != 3) for k in range(6)], "cell_id int, k int, j int, i int, thin boolean, active boolean")
+    # 2 and 3 stand between: no connection over them, none from an inactive cell
+    assert [tuple(r) for r in connections.pinch_outs(cells, "thin", "active").collect()] == [(0, 2, 1)]
+    assert sorted(tuple(r) for r in connections.pinch_outs(cells, "thin").collect()) == [(0, 2, 1), (3, 5, 1)]
+
+
+def test_gap_connections(spark):
+    nan = float("nan")
+    rows = [(0, 0, 0, 0, True, True, 1.0, 2.0), (1, 1, 0, 0, True, True, 2.0, 3.0), (2, 2, 0, 0, False, True, 3.5, 4.0), (3, 3, 0, 0, True, True, 4.0, nan), (4, 4, 0, 0, True, False, 5.0, 6.0)]
+    cells = spark.createDataFrame(rows, "cell_id int, k int, j int, i int, gap boolean, active boolean, top double, base double")
+    assert [tuple(r) for r in connections.gap_connections(cells, "gap", "base", "top", "active").collect()] == [(0, 1)]
+
+
+def test_interval_for_md(spark):
+    nodes = spark.createDataFrame([("w", 1.0), ("w", 2.0), ("w", 4.0), ("lone", 5.0)], "well string, md double")
+    asked = spark.createDataFrame([(k, w, x) for k, (w, x) in enumerate([("w", 0.5), ("w", 1.0), ("w", 2.0), ("w", 3.0), ("w", 4.0), ("w", 4.5), ("none", 1.0), ("lone", 5.0), ("lone", 4.0)])], "id int, well string, md double")
+    got = {r.id: (r.interval, r.fraction) for r in wells.interval_for_md(asked, nodes).collect()}
+    assert got == {0: (-1, 0.0), 1: (0, 0.0), 2: (0, 1.0), 3: (1, 0.5), 4: (1, 1.0), 5: (-1, 1.0), 6: (-1, 0.0), 7: (-1, 1.0), 8: (-1, 0.0)}
+
+
+def test_tangents_and_spline(spark):
+    v = spark.createDataFrame([("l", 0, 0.0, 0.0, 0.0), ("l", 1, 1.0, 0.0, 0.0), ("l", 2, 1.0, 2.0, 0.0)], "line string, seq int, x double, y double, z double")
+    middle = {w: lines.tangents(v, w).filter("seq = 1").first() for w in ("linear", "square", "cube")}
+    for w, k in (("linear", 1), ("square", 0.5), ("cube", 0.25)):
+        assert (middle[w].tx, middle[w].ty) == pytest.approx((1 / math.hypot(1, k), k / math.hypot(1, k)))
+    ends = lines.tangents(v, closed=True).filter("seq = 0").first()
+    assert (ends.tx, ends.ty) == pytest.approx(tuple(x / math.hypot(1 - 1 / math.sqrt(5), 2 / math.sqrt(5)) for x in (1 - 1 / math.sqrt(5), -2 / math.sqrt(5))))
+    got = lines.splined(v, 1, longest=0.5, degrees=None).collect()
+    assert sorted((r.seq, r.part) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
+    assert {(r.x, r.y) for r in got if r.part == 0} == {(0.0, 0.0), (1.0, 0.0), (1.0, 2.0)}
+    assert lines.splined(v.filter("seq < 2"), 1).count() == 2  # no turn, no further knots
+
+
+def test_numbered(spark):
+    names = spark.createDataFrame([(f"n{k:03}",) for k in range(300)] * 2, "name string").repartition(5)
+    assert sorted((r.name, r.number) for r in connections.numbered(names, "name").collect()) == [(f"n{k:03}", k) for k in range(300)]
+
+
+def test_closest_far_away(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 500.0, 0.0, 0.0)], "id int, x double, y double, z double")
+    s = spark.createDataFrame([(7, 3.0, 4.0, -1.0, 3.0, 4.0, 1.0), (8, 300.0, 0.0, 0.0, 301.0, 0.0, 0.0)], "segment int, ax double, ay double, az double, bx double, by double, bz double")
+    assert sorted(tuple(r) for r in lines.closest(p, s, 0.5).collect()) == [(1, 7, 5.0), (2, 8, 199.0)]
+    assert lines.closest(p, s.limit(0), 0.5).count() == 0
 
 
 def test_line_through_triangle(spark):
@@ -172,16 +247,14 @@ def test_prime_factors(spark):
     assert [list(x) for x in got] == [[], [2], [2, 2, 3], [7, 7], [97]]
 
 
-def test_whole_connected_parts(spark, tmp_path):
-    from lithoframe.plans.connections import grid_connected_parts_whole
-
+def test_connected_parts_of_a_permutation(spark):
     n = 400
-    spark.range(n).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     part = list(range(n))
     for _ in range(n):
         for a in range(n):
             part[a] = part[a * 7 % n] = min(part[a], part[a * 7 % n])
-    assert {r.id: r.part for r in grid_connected_parts_whole(spark, str(tmp_path)).collect()} == dict(enumerate(part))
+    nodes = spark.range(n)
+    assert {r.id: r.part for r in connections.labelled(nodes.selectExpr("id as a", f"id * 7 % {n} as b"), nodes).collect()} == dict(enumerate(part))
 
 
 def test_whole_queries_take_all_rows(spark):
@@ -191,7 +264,7 @@ def test_whole_queries_take_all_rows(spark):
 
     q = registry.queries()
     cells = spark.read.parquet(f"{DATA}/orders.parquet").count()
-    assert q["downscale_refine_whole"](spark, str(DATA)).select("cell_id").distinct().count() == cells
-    assert q["grid_half_cell_irregular_whole"](spark, str(DATA)).count() == cells
-    layers = q["surface_lattice_hits_whole"](spark, str(DATA)).selectExpr("x div 220 as k").distinct().count()
+    assert q["downscale_refine"](spark, str(DATA)).select("cell_id").distinct().count() == cells
+    assert q["grid_half_cell_irregular"](spark, str(DATA)).count() == cells
+    layers = q["surface_lattice_hits"](spark, str(DATA)).selectExpr("x div 220 as k").distinct().count()
     assert layers == cells // 750
