@@ -7,7 +7,7 @@ a file's lines are one group, files are spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[EeDd][-+]?[0-9]+)?"
@@ -19,22 +19,32 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 0) and text of each line."""
-    return whole_files(spark, path).select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
+    """path, line (from 0) and text of each line.
 
+    Files are read in splits, each of which keeps the order of its lines; a file's lines
+    are numbered by its splits' starts and their order in them.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("text"))
+    line = F.row_number().over(Window.partitionBy("path").orderBy("block", "nth")) - 1
+    return rows.select("path", line.alias("line"), F.regexp_replace("text", r"\r$", "").alias("text"))
 
-def _number(text: Column) -> Column:
+
+def number(text: Column) -> Column:
+    """A number, also with D for the exponent; null for anything else."""
     return F.regexp_replace(text, "[Dd]", "E").try_cast("double")
 
 
 def array_values(spark: SparkSession, path: str, keyword: str | None = None, comment: str = "!") -> DataFrame:
-    """path, cell_id and value of an array of numbers, optionally behind a keyword; ``n*v`` stands for n times v, comments are passed over."""
+    """path, cell_id and value of an array of numbers, optionally behind a keyword; ``n*v`` stands for n times v, comments are passed over.
+
+    A word that is no number is a null in its place, so that later values keep theirs.
+    """
     text = F.regexp_replace("text", rf"\Q{comment}\E[^\n]*", "")
     if keyword:
         text = F.regexp_extract(text, rf"(?si)(?:^|\s){keyword}\b\s*(.*?)(?:\n\s*[A-Za-z][A-Za-z_]*\b|$)", 1)
-    tokens = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda t: t.rlike(rf"^(?:[0-9]+\*)?{NUMBER}$"))
-    times = lambda t: F.when(F.contains(t, F.lit("*")), F.split(t, r"\*")[0].cast("int")).otherwise(1)
-    value = lambda t: _number(F.element_at(F.split(t, r"\*"), -1))
+    tokens = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda t: (t != "") & (t != "/") & ((F.lit(not keyword)) | ~t.rlike(r"^[A-Za-z_]+$") | t.rlike(r"(?i)^nan$")))
+    times = lambda t: F.when(t.rlike(r"^[0-9]+\*"), F.split(t, r"\*")[0].cast("int")).otherwise(1)
+    value = lambda t: number(F.element_at(F.split(t, r"\*"), -1))
     values = F.flatten(F.transform(tokens, lambda t: F.array_repeat(value(t), times(t))))
     return whole_files(spark, path).select("path", F.posexplode(values).alias("cell_id", "value"))
 
@@ -43,31 +53,31 @@ def log_values(spark: SparkSession, path: str) -> DataFrame:
     """path, md, curve, unit and value of LAS logs; the null value that a file declares is null."""
     files = whole_files(spark, path)
     section = lambda s: F.regexp_extract("text", rf"(?si)(?:^|\n)~{s}[^\n]*\n(.*?)(?:\n~|$)", 1)
-    lines = lambda t: F.filter(F.transform(F.split(t, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = lambda t: F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     curves = F.transform(lines(section("C")), lambda x: F.named_struct(F.lit("name"), F.trim(F.regexp_extract(x, r"^([^.]+)\.", 1)), F.lit("unit"), F.regexp_extract(x, r"^[^.]+\.(\S*)", 1)))
-    null = _number(F.regexp_extract("text", rf"(?i)\n\s*NULL\s*\.\s*({NUMBER})", 1))
+    null = number(F.regexp_extract("text", rf"(?i)\n\s*NULL\s*\.\s*({NUMBER})", 1))
     rows = files.select("path", curves.alias("curves"), null.alias("null"), F.explode(lines(section("A"))).alias("row"))
-    cells = rows.withColumn("v", F.split("row", r"\s+")).withColumn("md", _number(F.col("v")[0]))
+    cells = rows.withColumn("v", F.split("row", r"\s+")).withColumn("md", number(F.col("v")[0]))
     out = cells.select("path", "md", "null", F.posexplode(F.arrays_zip("curves", "v")).alias("k", "z")).filter("k > 0")
-    value = _number(F.col("z.v"))
+    value = number(F.col("z.v"))
     return out.select("path", "md", F.col("z.curves.name").alias("curve"), F.col("z.curves.unit").alias("unit"), F.when(~value.eqNullSafe(F.col("null")), value).alias("value"))
 
 
 def triangulated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (path, node, x, y, z) and triangles (path, n0, n1, n2) of files with VRTX and TRGL lines."""
     words = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("w"))
-    nodes = words.filter(F.col("w")[0].isin("VRTX", "PVRTX")).select("path", F.col("w")[1].cast("long").alias("node"), *(_number(F.col("w")[k + 2]).alias(c) for k, c in enumerate("xyz")))
+    nodes = words.filter(F.col("w")[0].isin("VRTX", "PVRTX")).select("path", F.col("w")[1].cast("long").alias("node"), *(number(F.col("w")[k + 2]).alias(c) for k, c in enumerate("xyz")))
     triangles = words.filter(F.col("w")[0] == "TRGL").select("path", *(F.col("w")[k + 1].cast("long").alias(f"n{k}") for k in range(3)))
     return nodes, triangles
 
 
 def lines_of_points(spark: SparkSession, path: str, end: float = 999.0) -> DataFrame:
-    """path, line, seq, x, y, z of point files in which a row of ``end`` values closes each line."""
-    rows = numbered(spark, path).withColumn("w", F.split(F.trim("text"), r"\s+")).filter(F.size("w") >= 3)
-    p = rows.select("path", "line", *(_number(F.col("w")[k]).alias(c) for k, c in enumerate("xyz")))
+    """path, line, seq, x, y, z of point files in which a row of ``end`` values closes each line; what a short row lacks is null."""
+    rows = numbered(spark, path).withColumn("w", F.split(F.trim("text"), r"\s+")).filter(F.trim("text") != "")
+    p = rows.select("path", "line", *(number(F.get("w", F.lit(k))).alias(c) for k, c in enumerate("xyz")))
     stop = (F.col("x") == end) & (F.col("y") == end) & (F.col("z") == end)
     part = F.expr(f"coalesce(sum(if(x = {end} and y = {end} and z = {end}, 1, 0)) over (partition by path order by line rows between unbounded preceding and 1 preceding), 0)")
-    kept = p.withColumn("part", part).filter(~stop)
+    kept = p.withColumn("part", part).filter(~F.coalesce(stop, F.lit(False)))
     seq = F.expr("row_number() over (partition by path, part order by line) - 1")
     return kept.select("path", F.col("part").alias("line"), seq.alias("seq"), "x", "y", "z")
 
