@@ -11,7 +11,7 @@ multisets, 0.75 or more.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.llm.storage import settled
 from lithoframe.llm.text import LOOSE, SHINGLE, mix, shingle_hashes, words_by_row
 
 RADIUS = 46
 BLOCKS = 16
 SIMILARITY = 0.75
+#: Windows of a text whose fingerprints are held at once.
+WINDOWS = 8192
 #: Text of benchmark items that goes to all tasks at once; more items go in further passes.
 INDEX_BYTES = 16_000_000
 
@@ -57,12 +60,14 @@ class BenchmarkIndex:
         self.counts = [Counter(s.tolist()) for _, s, _ in kept]
         self.lengths = np.array([len(s) for _, s, _ in kept], dtype=np.int64)
         self.prints = np.concatenate([window_fingerprints(s, np.zeros(1, dtype=np.int64), len(s)) for _, s, _ in kept]) if kept else np.empty((0, BLOCKS), np.uint8)
-        owners = defaultdict(set)
-        for s, n in zip(self.counts, self.lengths.tolist()):
-            for x in s:
-                owners[x].add(n)
-        self.anchors = np.array(sorted(owners), dtype=np.uint64)
-        self.anchor_lengths = [sorted(owners[x]) for x in self.anchors.tolist()]
+        self.anchors = np.unique(np.concatenate([s for _, s, _ in kept])) if kept else np.empty(0, dtype=np.uint64)
+        # for each length of items, which anchors such items have
+        self.of_length = {}
+        for n in np.unique(self.lengths).tolist():
+            mine = np.zeros(len(self.anchors), dtype=bool)
+            for s in (s for _, s, _ in kept if len(s) == n):
+                mine[np.searchsorted(self.anchors, s)] = True
+            self.of_length[n] = mine
         ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
         near = ones[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // BLOCKS
         # tables[block, key]: the items that have a key within two bits there
@@ -78,16 +83,17 @@ class BenchmarkIndex:
         hits = np.flatnonzero(self.anchors[at] == shingles)
         if not len(hits):
             return []
-        by_length = defaultdict(list)
-        for p in hits.tolist():
-            for n in self.anchor_lengths[at[p]]:
-                by_length[n].append(p)
         best: dict[int, tuple[float, int]] = {}
-        for n, places in by_length.items():
-            last = max(0, len(shingles) - n)
-            starts = np.unique(np.concatenate([np.arange(max(0, p - n + 1), min(p, last) + 1) for p in places]))
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
-                self._lookup(shingles, part, n, best)
+        for n, mine in self.of_length.items():
+            places = hits[mine[at[hits]]]
+            if not len(places):
+                continue
+            # windows that hold a hit: runs of starts, looked at in pieces of bounded size
+            low, high = np.maximum(places - n + 1, 0), np.minimum(places, max(0, len(shingles) - n))
+            new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1] + 1]))
+            for a, b in zip(low[new].tolist(), high[np.append(new[1:] - 1, len(high) - 1)].tolist()):
+                for start in range(a, b + 1, WINDOWS):
+                    self._lookup(shingles, np.arange(start, min(b + 1, start + WINDOWS)), n, best)
         return [(self.ids[k], sim, start) for k, (sim, start) in sorted(best.items())]
 
     def _lookup(self, shingles: np.ndarray, starts: np.ndarray, n: int, best: dict[int, tuple[float, int]]) -> None:
@@ -108,12 +114,13 @@ class BenchmarkIndex:
                     best[k] = (sim, start)
 
 
-def _indexes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in groups of bounded size, by a hash of their ids."""
+def _indexes(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in groups of bounded size, by a hash of their ids, one after the other; and whether there are several."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + size // INDEX_BYTES
-    return [[(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()] for k in range(parts)]
+    for k in range(parts):
+        yield [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()], parts > 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -127,7 +134,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     found = None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for items in _indexes(benchmark):
+    for items, several in _indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = BenchmarkIndex(items)
@@ -138,6 +145,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "similarity", "word_start"])
 
         part = docs.mapInArrow(run, "doc_id long, item_id long, similarity double, word_start long")
+        # of several groups each is looked up, and let go, before the next is read
+        part = settled(part) if several else part
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("similarity", (-F.col("word_start")).alias("back")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.similarity", (-F.col("m.back")).alias("word_start"))
@@ -146,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; filtered in place, without a shuffle."""
     at = docs.columns.index("text")
-    for items in _indexes(benchmark):
+    for items, several in _indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = BenchmarkIndex(items)
@@ -154,4 +163,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([not index.matches(w) for w in _words(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = settled(docs) if several else docs
     return docs
