@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lithoframe.llm.storage import settled
 
 WINDOW = 3
+#: Documents with repeated lines that are told to all tasks, and a tenth of the places in them; beyond that texts are shuffled.
+SENT_DOCS = 100_000
 
 
 def repeated_windows(keyed: DataFrame) -> DataFrame:
@@ -39,7 +41,11 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("t"))
     lines = F.split(F.col(text), "\n", -1)
     later = repeated_windows(docs.select(key.alias("doc"), lines.alias("lines")))
-    covered = later.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("__at"))
+    covered = settled(later.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("__at")))
+    size = covered.agg(F.count("*").alias("docs"), F.sum(F.size("__at")).alias("places")).first()
+    # texts without repeats pass by where what repeats is small enough to go to them
+    if size.docs <= SENT_DOCS and (size.places or 0) <= 10 * SENT_DOCS:
+        covered = F.broadcast(covered)
     rest = [F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "removed", text)]
     joined = docs.withColumn("__doc", key).join(covered.withColumnRenamed("doc", "__key"), F.col("__doc").eqNullSafe(F.col("__key")), "left")
     joined = joined.withColumns({"__lines": lines})
