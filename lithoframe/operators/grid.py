@@ -65,6 +65,14 @@ def hexahedron_volume(p: dict[tuple[int, int, int], Vector]) -> Column:
     return F.abs(total) / 6.0
 
 
+def with_volume(cells: DataFrame, corners: dict[tuple[int, int, int], Vector], out: str = "volume") -> DataFrame:
+    """``cells`` with their volumes from the eight corners; corners are columns first, so that none is computed for each face anew."""
+    names = {k: tuple(f"__{''.join(map(str, k))}{c}" for c in "xyz") for k in corners}
+    placed = cells.withColumns({n: c for k, v in corners.items() for n, c in zip(names[k], v)})
+    found = hexahedron_volume({k: tuple(F.col(n) for n in v) for k, v in names.items()})
+    return placed.withColumn(out, found).drop(*(n for v in names.values() for n in v))
+
+
 def thickness(tops: list[Column], bases: list[Column]) -> Column:
     """Mean difference of depth over a cell's pillars."""
     return sum((b - t for t, b in zip(tops, bases)), F.lit(0.0)) / float(len(tops))

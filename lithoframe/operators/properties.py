@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,13 +25,16 @@ def normalised(df: DataFrame, value: str, out: str, *, log: bool = False, cycle:
         v = F.pmod(v, F.lit(float(cycle)))
     v = F.nanvl(v, F.lit(None).cast("double"))
     rows = df.filter(mask) if mask else df
-    if log:
-        least = rows.agg(F.min(v)).first()[0]
-        v = F.log10(F.greatest(v, F.lit(0.0001)) if least is not None and least <= 0 else v)
     ends = rows.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     if ends.lo is None:
         return df.withColumn(out, F.lit(None).cast("double"))
-    lo, hi = (0.0, cycle - 1.0) if cycle and not log else (ends.lo, ends.hi)
+    lo, hi = ends.lo, ends.hi
+    if log:
+        least = 0.0001 if lo <= 0 else lo
+        v = F.log10(F.greatest(v, F.lit(0.0001)) if lo <= 0 else v)
+        lo, hi = math.log10(max(lo, least)), math.log10(max(hi, least))
+    elif cycle:
+        lo, hi = 0.0, cycle - 1.0
     if zero_at is not None:
         if zero_at <= 0.0:
             v, lo = F.greatest(v, F.lit(0.0)), 0.0

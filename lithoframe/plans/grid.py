@@ -80,10 +80,9 @@ def cell_volume_by_region(spark: SparkSession, d: str) -> DataFrame:
         return (F.col("i") + ip) * SIZE["i"], (F.col("j") + jp) * SIZE["j"], z
 
     p = {(kp, jp, ip): corner(kp, jp, ip) for kp in (0, 1) for jp in (0, 1) for ip in (0, 1)}
-    v = g.hexahedron_volume(p)
     dz = g.thickness([p[0, a, b][2] for a in (0, 1) for b in (0, 1)], [p[1, a, b][2] for a in (0, 1) for b in (0, 1)])
     q4 = lambda x: F.floor(x * 1e4 + 0.5) / 1e4
-    rows = c.select("k", "poro", dz.alias("dz"), v.alias("v"))
+    rows = g.with_volume(c.withColumn("dz", dz), p, "v").select("k", "poro", "dz", "v")
     return rows.groupBy("k").agg(F.count("*").alias("cells"), dsum(F.col("dz")).alias("thickness"), dsum(q4(F.col("v"))).alias("volume"), dsum(q4(F.col("v") * F.col("poro"))).alias("pore_volume"))
 
 
