@@ -78,7 +78,10 @@ def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
     assert leaks
     assert Counter((r.doc_id, r.text, r.lang, r.source) for r in got) == Counter(r[:4] for r in clean)
     weights = {s: n**0.5 for s, n in Counter(r[3] or "" for r in clean).items()}
-    brute_mixture(clean, got, weights, 2)
+    mixed = mixing.mixed(spark.createDataFrame(clean, SCHEMA)).collect()
+    brute_mixture(clean, mixed, weights, 2)
+    order = [r.doc_id for r in sorted(mixed, key=lambda r: (r.slot, r.place))]
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == order and sorted(r.position for r in got) == list(range(len(clean)))
     want = brute_shards([r[:2] for r in clean], 1500)
     for r in got:
         if r.doc_id != 204:

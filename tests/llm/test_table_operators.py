@@ -14,6 +14,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from lithoframe.llm import chat, mixing, sharding, topk_search, warc
+from lithoframe.llm.storage import settled
 
 DOCS = "doc_id long, text string"
 
@@ -314,14 +315,22 @@ def test_pipeline_output_carries_the_mixture(spark):
 
     docs = spark.range(3000).selectExpr("id as doc_id", "repeat(cast(id as string), 300) as text", "if(id % 10 = 0, 'b', 'a') as source")
     by_shard = defaultdict(list)
-    for r in corpus_pipeline.shards(spark, docs, "").select("shard", "slot", "place", "source").collect():
-        by_shard[r.shard].append((r.slot, r.place, r.source))
+    written = corpus_pipeline.settled(corpus_pipeline.mixture(spark, docs, ""))
+    for r in corpus_pipeline.shards(spark, written, "").select("shard", "position", "source").collect():
+        by_shard[r.shard].append((r.position, r.source))
     assert len(by_shard) > 1 and sum(map(len, by_shard.values())) == 3000
     for rows in by_shard.values():
-        assert [r[:2] for r in rows] == sorted(r[:2] for r in rows)
+        assert [r[0] for r in rows] == sorted(r[0] for r in rows)
         # tempered weights are 3 to 1 where rows are 9 to 1
         head = rows[: len(rows) // 5]
-        assert 0.15 < sum(r[2] == "b" for r in head) / len(head) < 0.35
+        assert 0.15 < sum(r[1] == "b" for r in head) / len(head) < 0.35
+
+
+def test_positions(spark):
+    df = spark.range(50).selectExpr("id", "id % 3 as position").repartitionByRange(4, "id").sortWithinPartitions("id")
+    assert all(r.id == r.position for r in mixing.positions(df).collect())
+    assert all(r.id == r.position for r in mixing.positions(settled(df)).coalesce(1).collect())
+    assert mixing.positions(df.limit(0)).count() == 0
 
 
 def test_registered_queries(spark):
