@@ -28,16 +28,16 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mixture: read in file order, every source keeps its share."""
+    """All documents, written in the order of the mixture: read in file order, every source keeps its share, and the shards take over that order."""
     return mixing.in_order(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their places in the mixture and their shards; each shard lies in one part, in the order of the mixture.
+    """All documents with their positions in the mixture and their shards; each shard lies in one part, in the order of the mixture.
 
-    The schedule depends on the rows alone, so that it is the one of the stage before.
+    The positions are those in the files that the mixture was written to.
     """
-    return sharding.shards(mixing.mixed(docs)).repartition("shard").sortWithinPartitions("shard", "slot", "place")
+    return sharding.shards(mixing.positions(docs)).repartition("shard").sortWithinPartitions("shard", "position")
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_leaks", benchmark_leaks), ("mixture", mixture), ("shards", shards)]
