@@ -53,8 +53,10 @@ BUCKET = 300_000
 ANSWERS = 50_000
 #: A list of more documents than this is hot.
 HOT = 256
+#: A list of more documents than this is a block of its own, which bounds the pairs of a block.
+ALONE = 32
 #: Documents of a list that are paired by one task; longer lists are paired piece by piece.
-CHUNK = 20_000
+CHUNK = 2000
 #: Leaders that a document may try.
 LEADERS = 4
 #: Documents that one leader's set is sent along with.
@@ -441,8 +443,9 @@ _LISTS = "block long, piece int, other int, pieces int, tokens binary, hot binar
 def _postings(blocks: int):
     """Deals a bucket's postings in lists of several components to the blocks of those lists.
 
-    Of hot lists only documents with a kind are sent. Lists of over ``CHUNK`` documents
-    are cut into pieces, and each pair of pieces is a block of its own.
+    Of hot lists only documents with a kind are sent. Lists of over ``ALONE`` documents
+    are blocks of their own; those of over ``CHUNK`` are cut into pieces, and each pair of
+    pieces is one.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -454,8 +457,9 @@ def _postings(blocks: int):
             row = np.repeat(np.arange(len(sizes)), sizes)
             length, _ = _facts_for(token, right)
             sent = np.flatnonzero((length > 0) & (~hot | (facts[4, row] != 0)))
-            token, hot, row, pieces = token[sent], hot[sent], row[sent], -(-length[sent] // CHUNK)
-            block = np.where(pieces == 1, _block_of(token, blocks), mix(token).view(np.int64) | np.int64(1 << 62))
+            token, hot, row, length = token[sent], hot[sent], row[sent], length[sent]
+            pieces = -(-length // CHUNK)
+            block = np.where(length <= ALONE, _block_of(token, blocks), mix(token).view(np.int64) | np.int64(1 << 62))
             mine = np.where(pieces == 1, 0, facts[0, row] % pieces)
             for most in np.unique(pieces).tolist():
                 of = np.flatnonzero(pieces == most)
@@ -502,7 +506,7 @@ def _pairs_of_lists(table: pa.Table) -> pa.Table:
     total = np.cumsum(nth)
     at = 0
     while at < len(token):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
         x = np.repeat(np.arange(at, to), nth[at:to])
         y = x - 1 - (np.arange(len(x)) - np.repeat(np.cumsum(nth[at:to]) - nth[at:to], nth[at:to]))
         ok = (comp[x] != comp[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
@@ -513,7 +517,7 @@ def _pairs_of_lists(table: pa.Table) -> pa.Table:
             ok &= (np.minimum(doc[x] % pieces, doc[y] % pieces) == piece) & (np.maximum(doc[x] % pieces, doc[y] % pieces) == other)
         x, y, apart = x[ok], y[ok], apart[ok]
         found.append(_counted(doc[x], n[x], doc[y], n[y], np.ones(len(x), dtype=np.int64), np.where(apart, 0, np.minimum(hots[x], hots[y]))))
-        if len(found) > 8:
+        if sum(len(f[0]) for f in found[1:]) > 500_000:
             found = [_counted(*(np.concatenate(c) for c in zip(*found)))]
         at = to
     q, size, p, m, hits, room = _counted(*(np.concatenate(c) for c in zip(*found))) if found else [np.empty(0, dtype=np.int64)] * 6
