@@ -89,21 +89,38 @@ def _scores(cands: np.ndarray, q: np.ndarray, norm2: float) -> np.ndarray:
 def eliminate(
     ids: np.ndarray, cands: np.ndarray, table: np.ndarray, query_id: int, q: np.ndarray, q_table: np.ndarray, norm2: float, k: int, least: float = -np.inf
 ) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and scores of one query's top k among ``cands``; those below ``least`` may be left out."""
-    bound = np.abs(table - q_table[None, :]).max(axis=1) if table.shape[1] else np.zeros(len(ids))
+    """vec_ids and scores of one query's top k among ``cands``; those below ``least`` may be left out.
+
+    The candidates with the best bounds come first; where the bounds leave over an eighth
+    of the block after them, the block's scores are one product, else runs that grow.
+    """
+    bound = np.abs(table - q_table[None, :]).max(axis=1).astype(float) if table.shape[1] else np.zeros(len(ids))
     best = _best(bound, norm2)
     order = np.flatnonzero((ids != query_id) & (best >= least))
-    order = order[np.argsort(-best[order], kind="stable")]
     top_ids, top = np.empty(0, dtype=np.int64), np.empty(0, dtype=float if norm2 < _EXACT else object)
-    at, step = 0, max(64, 4 * k)
-    while at < len(order):
-        if len(top) == k and best[order[at]] < top[-1]:
+
+    def with_more(part: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        who, score = np.concatenate([top_ids, ids[part]]), np.concatenate([top, scores])
+        if norm2 < _EXACT and len(score) > 8 * k:
+            can = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            who, score = who[can], score[can]
+        keep = np.lexsort((who, -score))[:k] if norm2 < _EXACT else np.array(sorted(range(len(score)), key=lambda i: (-score[i], who[i]))[:k], dtype=np.int64)
+        return who[keep], score[keep]
+
+    run = max(64, 4 * k)
+    while len(order):
+        if len(order) > run:
+            parted = np.argpartition(-best[order], run)
+            part, order = order[parted[:run]], order[parted[run:]]
+        else:
+            part, order = order, order[:0]
+        top_ids, top = with_more(part, _scores(cands[part], q, norm2))
+        if len(top) == k:
+            order = order[best[order] >= top[-1]]
+        if 8 * len(order) > len(ids) and norm2 < _EXACT:
+            top_ids, top = with_more(order, (cands @ q)[order])
             break
-        part = order[at : at + step]
-        top_ids, top = np.concatenate([top_ids, ids[part]]), np.concatenate([top, _scores(cands[part], q, norm2)])
-        keep = np.lexsort((top_ids, -top))[:k] if norm2 < _EXACT else np.array(sorted(range(len(top)), key=lambda i: (-top[i], top_ids[i]))[:k])
-        top_ids, top = top_ids[keep], top[keep]
-        at, step = at + step, step * 2
+        run *= 2
     return top_ids, top
 
 
@@ -169,8 +186,10 @@ def _search(visits: DataFrame, table: DataFrame, norm2: float, k: int) -> DataFr
         found = []
         if queries.num_rows and candidates.num_rows:
             ids, n = np.asarray(candidates.column("vec_id")), candidates.num_rows
-            cands, dist = _matrix(candidates.column("v"), n), _matrix(candidates.column("d"), n)
-            q, q_dist = _matrix(queries.column("v"), queries.num_rows), _matrix(queries.column("d"), queries.num_rows)
+            # bounds allow for the rounding of single precision, whose range is smaller
+            kind = np.float32 if norm2 < 1e60 else np.float64
+            cands, dist = _matrix(candidates.column("v"), n), _matrix(candidates.column("d"), n).astype(kind)
+            q, q_dist = _matrix(queries.column("v"), queries.num_rows), _matrix(queries.column("d"), queries.num_rows).astype(kind)
             for i, (one, nth, least) in enumerate(zip(*(queries.column(c).to_pylist() for c in ("query_id", "nth", "least")))):
                 who, score = eliminate(ids, cands, dist, one, q[i], q_dist[i], norm2, k, least)
                 found.extend((one, nth, int(w), int(s)) for w, s in zip(who, score))

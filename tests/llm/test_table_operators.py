@@ -263,7 +263,7 @@ def test_top_k(spark, monkeypatch, blocks):
     assert [tuple(r) for r in topk_search.top_k(twice, F.expr("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 81920), (0, 2, 1, 81920), (0, 3, 2, 81920), (0, 4, 2, 81920)]
 
 
-@pytest.mark.parametrize("size", [2e7, 1e200])
+@pytest.mark.parametrize("size", [2e7, 1e100, 1e200])
 def test_top_k_of_large_components(spark, size):
     rng = random.Random(1)
     rows = [(k, [size * rng.random() * (rng.random() < 0.5) * 1e-3 ** (k % 4) for _ in range(3)]) for k in range(60)]

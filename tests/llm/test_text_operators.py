@@ -84,7 +84,7 @@ def family(seed, n=220):
 
 
 def small_parts(monkeypatch, hot):
-    for name, value in (("HOT", hot), ("BLOCK", 300), ("BUCKET", 1500), ("CHUNK", 7), ("TOGETHER", 5), ("ANSWERS", 40)):
+    for name, value in (("HOT", hot), ("BLOCK", 300), ("BUCKET", 1500), ("ALONE", 4), ("CHUNK", 7), ("TOGETHER", 5), ("ANSWERS", 40)):
         monkeypatch.setattr(ngram_join, name, value)
 
 
