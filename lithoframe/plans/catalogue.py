@@ -102,14 +102,14 @@ def catalogue_extra_metadata(spark: SparkSession, d: str) -> DataFrame:
     return e.filter(F.col("k").between(10, 19)).groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
-_CONV = [("ft", "m"), ("bar", "psi"), ("degF", "degC"), ("bbl/d", "m3/d"), ("d", "h"), ("m", "m"), ("m", "bar")]
-_CONV_SQL = {("ft", "m"): "x * 0.3048", ("bar", "psi"): "x * 100000.0 / 6894.757293168361", ("degF", "degC"): "(2298.35 + 5.0 * x) / 9.0 - 273.15", ("bbl/d", "m3/d"): "x * 0.158987294928", ("d", "h"): "x * 24.0", ("m", "m"): "x", ("m", "bar"): "null"}
+_CONV = [("ft", "m"), ("bar", "psi"), ("degF", "degC"), ("bbl/d", "m3/d"), ("d", "h"), ("m", "m"), ("m", "bar"), ("psi/ft", "bar/m"), ("cP.bbl/(psi.d)", "cP.m3/(kPa.d)"), ("lbm/ft3", "kg/m3"), ("acre", "ha")]
+_CONV_SQL = {("ft", "m"): "x * 0.3048", ("bar", "psi"): "x * 100000.0 / 6894.757293168361", ("degF", "degC"): "(2298.35 + 5.0 * x) / 9.0 - 273.15", ("bbl/d", "m3/d"): "x * 0.158987294928", ("d", "h"): "x * 24.0", ("m", "m"): "x", ("m", "bar"): "null", ("psi/ft", "bar/m"): "x * 6894.757293168361 / 0.3048 / 100000.0", ("cP.bbl/(psi.d)", "cP.m3/(kPa.d)"): "x * 0.158987294928 / 6.894757293168361", ("lbm/ft3", "kg/m3"): "x * 0.45359237 / 0.028316846592", ("acre", "ha"): "x * 0.40468564224"}
 
 
-@query("with v as (select c_custkey as id, c_acctbal::double as x, c_custkey % 7 as kind from customer) select id, case kind " + " ".join(f"when {k} then {sq6(_CONV_SQL[u])}" for k, u in enumerate(_CONV)) + " end as y from v")
+@query("with v as (select c_custkey as id, c_acctbal::double as x, c_custkey % 11 as kind from customer) select id, case kind " + " ".join(f"when {k} then {sq6(_CONV_SQL[u])}" for k, u in enumerate(_CONV)) + " end as y from v")
 def unit_conversion(spark: SparkSession, d: str) -> DataFrame:
     """Values in units of their own, each converted to another by a join with the table of units; null between dimensions."""
-    v = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 7).cast("int").alias("kind"))
+    v = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 11).cast("int").alias("kind"))
     pick = lambda n: F.element_at(F.array(*(F.lit(u[n]) for u in _CONV)), F.col("kind") + 1)
     return converted(v.withColumns({"a": pick(0), "b": pick(1)}), "x", "a", "b", "y").select("id", q6(F.col("y")).alias("y"))
 
