@@ -1,4 +1,4 @@
-"""Queries of the ten operators, with production parameters, over their whole tables."""
+"""Queries of the operators, with production parameters, over their whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_join, pii, sharding, topk_search, warc
+from lithoframe.llm import bpe, chat, decontaminate, hard_negatives, langid, line_dedup, mixing, ngram_join, pii, runs, sharding, topk_search, warc
 from lithoframe.llm.storage import settled
 
 
@@ -75,6 +75,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.expr("vec_id % 100 = 0"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summaries(_table(spark, sf_dir, "documents"), rewrite=runs.planted(F.col("doc_id")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, restore=True)
+    return bpe.digests(coded)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -88,8 +104,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_exact_topk": op9_exact_topk,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_sharding": sharding.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op9_exact_topk": topk_search.ORACLE_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_sharding": sharding.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op9_exact_topk": topk_search.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL}

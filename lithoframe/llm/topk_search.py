@@ -47,11 +47,11 @@ def whole(vector: Column) -> Column:
     return F.transform(vector, one)
 
 
-def usable(vectors: DataFrame, vector: str) -> DataFrame:
-    """vec_id and v (whole numbers) of the rows that take part."""
+def usable(vectors: DataFrame, vector: str, *more: str) -> DataFrame:
+    """vec_id, v (whole numbers) and ``more`` columns of the rows that take part."""
     fine = ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     kept = vectors.filter(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & fine)
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col(vector)).alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col(vector)).alias("v"), *more)
 
 
 def choose_pivots(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
