@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cache
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +32,14 @@ SLICE = 4 << 20
 KNOWN_WORDS = 1_000_000
 #: Words of more bytes have all equal pairs contracted in one step where the order makes no difference.
 LONG = 48
-#: Unicode's white space, spelled out because RE2's \s is ASCII only.
-_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Unicode's white space.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ESCAPE = regex.compile(r"\\p\{[LN]\}|\\[sS]")
+_CLASS = regex.compile(r"\[(?:\\.|[^\]\\])*\]|" + _ESCAPE.pattern)
 _LAST_SPACE = r"|\s+(?!\S)"
 #: A non-character that stands before the last white space of a run; texts with it are split by the other engine.
 _MARK = "﷐"
-_CUT = regex.compile(r"\S\s")
+_CUT = regex.compile(f"[^{_SPACE}][{_SPACE}]")
 
 _STEP = """
 with recursive step(k, id, settled) as (
@@ -67,19 +71,56 @@ def read_ranks(path: str) -> list[tuple[int, bytes]]:
         return [(int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, lines)]
 
 
-def re2_pattern(pattern: str) -> str | None:
-    """The same pattern for RE2, which has no lookahead: ``\\s+(?!\\S)`` is dropped for a mark in the text; None if it looks around otherwise."""
+def _ranges(points: list[str]) -> str:
+    found: list[list[int]] = []
+    for c in map(ord, points):
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in found)
+
+
+@cache
+def classes() -> tuple[str, str]:
+    """What the tokenizer's library takes for letters and for numbers, as ranges; its tables are of another version of Unicode than RE2's or Python's, so it is asked for each code point."""
+    single = [bytes([b]) for b in range(256)]
+    ranks = {b: k for k, b in enumerate([*single, *(b"a" + b for b in single), *(b"1" + b for b in single)])}
+    own = tiktoken.Encoding("classes", pat_str=r"\p{L}+|\p{N}+|[^\p{L}\p{N}]", mergeable_ranks=ranks, special_tokens={})
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+    def with_lead(lead: str) -> list[str]:
+        """Those that make one match with ``lead``, whose byte is then one token with the next."""
+        ids = np.array(own.encode_ordinary("".join(f"!{lead}{c}" for c in points)))
+        begins = np.concatenate([[0], np.cumsum(np.where(ids < 256, 1, 2))])[:-1]
+        sizes = np.array([len(c.encode()) + 2 for c in points])
+        at = np.searchsorted(begins, np.cumsum(sizes) - sizes + 1)
+        return [c for c, joined in zip(points, ids[at] >= 256) if joined]
+
+    return _ranges(with_lead("a")), _ranges(with_lead("1"))
+
+
+def spelled_out(pattern: str, letters: str, numbers: str) -> str:
+    """``pattern`` with its classes of letters, numbers and white space as ranges of characters."""
+    ranges = {r"\p{L}": letters, r"\p{N}": numbers, r"\s": _SPACE, r"\S": "^" + _SPACE}
+    return _CLASS.sub(lambda m: _ESCAPE.sub(lambda e: ranges[e[0]], m[0]) if m[0].startswith("[") else f"[{ranges[m[0]]}]", pattern)
+
+
+def for_re2(pattern: str) -> str | None:
+    """``pattern`` without its lookahead ``\\s+(?!\\S)``, which RE2 lacks and a mark in the text stands for; None if it has others or none."""
     plain = pattern.replace(_LAST_SPACE, "", 1)
     if "(?" in plain or plain == pattern or r"[^\s" not in plain or not plain.endswith(r"|\s+"):
         return None
-    return plain.replace(r"[^\s", f"[^{_MARK}{_SPACE}").replace(r"\s", f"[{_SPACE}]")
+    return plain.replace(r"[^\s", rf"[^{_MARK}\s")
 
 
 class Engine:
     """The vocabulary and the words met so far in one DuckDB connection."""
 
-    def __init__(self, tokens: list[tuple[int, bytes]], pattern: str, known_words: int = KNOWN_WORDS) -> None:
-        self.pattern, self.re2, self.known_words = regex.compile(pattern), re2_pattern(pattern), known_words
+    def __init__(self, tokens: list[tuple[int, bytes]], pattern: str, letters: str, numbers: str, known_words: int = KNOWN_WORDS) -> None:
+        plain = for_re2(pattern)
+        self.pattern, self.re2 = regex.compile(spelled_out(pattern, letters, numbers)), plain and spelled_out(plain, letters, numbers)
+        self.known_words = known_words
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         self.db.register("given", pa.table({"id": pa.array([t for t, _ in tokens], pa.int32()), "b": pa.array([b for _, b in tokens], pa.binary())}))
         self.db.execute("create table tokens as select id, b, hex(b) as h from given")
@@ -88,8 +129,9 @@ class Engine:
             with halves as (select id, h[:2 * n] as l, h[2 * n + 1:] as r from tokens, range(1, length(h) // 2) g(n)),
             found as (select a.id as l, b.id as r, s.id as m from halves s join tokens a on a.h = s.l join tokens b on b.h = s.r)
             select *, m not in (select l from found where m < l union all select r from found where m < r) as free from found""")
-        # at id + 1; an id that no token has stands for nothing
-        self.db.execute("set variable spelled = (select list(coalesce(h, '') order by n) from range(0, (select max(id) + 1 from tokens)) g(n) left join tokens on id = n)")
+        # at id + 1; an id that no token has stands for nothing, as does the place after the last
+        self.end = max(t for t, _ in tokens) + 1
+        self.db.execute(f"set variable spelled = (select list(coalesce(h, '') order by n) from range(0, {self.end + 1}) g(n) left join tokens on id = n)")
         self.forget()
 
     def forget(self) -> None:
@@ -140,7 +182,7 @@ class Engine:
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids."""
         self.db.register("lists", pa.table({"ids": ids}))
-        spelled = "list_select(getvariable('spelled'), list_transform(ids, lambda x: x + 1))"
+        spelled = f"list_select(getvariable('spelled'), list_transform(ids, lambda x: case when x between 0 and {self.end} then x + 1 else {self.end + 1} end))"
         found = self.db.sql(f"select coalesce(unhex(list_aggregate({spelled}, 'string_agg', '')), ''::blob) as b from lists").to_arrow_table()
         return found.column(0).combine_chunks().cast(pa.binary())
 
@@ -152,7 +194,7 @@ def _engine(vocabulary: Broadcast, pattern: str) -> Engine:
     key = (vocabulary.value[0], pattern)
     if key not in _engines:
         _engines.clear()
-        _engines[key] = Engine(vocabulary.value[1], pattern)
+        _engines[key] = Engine(vocabulary.value[1], pattern, *vocabulary.value[2])
     return _engines[key]
 
 
@@ -188,7 +230,7 @@ def _encoded(engine: Engine, texts: pa.Array) -> pa.ListArray:
 
 def _vocabulary(df: DataFrame, path: str) -> Broadcast:
     """Token list of one file for all tasks: as large as the vocabulary, whatever the data."""
-    return df.sparkSession.sparkContext.broadcast((path, read_ranks(path)))
+    return df.sparkSession.sparkContext.broadcast((path, read_ranks(path), classes()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", restore: bool = False) -> DataFrame:
@@ -221,7 +263,6 @@ def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # ids out of range are dropped by the aggregate
             yield pa.RecordBatch.from_arrays([batch.column(0), _engine(vocabulary, ".").decode(batch.column(1))], names=[key, "decoded"])
 
     return coded.select(key, F.col(ids).cast("array<int>").alias("__ids")).mapInArrow(run, f"`{key}` {kind}, decoded binary")
