@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.operators import intervals
 from lithoframe.operators.connections import labelled
+from lithoframe.operators.steps import once
 
 
 def edge_offsets(corners: DataFrame) -> DataFrame:
@@ -72,11 +74,14 @@ def juxtaposed(layers: DataFrame, edges: DataFrame, least: float = 1e-6) -> Data
     a = layers.select("edge", F.col("column").alias("column0"), F.col("k").alias("k0"), *(F.col(c).alias(f"a_{c}") for c in ("t0", "b0", "t1", "b1")))
     b = layers.select("edge", F.col("column").alias("column1"), F.col("k").alias("k1"), *(F.col(c).alias(f"b_{c}") for c in ("t0", "b0", "t1", "b1")))
     # layers of a column don't overlap: those that meet are the ones whose depth ranges do
-    pairs = edges.join(a, ["edge", "column0"]).join(b, ["edge", "column1"])
-    meet = (F.least("a_t0", "a_t1") < F.greatest("b_b0", "b_b1")) & (F.least("b_t0", "b_t1") < F.greatest("a_b0", "a_b1"))
+    reach = {"a": a.join(edges, ["edge", "column0"]), "b": b.join(edges, ["edge", "column1"]).drop("column0")}
+    for side in "ab":
+        ends = {f"{side}_low": F.least(f"{side}_t0", f"{side}_t1"), f"{side}_high": F.greatest(f"{side}_b0", f"{side}_b1")}
+        reach[side] = reach[side].withColumns(ends)
+    pairs = intervals.overlapping(reach["a"].drop("column1"), reach["b"], ["edge"], ("a_low", "a_high"), ("b_low", "b_high"))
     pair = lambda c, side: (F.col(f"{side}_{c}0"), F.col(f"{side}_{c}1"))
     shared = overlap(pair("t", "a"), pair("b", "a"), pair("t", "b"), pair("b", "b"))
     own = lambda side: (F.col(f"{side}_b0") - F.col(f"{side}_t0") + F.col(f"{side}_b1") - F.col(f"{side}_t1")) / 2.0
     part = lambda side: F.coalesce(F.col("shared") / F.nullif(own(side), F.lit(0.0)), F.lit(0.0))
-    out = pairs.filter(meet).withColumn("shared", shared).withColumns({"area0": part("a"), "area1": part("b")})
+    out = once(once(pairs, shared=shared), area0=part("a"), area1=part("b"))
     return out.filter((F.col("area0") > least) | (F.col("area1") > least)).select("edge", "column0", "k0", "column1", "k1", "area0", "area1")

@@ -269,7 +269,7 @@ def well_first_hit(spark: SparkSession, d: str) -> DataFrame:
     v = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(("md", "dx", "dy", "dz"), s))) for s in _STATIONS))
     s = table(spark, d, "part").select(F.col("p_partkey").alias("well"), *(F.expr(e).cast("double").alias(f"h{c}") for c, e in _HEAD.items()), F.explode(v).alias("v"))
     s = s.select("well", "v.md", *((F.col(f"h{c}") + F.col(f"v.d{c}")).alias(c) for c in "xyz"))
-    return wells.first_hits(s, _triangles(spark, d), 4.0).select("well", "t", q6(F.col("md")).alias("md"))
+    return wells.first_hits(s, _triangles(spark, d)).select("well", "t", q6(F.col("md")).alias("md"))
 
 
 _SHAPE = {"depth": "case when active then 1000.0 + k * 10.0 + poro else 0.0 end", "thickness": "case when active then 8.0 + ntg else 0.0 end", "x": "case when active then i * 50.0 + k else 0.0 end", "y": "case when active then j * 40.0 - k else 0.0 end"}

@@ -268,3 +268,57 @@ def test_whole_queries_take_all_rows(spark):
     assert q["grid_half_cell_irregular"](spark, str(DATA)).count() == cells
     layers = q["surface_lattice_hits"](spark, str(DATA)).selectExpr("x div 220 as k").distinct().count()
     assert layers == cells // 750
+
+
+def _corner_rows(z, nk=2, nj=2, ni=2, active=lambda k, j, i: True):
+    """Corner rows of a grid of unit cells; ``z`` gives a corner's depth."""
+    from itertools import product
+
+    return [(k, j, i, kp, jp, ip, float(i + ip), float(j + jp), z(k, j, i, kp, jp, ip), active(k, j, i)) for k, j, i in product(range(nk), range(nj), range(ni)) for kp, jp, ip in product(range(2), repeat=3)]
+
+
+_CORNER = "k long, j long, i long, kp int, jp int, ip int, x double, y double, z double, active boolean"
+
+
+def test_pillars_of_a_plain_grid(spark):
+    from lithoframe.operators import pillars
+
+    g = pillars.grid_pillars(spark.createDataFrame(_corner_rows(lambda k, j, i, kp, jp, ip: float(k + kp)), _CORNER), 2, 2)
+    assert {(r.pillar, r.boundary, r.x, r.y, r.z) for r in g.points.collect()} == {(3 * j + i, b, float(i), float(j), float(b)) for j in range(3) for i in range(3) for b in range(3)}
+    assert g.splits.count() == 0 and {(r.k, r.raw, r.gap_after) for r in g.layers.collect()} == {(0, 0, False), (1, 1, False)}
+    assert {(r.j, r.i, r.jp, r.ip): r.pillar for r in g.columns.collect()} == {(j, i, jp, ip): 3 * (j + jp) + i + ip for j in range(2) for i in range(2) for jp in range(2) for ip in range(2)}
+
+
+def test_pillars_split_by_tolerance(spark):
+    """Depths on both sides of a rounding edge are one pillar; beyond the tolerance they are not, whatever lies between."""
+    from lithoframe.operators import pillars
+
+    shift = {(0, 0): 0.0049999, (0, 1): 0.0050001, (1, 0): 0.0141, (1, 1): 0.0240}
+    df = spark.createDataFrame(_corner_rows(lambda k, j, i, kp, jp, ip: k + kp + shift[j, i]), _CORNER)
+    g = pillars.grid_pillars(df, 2, 2)
+    middle = {(r.j, r.i): r.pillar for r in g.columns.collect() if (r.j + r.jp, r.i + r.ip) == (1, 1)}
+    # the leader is (1, 1), the first around the pillar; (1, 0) is within 0.01 of it, (0, 1) is 0.019 off and takes (0, 0) along
+    assert middle[1, 1] == middle[1, 0] == 4 and middle[0, 1] == middle[0, 0] >= 9
+    assert {r["of"] for r in g.splits.filter(f"pillar = {middle[0, 0]}").collect()} == {4}
+    assert sorted(r.pillar for r in g.splits.collect()) == list(range(9, 9 + g.splits.count()))
+    assert pillars.grid_pillars(df, 2, 2, split=False).splits.count() == 0
+
+
+def test_pillars_with_gap_void_and_inactive(spark):
+    from lithoframe.operators import pillars
+
+    gap = pillars.grid_pillars(spark.createDataFrame(_corner_rows(lambda k, j, i, kp, jp, ip: 2.0 * k + kp), _CORNER), 2, 2)
+    assert {(r.k, r.raw, r.gap_after) for r in gap.layers.collect()} == {(0, 0, True), (1, 2, False)}
+    assert {r.z for r in gap.points.filter("pillar = 4").collect()} == {0.0, 1.0, 2.0, 3.0}
+    void = pillars.grid_pillars(spark.createDataFrame(_corner_rows(lambda k, j, i, kp, jp, ip: 1.0 * k + kp + 0.05 * k), _CORNER), 2, 2)
+    assert sorted(r.z for r in void.points.filter("pillar = 0").collect()) == pytest.approx([0.0, 1.025, 2.05])
+    # a column without geometry: its neighbours lead, its own corner has no point
+    hole = _corner_rows(lambda k, j, i, kp, jp, ip: None if (j, i) == (0, 0) else float(k + kp), active=lambda k, j, i: (k, j, i) != (1, 1, 1))
+    g = pillars.grid_pillars(spark.createDataFrame(hole, _CORNER), 2, 2)
+    assert {(r.pillar, r.boundary) for r in g.points.filter("z is null").collect()} >= {(0, b) for b in range(3)}
+    assert g.points.filter("pillar < 9 and pillar > 0 and z is null").count() == 0
+    for how, gone in (("inactive", True), ("dots", False), ("ij_dots", False), ("morse", False)):
+        known = pillars.defined(spark.createDataFrame(hole, _CORNER), how)
+        assert known.filter("k = 1 and j = 1 and i = 1 and z is null").count() == (8 if gone else 0)
+    dot = _corner_rows(lambda k, j, i, kp, jp, ip: 0.0, active=lambda k, j, i: False)
+    assert pillars.defined(spark.createDataFrame([(*r[:6], 0.0, 0.0, *r[8:]) for r in dot], _CORNER), "dots").filter("z is not null").count() == 0
