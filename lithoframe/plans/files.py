@@ -23,8 +23,8 @@ def file_ascii_array(spark: SparkSession, d: str) -> DataFrame:
     """An array written ten values a line and read back; words that are no numbers are nulls in their places."""
     path = shared_folder(spark)
     c = cells(spark, d).select("cell_id", F.when(F.col("cell_id") % 7 == 0, "none").otherwise(F.col("perm").cast("string")).alias("value"))
-    ascii.write_array(c.coalesce(1), path)
-    back = ascii.array_values(spark, path)
+    ascii.write_array(c, path)
+    back = ascii.array_values(spark, path, over_files=True)
     both = back.join(cells(spark, d).select("cell_id", "perm"), "cell_id")
     value = F.when(F.col("value").isNull() & (F.col("cell_id") % 7 == 0), F.col("perm")).otherwise(F.col("value"))
     return both.groupBy((F.col("cell_id") % 1000).alias("place")).agg(F.count("*").alias("n"), q6(F.sum(value)).alias("perm"), F.count_if(F.col("value").isNull()).alias("missing"))
@@ -140,7 +140,7 @@ def file_corner_points(spark: SparkSession, d: str) -> DataFrame:
         for jp in (0, 1):
             for ip in ((0, 1) if jp == 0 else (1, 0)):
                 parts += [(F.col("i") + ip) * 50.0, (F.col("j") + jp) * 40.0, (F.col("k") + kp) * 5.0 + F.col("ntg")]
-    text = c.select("cell_id", F.concat_ws(" ", *(p.cast("string") for p in parts)).alias("text")).coalesce(1).sortWithinPartitions("cell_id")
-    v = ascii.array_values(spark, _text(text))
+    text = c.select("cell_id", F.concat_ws(" ", *(p.cast("string") for p in parts)).alias("text")).repartitionByRange("cell_id").sortWithinPartitions("cell_id")
+    v = ascii.array_values(spark, _text(text), over_files=True)
     p = tables.corner_points(v, NJ, NI)
     return p.select("cell_id", "k", "j", "i", "kp", "jp", "ip", *(q6(F.col(x)).alias(x) for x in "xyz"))

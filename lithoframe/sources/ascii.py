@@ -1,8 +1,8 @@
 """Text files: arrays, logs, triangulated surfaces and points, read line by line with their places.
 
-Files are read by Spark's text source, so any store that it knows will do. What depends
-on the order of lines uses the line's number within its file, which ``numbered`` gives;
-a file's lines are one group, files are spread over tasks.
+Files are read by Spark's text source, so any store that it knows will do, in splits. What
+depends on the order of lines or words uses their numbers, which come from the counts of
+the splits before.
 """
 
 from __future__ import annotations
@@ -18,15 +18,29 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, block (start of the split), nth (ascending within a split, without holes) and text of each line."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.regexp_replace("value", r"\r$", "").alias("text"))
+
+
+def _before(splits: DataFrame, counted: str, over_files: bool = False) -> DataFrame:
+    """``splits`` (a row for each split) with before: the sum of ``counted`` over the splits before it, in its file or in all files in the order of their names."""
+    # part-100000 comes after part-99999
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    order = [F.length(F.regexp_extract(name, r"^\D*(\d*)", 1)), "path", "block"] if over_files else ["block"]
+    w = (Window.orderBy(*order) if over_files else Window.partitionBy("path").orderBy(*order)).rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("before", F.coalesce(F.sum(counted).over(w), F.lit(0)))
+
+
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """path, line (from 0) and text of each line.
 
-    Files are read in splits, each of which keeps the order of its lines; a file's lines
-    are numbered by its splits' starts and their order in them.
+    Files are read in splits, each of which keeps the order of its lines. The splits'
+    counts say with which number each begins, so that no file is one task's.
     """
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("text"))
-    line = F.row_number().over(Window.partitionBy("path").orderBy("block", "nth")) - 1
-    return rows.select("path", line.alias("line"), F.regexp_replace("text", r"\r$", "").alias("text"))
+    rows = _lines(spark, path)
+    splits = _before(rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("nth").alias("first")), "n")
+    return rows.join(splits, ["path", "block"]).select("path", (F.col("before") + F.col("nth") - F.col("first")).alias("line"), "text")
 
 
 def number(text: Column) -> Column:
@@ -34,19 +48,41 @@ def number(text: Column) -> Column:
     return F.regexp_replace(text, "[Dd]", "E").try_cast("double")
 
 
-def array_values(spark: SparkSession, path: str, keyword: str | None = None, comment: str = "!") -> DataFrame:
+def _section(rows: DataFrame, keyword: str) -> DataFrame:
+    """Of each file the lines from the first ``keyword`` to the next line that begins with a word."""
+    place = F.struct("block", "nth")
+    head = rf"(?i)(?:^|\s){keyword}\b"
+    starts = rows.filter(F.col("text").rlike(head)).groupBy("path").agg(F.min(place).alias("start"))
+    after = rows.join(starts, "path").filter(place >= F.col("start"))
+    ends = after.filter((place > F.col("start")) & F.col("text").rlike(r"^\s*[A-Za-z][A-Za-z_]*\b")).groupBy("path").agg(F.min(place).alias("end"))
+    inside = after.join(ends, "path", "left").filter(F.col("end").isNull() | (place < F.col("end")))
+    rest = F.regexp_replace("text", rf"(?i)^(?:.*?\s)??{keyword}\b", "")
+    return inside.select("path", "block", "nth", F.when(place == F.col("start"), rest).otherwise(F.col("text")).alias("text"))
+
+
+def array_values(spark: SparkSession, path: str, keyword: str | None = None, comment: str = "!", over_files: bool = False) -> DataFrame:
     """path, cell_id and value of an array of numbers, optionally behind a keyword; ``n*v`` stands for n times v, comments are passed over.
 
     A word that is no number is a null in its place, so that later values keep theirs.
+    Values are numbered from 0 in each file, or, with ``over_files``, through all of them
+    in the order of their names, as one array of the given path. Splits count their values, and sums over the splits say
+    where each goes on, so that one file takes as many tasks as it has splits.
     """
-    text = F.regexp_replace("text", rf"\Q{comment}\E[^\n]*", "")
+    rows = _lines(spark, path).withColumn("text", F.regexp_replace("text", rf"\Q{comment}\E.*$", ""))
     if keyword:
-        text = F.regexp_extract(text, rf"(?si)(?:^|\s){keyword}\b\s*(.*?)(?:\n\s*[A-Za-z][A-Za-z_]*\b|$)", 1)
-    tokens = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda t: (t != "") & (t != "/") & ((F.lit(not keyword)) | ~t.rlike(r"^[A-Za-z_]+$") | t.rlike(r"(?i)^nan$")))
+        rows = _section(rows, keyword)
+    tokens = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda t: (t != "") & (t != "/") & ((F.lit(not keyword)) | ~t.rlike(r"^[A-Za-z_]+$") | t.rlike(r"(?i)^nan$")))
     times = lambda t: F.when(t.rlike(r"^[0-9]+\*"), F.split(t, r"\*")[0].cast("int")).otherwise(1)
     value = lambda t: number(F.element_at(F.split(t, r"\*"), -1))
-    values = F.flatten(F.transform(tokens, lambda t: F.array_repeat(value(t), times(t))))
-    return whole_files(spark, path).select("path", F.posexplode(values).alias("cell_id", "value"))
+    some = rows.withColumn("tokens", tokens).filter(F.size("tokens") > 0).select("path", "block", "nth", "tokens")
+    counted = some.withColumn("n", F.aggregate("tokens", F.lit(0).cast("long"), lambda total, t: total + times(t)))
+    splits = _before(counted.groupBy("path", "block").agg(F.sum("n").alias("in_split")), "in_split", over_files)
+    # a split's lines are one sorted group: as many as it has bytes for
+    above = Window.partitionBy("path", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).join(splits, ["path", "block"])
+    values = F.flatten(F.transform("tokens", lambda t: F.array_repeat(value(t), times(t))))
+    spread = placed.select("path", (F.col("before") + F.col("above")).alias("first"), F.posexplode(values).alias("place", "value"))
+    return spread.select((F.lit(path) if over_files else F.col("path")).alias("path"), (F.col("first") + F.col("place")).alias("cell_id"), "value")
 
 
 def log_values(spark: SparkSession, path: str) -> DataFrame:

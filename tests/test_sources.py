@@ -1,5 +1,9 @@
 """Readers of text files."""
 
+import random
+
+import pytest
+
 from lithoframe.sources import ascii as a
 
 
@@ -37,3 +41,55 @@ def test_write_and_read(spark, tmp_path):
     parts = sorted((tmp_path / "out").glob("part*"))
     text = "".join(p.read_text() for p in parts)
     assert [float(x) for x in text.split()] == [k / 2 for k in range(35)]
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Splits of a few lines, and no merging of tasks."""
+    small = {"spark.sql.files.maxPartitionBytes": "70", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    yield
+    for k in small:
+        spark.conf.unset(k)
+
+
+def test_array_in_many_splits(spark, tmp_path, tiny_splits):
+    """An array keeps its numbers over the splits of one file and over several files."""
+    rng = random.Random(2)
+    words, values = [], []
+    for k in range(900):
+        n = rng.choice([1, 1, 1, 0, 7])
+        words.append(rng.choice([f"{k}.5", "none"]) if n == 1 else f"{n}*{k}")
+        values += [None if words[-1] == "none" else float(words[-1].split("*")[-1])] * n
+    lines, at = [], 0
+    while at < len(words):
+        n = rng.randrange(0, 9)
+        lines.append(" ".join(words[at : at + n]) + rng.choice(["", "  ", " ! 5 6", "\r"]))
+        at += n
+    path = put(tmp_path, "one", "\n".join(lines) + "\n")
+    got = a.array_values(spark, path)
+    assert got.rdd.getNumPartitions() > 1 and spark.read.text(path).rdd.getNumPartitions() > 20
+    assert [tuple(r)[1:] for r in got.orderBy("cell_id").collect()] == list(enumerate(values))
+    assert [tuple(r)[1:] for r in a.numbered(spark, path).orderBy("line").collect()] == [(k, x.removesuffix("\r")) for k, x in enumerate(lines)]
+    (tmp_path / "many").mkdir()
+    for n in range(12):
+        part = lines[n * len(lines) // 12 : (n + 1) * len(lines) // 12]
+        put(tmp_path / "many", f"part-{99994 + n}-x", "".join(x + "\n" for x in part))
+    several = a.array_values(spark, f"file://{tmp_path}/many", over_files=True)
+    assert [(r.cell_id, r.value) for r in several.orderBy("cell_id").collect()] == list(enumerate(values))
+
+
+def test_section_in_many_splits(spark, tmp_path, tiny_splits):
+    text = "! head\nTITLE a b\n" + "1 2 3\n" * 30 + "name PORO 5 6 ! x\n" + "7 2*8 / 9\n" * 40 + "nan 4\nKX\n" + "0 0\n" * 20 + "PORO 1\n"
+    want = [5.0, 6.0] + [7.0, 8.0, 8.0, 9.0] * 40
+    got = [r.value for r in a.array_values(spark, put(tmp_path, "s", text), "poro").orderBy("cell_id").collect()]
+    assert got == want
+    assert a.array_values(spark, put(tmp_path, "t", "NONE\n1 2\n"), "PORO").count() == 0
+
+
+def test_write_and_read_many_files(spark, tmp_path, tiny_splits):
+    out = f"file://{tmp_path}/out"
+    a.write_array(spark.range(1000).selectExpr("id as cell_id", "cast(id as double) / 2 as value"), out)
+    assert len(list((tmp_path / "out").glob("part*"))) > 1
+    assert [(r.cell_id, r.value) for r in a.array_values(spark, out, over_files=True).orderBy("cell_id").collect()] == [(k, k / 2) for k in range(1000)]
