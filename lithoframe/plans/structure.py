@@ -244,6 +244,23 @@ def well_blocked(spark: SparkSession, d: str) -> DataFrame:
     return _blocked(spark, d).select("well", F.col("interval").cast("long").alias("interval"), q6(F.col("md0")).alias("md0"), q6(F.col("md1")).alias("md1"), *"kji")
 
 
+_SHEAR = {"x": "x + 0.05 * z + 0.1 * y", "y": "y", "z": "z + 0.2 * x - 0.1 * y"}
+_IN_CELLS = _BLOCKS.replace(" and ".join(f"{a} between 0 and {n - 1}" for a, n in _CELLS.items()), "(k, j, i) in (select (k, j, i) from cells)").replace("with ", f"with {CELLS}, ", 1)
+
+
+@query(_IN_CELLS + f" select well, row_number() over (partition by well order by run) - 1 as interval, {sq6('md0')} as md0, {sq6('md1')} as md1, k, j, i from r")
+def well_blocked_in_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of a sheared grid, known by their corners, that equally sheared trajectories run through: those of the plain ones."""
+    sheared = lambda df: df.select("*", *(F.expr(e).alias(f"s{c}") for c, e in _SHEAR.items())).drop("x", "y", "z").withColumnsRenamed({f"s{c}": c for c in "xyz"})
+    c = cells(spark, d).select("k", "j", "i")
+    for side in ("kp", "jp", "ip"):
+        c = c.withColumn(side, F.explode(F.array(F.lit(0), F.lit(1))))
+    corners = c.select("*", *(((F.col(a) + F.col(f"{a}p")) * _BLOCKED[a]).alias(x) for a, x in (("i", "x"), ("j", "y"), ("k", "z"))))
+    s = _samples(spark, d).select("well", "md", *(F.expr(v).alias(x) for x, v in _PATH.items()))
+    b = wells.blocked_in_cells(sheared(s), sheared(corners))
+    return b.select("well", "interval", q6(F.col("md0")).alias("md0"), q6(F.col("md1")).alias("md1"), *"kji")
+
+
 @query(_BLOCKS + f", {CELLS} select r.well, count(*)::bigint as intervals, count(c.perm)::bigint as known, {sq6('coalesce(sum(c.perm * (md1 - md0)), 0.0)')} as kh from r left join cells c on c.k = r.k and c.j = r.j and c.i = r.i group by r.well")
 def well_property_at_cells(spark: SparkSession, d: str) -> DataFrame:
     """A property of the cells along a well."""
