@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lithoframe.plans import CELLS, NI, NJ, POINTS, cells, points, q6, query, sq6, table
 from lithoframe.plans.wells import SAMPLES, _samples
-from lithoframe.sources import ascii, tables
-from lithoframe.storage import shared_folder
+from lithoframe.sources import ascii, binary, tables
+from lithoframe.storage import settled, shared_folder
 
 
 def _text(rows: DataFrame) -> str:
@@ -144,3 +144,17 @@ def file_corner_points(spark: SparkSession, d: str) -> DataFrame:
     v = ascii.array_values(spark, _text(text), over_files=True)
     p = tables.corner_points(v, NJ, NI)
     return p.select("cell_id", "k", "j", "i", "kp", "jp", "ip", *(q6(F.col(x)).alias(x) for x in "xyz"))
+
+
+@query(f"with {CELLS} select cell_id, {sq6('perm')} as perm, floor(ntg::float * 1e6 + 0.4999) / 1e6 as ntg, k::bigint as k, i::integer as i, active::tinyint as active from cells")
+def file_binary_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Five properties of the cells, each a binary array of another kind, written and read back."""
+    c = cells(spark, d)
+    kinds = {"perm": ".db", "ntg": ".fb", "k": ".lb", "i": ".ib", "active": ".bb"}
+    out = None
+    for name, kind in kinds.items():
+        folder = shared_folder(spark)
+        settled(binary.write_array(c.select("cell_id", F.col(name).cast("double" if kind in (".db", ".fb") else "long").alias("value")), folder, kind))
+        back = binary.read_array(spark, folder, kind, over_files=True).select("cell_id", F.col("value").alias(name))
+        out = back if out is None else out.join(back, "cell_id")
+    return out.select("cell_id", q6(F.col("perm")).alias("perm"), q6(F.col("ntg").cast("double")).alias("ntg"), "k", "i", "active")
