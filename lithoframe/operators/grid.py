@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.vectors import Vector, cross, dot, minus
+from lithoframe.operators.steps import once
 
 #: Darcy's constant with lengths in metres and feet.
 DARCY = {"m": 8.527017e-5, "ft": 1.127116e-3}
@@ -46,6 +47,58 @@ def irregular_half(half_vector: Vector, area: Vector, perm: Column, units: str =
     return F.when(d2 < tolerance * tolerance, F.lit(None)).otherwise(F.abs(F.lit(DARCY[units]) * perm * dot(half_vector, area) / d2))
 
 
+def with_corners(corners: DataFrame) -> DataFrame:
+    """k, j, i and p (map of kp, jp, ip as the digits of a string to struct x, y, z) of each cell of ``corners(k, j, i, kp, jp, ip, x, y, z)``."""
+    place = F.concat(*(F.col(c).cast("string") for c in ("kp", "jp", "ip")))
+    # eight entries
+    return corners.groupBy("k", "j", "i").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("at"), F.struct(*(F.col(c).cast("double").alias(c) for c in "xyz")).alias("p")))).alias("p"))
+
+
+def corner_halves(cells: DataFrame, perm: dict[str, Column], ntg: Column | float = 1.0, units: str = "m", tolerance: float = 1e-6) -> DataFrame:
+    """``cells`` (with p, as ``with_corners`` has it) with half_<axis>_0 and half_<axis>_1, the half-cell transmissibilities of the lower and upper face along each axis.
+
+    The half axis runs along the mean of an axis' four edges; a face's area is that of its
+    two triangles, as seen along x, y and z. Each value is for the whole face; net to gross
+    counts for J and I only. Null where the half axis is shorter than ``tolerance`` or a
+    corner is undefined.
+    """
+
+    def at(axis: str, side: int, *others: int) -> Column:
+        place = {axis: side} | dict(zip((x for x in "kji" if x != axis), others))
+        return F.col("__p" + "".join(str(place[x]) for x in "kji"))
+
+    of = lambda q: tuple(q[c] for c in "xyz")
+    ring = [(0, 0), (0, 1), (1, 1), (1, 0)]
+    places = [f"{k}{j}{i}" for k in (0, 1) for j in (0, 1) for i in (0, 1)]
+    out = once(cells, **{f"__p{x}": F.col("p")[x] for x in places})
+    for axis in "kji":
+        held = {}
+        edges = [minus(of(at(axis, 1, *r)), of(at(axis, 0, *r))) for r in ring]
+        for n, c in enumerate("xyz"):
+            held[f"__{axis}{c}"] = 0.125 * F.abs(edges[0][n] + edges[1][n] + edges[2][n] + edges[3][n])
+        for side in (0, 1):
+            a, b, c, d = (of(at(axis, side, *r)) for r in ring)
+            first, second = cross(minus(b, a), minus(c, a)), cross(minus(c, a), minus(d, a))
+            for n, x in enumerate("xyz"):
+                held[f"__{axis}{side}{x}"] = 0.5 * (F.abs(first[n]) + F.abs(second[n]))
+        # one axis at a time, as a longer step would be too much for one compiled method
+        out = once(out, **held)
+        way = tuple(F.col(f"__{axis}{c}") for c in "xyz")
+        length2 = dot(way, way)
+        net = F.lit(1.0) if axis == "k" else ntg if isinstance(ntg, Column) else F.lit(ntg)
+        for side in (0, 1):
+            area = tuple(F.col(f"__{axis}{side}{c}") for c in "xyz")
+            out = out.withColumn(f"half_{axis}_{side}", F.when(length2 >= tolerance * tolerance, F.lit(DARCY[units]) * net * perm[axis] * dot(way, area) / length2))
+        out = out.drop(*held)
+    return out.drop(*(f"__p{x}" for x in places))
+
+
+def corner_transmissibility(cells: DataFrame, axis: str) -> DataFrame:
+    """A row for each face between a cell and the next one along ``axis``, from their halves (``corner_halves``); both cells hold the whole face."""
+    faces = with_neighbour(cells, axis, ["cell_id", f"half_{axis}_0"]).filter(F.col("next_cell_id").isNotNull())
+    return faces.withColumn("transmissibility", series(F.col(f"half_{axis}_1"), F.col(f"next_half_{axis}_0")))
+
+
 def hexahedron_volume(p: dict[tuple[int, int, int], Vector]) -> Column:
     """Volume of a cell given by its eight corners (kp, jp, ip): six pyramids on bilinear faces about the mean of the corners."""
     centre = tuple(sum((q[c] for q in p.values()), F.lit(0.0)) / 8.0 for c in range(3))

@@ -1,12 +1,13 @@
-"""Queries on pillars: a grid put together from the corner points of its cells."""
+"""Queries on corner points: a grid put together from them, and what passes between cells."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.operators import faults, pillars
+from lithoframe.operators import faults, grid, pillars
 from lithoframe.plans import CELLS, NI, NJ, cells, q6, query, sq6
+from lithoframe.storage import settled
 
 #: Depth of a corner: steps at i 10 and 20, another that dies out, a slope, a gap of 1 below every fifth layer, a void of 0.04, offsets within and beyond the tolerance.
 _DEPTH = (
@@ -82,3 +83,63 @@ def pillar_throws(spark: SparkSession, d: str) -> DataFrame:
     """Throws between columns as the pillars of the grid have them."""
     corners = pillars.corner_points(_grid(spark, d))
     return faults.throws(corners).select("j", "i", "axis", q6(F.col("most")).alias("most"), q6(F.col("least")).alias("least"))
+
+
+#: Corners of cells that lean, dip and thicken.
+_LEANING = {"x": "(i + ip) * 5e1 + (k + kp) * 2e0", "y": "(j + jp) * 4e1 - (k + kp) * 1e0", "z": "(k + kp) * 5e0 + (i + ip) * 3e-1 - (j + jp) * 2e-1 + (k + kp) * (i + ip) * 1e-2"}
+_PERM = {"k": "perm * 0.1e0", "j": "perm * ntg", "i": "perm * 0.5e0 * ntg"}
+
+
+def _leaning_sql() -> str:
+    """The halves written out: edges and twice-projected areas of a corner's differences."""
+    columns = []
+    for n, axis in enumerate("kji"):
+        def point(c: str, side: int, one: int, other: int, n: int = n) -> str:
+            place = [one, other]
+            place.insert(n, side)
+            text = _LEANING[c]
+            for name, v in zip(("kp", "jp", "ip"), place):
+                text = text.replace(name, str(v))
+            return f"({text})"
+
+        way = {c: "abs(" + " + ".join(f"{point(c, 1, a, b)} - {point(c, 0, a, b)}" for a in (0, 1) for b in (0, 1)) + ") / 8e0" for c in "xyz"}
+        length2 = " + ".join(f"({w}) * ({w})" for w in way.values())
+        for side in (0, 1):
+            def area(u: str, v: str, side: int = side, point=point) -> str:
+                corner = lambda c, r: point(c, side, *r)
+                parts = []
+                for a, b, c in (((0, 0), (0, 1), (1, 1)), ((0, 0), (1, 1), (1, 0))):
+                    parts.append(f"abs(({corner(u, b)} - {corner(u, a)}) * ({corner(v, c)} - {corner(v, a)}) - ({corner(v, b)} - {corner(v, a)}) * ({corner(u, c)} - {corner(u, a)})) / 2e0")
+                return " + ".join(parts)
+
+            seen = {"x": area("y", "z"), "y": area("z", "x"), "z": area("x", "y")}
+            dotted = " + ".join(f"({way[c]}) * ({seen[c]})" for c in "xyz")
+            columns.append(f"{grid.DARCY['m']!r}::double * {_PERM[axis]} * ({dotted}) / ({length2}) as half_{axis}_{side}")
+    return ", ".join(columns)
+
+
+_HALVES = f"{CELLS}, h as (select cell_id, k, j, i, {_leaning_sql()} from cells)"
+
+
+def _halves(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    corners = c.select("k", "j", "i")
+    for side in ("kp", "jp", "ip"):
+        corners = corners.withColumn(side, F.explode(F.array(F.lit(0), F.lit(1))))
+    known = grid.with_corners(corners.select("*", *(F.expr(e).alias(x) for x, e in _LEANING.items())))
+    perm = {"k": F.col("perm") * 0.1, "j": F.col("perm"), "i": F.col("perm") * 0.5}
+    return grid.corner_halves(known.join(c, ["k", "j", "i"]), perm, F.col("ntg"))
+
+
+@query(f"with {_HALVES} select cell_id, " + ", ".join(f"{sq6(f'half_{a}_{n}')} as half_{a}_{n}" for a in "kji" for n in (0, 1)) + " from h")
+def grid_corner_halves(spark: SparkSession, d: str) -> DataFrame:
+    """Half-cell transmissibilities of both faces along each axis, from the corners of the cells."""
+    return _halves(spark, d).select("cell_id", *(q6(F.col(f"half_{a}_{n}")).alias(f"half_{a}_{n}") for a in "kji" for n in (0, 1)))
+
+
+@query(f"with {_HALVES} " + " union all ".join(f"select '{a}' as axis, a.cell_id, {sq6(f'1 / (1 / a.half_{a}_1 + 1 / b.half_{a}_0)')} as t from h a join h b on (b.k, b.j, b.i) = ({', '.join(f'a.{x} + 1' if x == a else f'a.{x}' for x in 'kji')})" for a in "kji"))
+def grid_corner_transmissibility(spark: SparkSession, d: str) -> DataFrame:
+    """Transmissibilities between cells from their corners."""
+    h = settled(_halves(spark, d))
+    each = [grid.corner_transmissibility(h, a).select(F.lit(a).alias("axis"), "cell_id", q6(F.col("transmissibility")).alias("t")) for a in "kji"]
+    return each[0].unionByName(each[1]).unionByName(each[2])
