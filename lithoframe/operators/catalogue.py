@@ -117,9 +117,9 @@ def gathered(members: list[DataFrame], equal: list[str]) -> DataFrame:
     for n, m in enumerate(members):
         part = m.withColumn("realization", F.lit(n))
         rows = part if rows is None else rows.unionByName(part)
-    first = rows.groupBy(*equal).agg(F.min_by("uuid", F.struct("realization", "uuid")).alias("gathered"))
-    same = [rows[c].eqNullSafe(first[c]) for c in equal]
-    on = same[0]
-    for x in same[1:]:
-        on &= x
-    return rows.join(first, on).select(*(rows[c] for c in rows.columns), "gathered")
+    own = [F.col(c).alias(f"__{n}") for n, c in enumerate(equal)]
+    first = rows.groupBy(*own).agg(F.min_by("uuid", F.struct("realization", "uuid")).alias("gathered"))
+    on = F.lit(True)
+    for n, c in enumerate(equal):
+        on &= F.col(c).eqNullSafe(F.col(f"__{n}"))
+    return rows.join(first, on).drop(*(f"__{n}" for n in range(len(equal))))

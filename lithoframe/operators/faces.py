@@ -33,7 +33,8 @@ def sides(cells: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``faces(k, j, i, axis)`` lie between a cell and the next one along axis. Cells that
     hang together without passing a face are a part; the part of the first cell is one
     side, all others the other. upper is the side with the smaller mean k; where the means
-    differ by 0.001 at most, the faces are a curtain.
+    differ by 0.001 at most, the faces are a curtain. Raises ValueError where the faces
+    leave a way round or through, so that all cells hang together.
     """
     at = cells.select("cell_id", "k", "j", "i")
     edges = None
@@ -46,6 +47,8 @@ def sides(cells: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = at.agg(F.min("cell_id").alias("corner"))
     seed = parts.join(F.broadcast(first), parts.id == first.corner).select(F.col("part").alias("seed"))
     one = parts.join(F.broadcast(seed), parts.part == seed.seed, "left").select(F.col("id").alias("cell_id"), F.col("seed").isNotNull().alias("one"))
+    if one.filter("one").limit(1).count() and one.filter("not one").isEmpty():
+        raise ValueError("the faces do not part the cells")
     sided = at.join(one, "cell_id")
     means = sided.agg(F.avg(F.when(F.col("one"), F.col("k"))).alias("a"), F.avg(F.when(~F.col("one"), F.col("k"))).alias("b"))
     upper = F.when(F.coalesce(F.col("a") > F.col("b"), F.lit(False)), ~F.col("one")).otherwise(F.col("one"))

@@ -159,3 +159,27 @@ def text_box_and_date(spark: SparkSession, d: str) -> DataFrame:
 @query("select p_partkey, string_agg(f::varchar, ' ' order by f) as factors from (select p_partkey, unnest(range(1, p_size + 1)) as f, p_size from part) where p_size % f = 0 group by p_partkey")
 def math_all_factors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(tx.factors(F.col("p_size")), " ").alias("factors"))
+
+
+@query("select 'supplier-' || s_suppkey as uuid, s_name as title from supplier where s_nationkey = 7")
+def catalogue_supported(spark: SparkSession, d: str) -> DataFrame:
+    """The parts that lean on one part."""
+    s = table(spark, d, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("uuid"), F.col("s_name").alias("title"), F.concat(F.lit("nation-"), "s_nationkey").alias("support"))
+    return c.supported_by(s.select("uuid", "title"), s.select("uuid", "support"), "nation-7")
+
+
+_ORDER = ["SMALL", "ECONOMY", "LARGE"]
+
+
+@query(f"with {PARTS} select uuid, coalesce(nullif(list_position({_ORDER}, obj_type), 0), {len(_ORDER) + 1})::bigint as place from parts")
+def catalogue_type_order(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with the place of their type in a given order."""
+    return c.in_type_order(_parts(spark, d), _ORDER).select("uuid", "place")
+
+
+@query(f"with {PARTS}, m as (select *, created % 3 as realization from parts) select uuid, realization::integer as realization, first_value(uuid) over (partition by title, obj_type order by realization, uuid) as gathered from m")
+def catalogue_gathered(spark: SparkSession, d: str) -> DataFrame:
+    """Three catalogues of an ensemble as one, in which parts of equal title and type share a uuid."""
+    p = _parts(spark, d)
+    members = [p.filter(F.col("created") % 3 == n).select("uuid", "title", "obj_type") for n in range(3)]
+    return c.gathered(members, ["title", "obj_type"]).select("uuid", "realization", "gathered")

@@ -102,6 +102,10 @@ def zonal_grid(spark: SparkSession, d: str) -> DataFrame:
     return z.groupBy("zone").agg(F.count("*").alias("columns"), F.sum(F.col("k1") - F.col("k0") + 1).alias("layers"), dsum(F.col("thickness")).alias("thickness"), F.count_if("a").alias("inactive_loose"), F.count_if("b").alias("inactive_strict"))
 
 
-@query()
+@query(
+    """with n as (select distinct p_size from part), p as (select p from range(2, (select max(p_size) + 1 from part)) r(p) where not exists (select 1 from range(2, p) q(d) where p % d = 0)),
+    f as (select p_size, string_agg(p, ' ' order by p) as primes from n, p, range(1, 32) t(e) where p_size % pow(p, e) = 0 group by p_size)
+    select p_partkey, p_size, coalesce(primes, '') as primes from part left join f using (p_size)"""
+)
 def math_prime_factors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_size", F.array_join(prime_factors(F.col("p_size")), " ").alias("primes"))

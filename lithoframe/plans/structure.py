@@ -38,6 +38,14 @@ def box_intersection(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("l_orderkey").agg(F.sum(boxes.cells_in("a")).alias("own"), F.sum(boxes.cells_in("s")).alias("shared"), F.count("s").alias("meeting"))
 
 
+@query(f"with {_BOXES} select l_orderkey, count(*) filter (l_orderkey % 5 between ak0 and ak1 and (l_orderkey + l_linenumber) % 12 between aj0 and aj1 and l_orderkey % 13 between ai0 and ai1)::bigint as held from b group by l_orderkey")
+def box_holds(spark: SparkSession, d: str) -> DataFrame:
+    """How many boxes of an order hold a cell."""
+    o = F.col("l_orderkey")
+    b = _boxes(spark, d).withColumn("held", boxes.holds("a", o % 5, (o + F.col("l_linenumber")) % 12, o % 13))
+    return b.groupBy("l_orderkey").agg(F.count_if("held").alias("held"))
+
+
 _FACE = "['K-', 'K+', 'J-', 'J+', 'I-', 'I+'][l_linenumber % 6 + 1]"
 
 

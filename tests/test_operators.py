@@ -322,3 +322,16 @@ def test_pillars_with_gap_void_and_inactive(spark):
         assert known.filter("k = 1 and j = 1 and i = 1 and z is null").count() == (8 if gone else 0)
     dot = _corner_rows(lambda k, j, i, kp, jp, ip: 0.0, active=lambda k, j, i: False)
     assert pillars.defined(spark.createDataFrame([(*r[:6], 0.0, 0.0, *r[8:]) for r in dot], _CORNER), "dots").filter("z is not null").count() == 0
+
+
+def test_a_cut_that_leaks(spark):
+    """Faces with a hole in them part nothing."""
+    from lithoframe.operators import faces
+
+    at = [(k * 4 + j * 2 + i, k, j, i) for k in range(2) for j in range(2) for i in range(2)]
+    cells = spark.createDataFrame(at, "cell_id long, k long, j long, i long")
+    cut = spark.createDataFrame([(0, j, i, "k") for j in range(2) for i in range(2)], "k long, j long, i long, axis string")
+    sided, curtain = faces.sides(cells, cut)
+    assert {r.cell_id for r in sided.filter("upper").collect()} == {0, 1, 2, 3} and not curtain.first()[0]
+    with pytest.raises(ValueError):
+        faces.sides(cells, cut.filter("i = 0"))
