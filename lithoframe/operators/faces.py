@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.operators.connections import labelled
 from lithoframe.operators.surfaces import hits_on_lattice
+from lithoframe.storage import settled
 
 _XYZ = {"i": "x", "j": "y", "k": "z"}
 
@@ -37,16 +38,22 @@ def sides(cells: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     leave a way round or through, so that all cells hang together.
     """
     at = cells.select("cell_id", "k", "j", "i")
+    shut = faces.select("k", "j", "i", "axis").distinct()
+    w = Window.partitionBy("j", "i").orderBy("k")
+    floors = shut.filter("axis = 'k'").select((F.col("k") + 1).alias("k"), "j", "i", F.lit(True).alias("roofed"))
+    starts = F.col("roofed").isNotNull() | ~F.coalesce(F.lag("k").over(w) == F.col("k") - 1, F.lit(False))
+    # open stretches along k are the nodes, each named by its topmost cell
+    runs = settled(at.join(floors, ["k", "j", "i"], "left").withColumn("starts", starts).withColumn("run", F.last(F.when(F.col("starts"), F.col("cell_id")), ignorenulls=True).over(w)).select("cell_id", "k", "j", "i", "run"))
     edges = None
-    for axis in "kji":
-        there = at.select(F.col("cell_id").alias("b"), *((F.col(x) - (1 if x == axis else 0)).alias(x) for x in "kji"))
-        shut = faces.filter(F.col("axis") == axis).select("k", "j", "i").distinct()
-        part = at.join(there, ["k", "j", "i"]).join(shut, ["k", "j", "i"], "left_anti").select(F.col("cell_id").alias("a"), "b")
+    for axis in "ji":
+        there = runs.select(F.col("run").alias("b"), *((F.col(x) - (1 if x == axis else 0)).alias(x) for x in "kji"))
+        part = runs.join(there, ["k", "j", "i"]).join(shut.filter(F.col("axis") == axis), ["k", "j", "i"], "left_anti").select(F.col("run").alias("a"), "b")
         edges = part if edges is None else edges.unionByName(part)
-    parts = labelled(edges, at.select(F.col("cell_id").alias("id")))
-    first = at.agg(F.min("cell_id").alias("corner"))
+    parts = labelled(edges.distinct(), runs.select(F.col("run").alias("id")).distinct())
+    first = runs.agg(F.min_by("run", "cell_id").alias("corner"))
     seed = parts.join(F.broadcast(first), parts.id == first.corner).select(F.col("part").alias("seed"))
-    one = parts.join(F.broadcast(seed), parts.part == seed.seed, "left").select(F.col("id").alias("cell_id"), F.col("seed").isNotNull().alias("one"))
+    sided_runs = parts.join(F.broadcast(seed), parts.part == seed.seed, "left").select(F.col("id").alias("run"), F.col("seed").isNotNull().alias("one"))
+    one = runs.join(sided_runs, "run").select("cell_id", "one")
     if one.filter("one").limit(1).count() and one.filter("not one").isEmpty():
         raise ValueError("the faces do not part the cells")
     sided = at.join(one, "cell_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoframe.plans import QUERIES, SQL, Query, catalogue, connections, files, geometry, grid, lines, pillars, scaling, structure, surfaces, timeseries, wells  # noqa: F401
+from lithoframe.plans import QUERIES, SQL, Query, areas, catalogue, connections, files, geometry, grid, lines, pillars, scaling, structure, surfaces, timeseries, wells  # noqa: F401
 
 FLAGSHIP = "grid_transmissibility"
 
