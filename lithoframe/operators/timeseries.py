@@ -63,3 +63,26 @@ def looked_up(values: DataFrame, curve: DataFrame, by: str, x: str, y: str) -> D
     between = lerped(F.col(x), before[0], before[1], after[0], after[1])
     found = F.when(before[0].isNull(), after[1]).when(after[0].isNull(), before[1]).otherwise(between)
     return j.select(*values.columns, found.alias(y))
+
+
+def from_summary(steps: DataFrame, start: str | None = None, by: str = "path") -> DataFrame:
+    """by, step (0 is the start, none left out), days since the start and timestamp, of ``steps(by, step, days, date)`` as summaries report them.
+
+    The series starts at the date of the first step, less the whole days up to it; without
+    dates at ``start``, or else 2020-01-01. Of several rows of a step the first in time
+    counts. Steps that are missing, or whose time lies before an earlier one's, add no days.
+    """
+    order = Window.partitionBy(by).orderBy("step")
+    one = steps.groupBy(by, "step").agg(F.min(F.struct("days", "date")).alias("s")).select(by, "step", "s.days", "s.date")
+    first = one.groupBy(by).agg(F.min(F.struct("step", "days", "date")).alias("f"))
+    given = F.to_date(F.lit(start or "2020-01-01"))
+    back = F.when(F.col("f.step") > 0, F.floor("f.days")).otherwise(0).cast("int")
+    first = first.select(by, F.coalesce(F.date_sub("f.date", back), given).alias("start"))
+    grown = F.greatest(F.max("days").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))
+    positive = one.filter("step > 0").withColumns({"grown": grown, "before": F.coalesce(F.lag("step").over(order), F.lit(0))})
+    positive = positive.withColumn("was", F.coalesce(F.lag("grown").over(order), F.lit(0.0)))
+    filled = positive.withColumn("n", F.explode(F.sequence(F.col("before") + 1, F.col("step"))))
+    later = filled.select(by, F.col("n").alias("step"), F.when(F.col("n") == F.col("step"), F.col("grown")).otherwise(F.col("was")).alias("days"))
+    rows = first.select(by, F.lit(0).cast("long").alias("step"), F.lit(0.0).alias("days")).unionByName(later).join(first, by)
+    seconds = F.make_dt_interval(secs=F.round(F.col("days") * 86400.0, 6).cast("decimal(18,6)"))
+    return rows.select(by, "step", "days", (F.col("start").cast("timestamp_ntz") + seconds).alias("timestamp"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithoframe.operators.timeseries import from_summary
 from lithoframe.plans import CELLS, NI, NJ, POINTS, cells, points, q6, query, sq6, table
 from lithoframe.plans.wells import SAMPLES, _samples
 from lithoframe.sources import ascii, binary, tables
@@ -158,3 +159,44 @@ def file_binary_arrays(spark: SparkSession, d: str) -> DataFrame:
         back = binary.read_array(spark, folder, kind, over_files=True).select("cell_id", F.col("value").alias(name))
         out = back if out is None else out.join(back, "cell_id")
     return out.select("cell_id", q6(F.col("perm")).alias("perm"), q6(F.col("ntg").cast("double")).alias("ntg"), "k", "i", "active")
+
+
+_RELPERM = "select o_custkey as code, o_custkey % 3 as kind, row_number() over (partition by o_custkey order by o_orderkey) - 1 as row, (o_orderkey % 100) / 100.0::double as s, o_totalprice / 1e6::double as k1, case when o_orderkey % 7 > 0 then 1 - (o_orderkey % 64) / 64.0::double end as k2 from orders"
+
+
+@query(
+    f"""with t as ({_RELPERM}) select code::bigint as code, case kind when 0 then 'water-oil' when 1 then 'gas-oil' else 'gas-water' end as phases, row, {sq6('case when kind = 0 then s end')} as sw, {sq6('case when kind > 0 then s end')} as sg,
+    {sq6('case kind when 0 then k1 when 2 then k2 end')} as krw, {sq6('case when kind > 0 then k1 end')} as krg, {sq6('case when kind < 2 then k2 end')} as kro from t"""
+)
+def file_relperm(spark: SparkSession, d: str) -> DataFrame:
+    """A relative permeability table for each customer, in three kinds, written and read back."""
+    path, key = shared_folder(spark), F.col("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("table"), key.alias("row"), ((key % 100) / 100.0).alias("s"), (F.col("o_totalprice") / 1e6).alias("k1"), F.when(key % 7 > 0, 1 - (key % 64) / 64.0).alias("k2"), F.col("o_custkey").alias("pc"))
+    for kind, (keyword, names) in enumerate((("WOTABLE", ("sw", "krw", "krow", "pcwo")), ("GOTABLE", ("sg", "krg", "krog", "pcgo")), ("GWTABLE", ("sg", "krg", "krwg", "pcgw")))):
+        some = o.filter(F.col("table") % 3 == kind).select("table", "row", *(F.col(c).alias(n) for c, n in zip(("s", "k1", "k2", "pc"), names)))
+        tables.write_relperm_tables(some, path, keyword, list(names))
+    back = tables.relperm_tables(spark, path)
+    return back.select(F.col("pc").cast("long").alias("code"), "phases", "row", *(q6(F.col(c)).alias(c) for c in ("sw", "sg", "krw", "krg", "kro")))
+
+
+@query(
+    """with e as (select user_id as well, row_number() over (partition by user_id order by ts, event_id) as nth, event_id from events),
+    s as (select well, 2 * nth + event_id % 2 as step, 10 * nth + (event_id % 50) / 4.0::double as days from e),
+    g as (select *, max(days) over (partition by well order by step) as grown, coalesce(lag(step) over (partition by well order by step), 0) as before from s),
+    w as (select *, coalesce(lag(grown) over (partition by well order by step), 0) as was from g),
+    f as (select well, unnest(range(before + 1, step + 1)) as n, step, grown, was from w),
+    a as (select well, n as step, case when n = step then grown else was end as days from f union all select distinct well, 0, 0.0::double from s)
+    select well::bigint as well, step::bigint as step, days, strftime(date '2000-01-01' + to_hours((days * 24)::bigint), '%Y-%m-%d %H') as at from a"""
+)
+def file_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Time series of wells from summaries that leave out steps and go back in time."""
+    path = shared_folder(spark)
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("well"), nth.alias("nth"), "event_id")
+    s = e.select("well", (2 * F.col("nth") + F.col("event_id") % 2).alias("step"), (10 * F.col("nth") + (F.col("event_id") % 50) / 4.0).alias("days"))
+    date = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.floor("days").cast("int")), "d/MM/yyyy")
+    line = F.concat_ws(" ", F.col("step").cast("string"), F.lit("0 1"), F.col("days").cast("string"), date, F.lit("0.0"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", line.alias("t")))), lambda x: x["t"]), "\n")
+    s.groupBy("well").agg(F.concat_ws("\n", F.lit("STEP T.S. NWT TIME DATE OIL\nNO. REP. ITN DAYS DD/MM/YYYY MSTB"), lines).alias("value")).write.partitionBy("well").text(path)
+    series = from_summary(tables.summaries(spark, f"{path}/*"))
+    return series.select(F.regexp_extract("path", "well=([0-9]+)", 1).cast("long").alias("well"), "step", "days", F.date_format("timestamp", "yyyy-MM-dd HH").alias("at"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.vectors import azimuth, inclination
 from lithoframe.operators import wells as w
+from lithoframe.operators import wellspec
 from lithoframe.plans import CELLS, cells, dsum, q6, query, sdsum, sq6, table
 
 _MD = "epoch_us(ts) / 1e9 - 1704067200 / 1000.0"
@@ -150,3 +151,33 @@ def well_directions(spark: SparkSession, d: str) -> DataFrame:
     v = s.select("event_id", "well", "md", step("value").alias("dx"), step("(event_id % 13)").cast("double").alias("dy"), step("md").alias("dz")).filter("dz is not null")
     a = (F.col("dx"), F.col("dy"), F.col("dz"))
     return v.select("event_id", q6(azimuth(a)).alias("azimuth"), q6(inclination(a)).alias("inclination"))
+
+
+_LIMITS = wellspec.Limits(active_only=True, min_k=1, max_k=150, regions=(0, 1, 3), max_satw=0.75, min_length=0.5, min_kh=20.0)
+
+
+@query(
+    f"""with {SAMPLES}, {CELLS}, m as (select count(*)::bigint as m from cells),
+    s as (select well, event_id, md as md0, lead(md) over (partition by well order by md) as md1 from samples),
+    b as (select well, md as p0, (md + lead(md) over (partition by well order by md)) * 0.5::double as p1 from samples where event_type in ('purchase', 'click')),
+    c as (select s.*, k, j, i, perm, ntg, active, (event_id % 4) * 0.3::double as v, 0.7::double as a from s, m join cells on cells.cell_id = event_id % m where md1 is not null and active and k between 1 and 150 and event_id % 5 in (0, 1, 3) and (event_id % 10) / 10.0::double <= 0.75),
+    o as (select well, md0, md1, sum(least(md1, p1) - greatest(md0, p0)) as open from (select distinct well, md0, md1 from c) join b using (well) where p0 < md1 and md0 < p1 group by all having sum(least(md1, p1) - greatest(md0, p0)) >= 0.01),
+    q as (select *, least(1.0::double, open / (md1 - md0)) as part from c join o using (well, md0, md1)),
+    n as (select *, (md1 - md0) * part as length, case when abs(ntg - 1.0) <= 0.001 or part <= ntg then case when abs(ntg - 1.0) <= 0.001 then ntg else 1.0 end else ntg / part end as net from q where (md1 - md0) * part >= 0.5),
+    p as (select *, perm * net as ki, perm * 0.5::double * net as kj, perm * 0.1::double as kk from n),
+    e as (select *, pow(ki * kj * kk, 1.0::double / 3.0) as ke from p),
+    h as (select *, case when v = 0 then length * sqrt(ki * kj) else ke * sqrt(pow(length * sqrt(ke / ki) * sin(v) * cos(a), 2) + pow(length * sqrt(ke / kj) * sin(v) * sin(a), 2) + pow(length * sqrt(ke / kk) * cos(v), 2)) end as kh from e)
+    select well::bigint as well, row_number() over (partition by well order by md0) - 1 as row, i + 1 as iw, j + 1 as jw, k + 1 as l, {sq6('(md0 + md1) * 0.5')} as md, {sq6('length')} as length, {sq6('part')} as pperf, {sq6('kh')} as kh, {sq6('degrees(v)')} as anglv from h where kh >= 20"""
+)
+def well_spec_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Well specifications of perforated intervals within limits on layers, regions, saturation, activity, length and flow capacity."""
+    s = _samples(spark, d)
+    following = Window.partitionBy("well").orderBy("md")
+    pieces = s.select("well", "event_id", F.col("md").alias("md0"), F.lead("md").over(following).alias("md1")).filter("md1 is not null")
+    opened = s.filter("event_type in ('purchase', 'click')").select("well", F.col("md").alias("md0"), ((F.col("md") + F.lead("md").over(following)) * 0.5).alias("md1"))
+    c, e = cells(spark, d), F.col("event_id")
+    m = c.agg(F.count("*").alias("m"))
+    at = pieces.crossJoin(F.broadcast(m)).withColumn("cell_id", e % F.col("m")).join(c, "cell_id")
+    at = at.withColumns({"satw": (e % 10) / 10.0, "region": e % 5, "ki": F.col("perm"), "kj": F.col("perm") * 0.5, "kk": F.col("perm") * 0.1, "anglv": (e % 4) * 0.3, "angla": F.lit(0.7)})
+    found = wellspec.frame(at, _LIMITS, opened, columns=("MD", "LENGTH", "PPERF", "KH", "ANGLV"))
+    return found.select(F.col("well").cast("long").alias("well"), "row", *(F.col(n).cast("long").alias(n.lower()) for n in ("IW", "JW", "L")), *(q6(F.col(n)).alias(n.lower()) for n in ("MD", "LENGTH", "PPERF", "KH", "ANGLV")))

@@ -163,3 +163,51 @@ def write_logs(values: DataFrame, path: str, curves: list[tuple[str, str]], null
     text = F.concat_ws(" ", F.col("md").cast("string"), *(F.coalesce(F.col(c), F.lit(null)).cast("string") for c, _ in curves))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("md", text.alias("t")))), lambda s: s["t"]), "\n")
     values.groupBy("well").agg(F.concat_ws("\n", head, lines).alias("value")).write.partitionBy("well").text(path)
+
+
+#: Keywords of relative permeability tables with their phases, and column names with what they hold.
+PHASES = {"WOTABLE": "water-oil", "GOTABLE": "gas-oil", "GWTABLE": "gas-water"}
+RELPERM_COLUMNS = {"SW": "sw", "SG": "sg", "KRW": "krw", "KRG": "krg", "KROW": "kro", "KROG": "kro", "KRWG": "krw", "PCWO": "pc", "PCGO": "pc", "PCGW": "pc", "PC": "pc"}
+
+
+def relperm_tables(spark: SparkSession, path: str) -> DataFrame:
+    """path, table (from 1), phases, row (from 0), sw, sg, krw, krg, kro and pc of relative permeability tables; what a table has no column for is null.
+
+    A line with ``!`` is a comment altogether. Rows without a number for the saturation are left out.
+    """
+    rows = numbered(spark, path).filter(~F.col("text").contains("!")).filter(F.trim("text") != "").withColumn("w", _words(F.upper("text")))
+    rows = rows.withColumn("keyword", F.get(F.filter("w", lambda x: x.isin(*PHASES)), F.lit(0)))
+    start = F.col("keyword").isNotNull()
+    rows = rows.withColumns({"table": F.sum(start.cast("int")).over(_so_far()), "kind": _carried(start, F.col("keyword"))}).filter(~start & (F.col("table") > 0))
+    table = Window.partitionBy("path", "table").orderBy("line")
+    rows = rows.withColumns({"nth": F.row_number().over(table), "head": F.first("w").over(table)})
+    names = F.create_map(*(F.lit(x) for pair in RELPERM_COLUMNS.items() for x in pair))
+    of = lambda c: number(F.get("w", F.array_position(F.transform("head", lambda h: F.element_at(names, h)), F.lit(c)).cast("int") - 1))
+    rows = rows.filter("nth > 1").withColumns({c: of(c) for c in dict.fromkeys(RELPERM_COLUMNS.values())})
+    # the first column of saturations decides
+    known = F.when(F.array_contains("head", "SW") & (~F.array_contains("head", "SG") | (F.array_position("head", F.lit("SW")) < F.array_position("head", F.lit("SG")))), F.col("sw")).otherwise(F.col("sg"))
+    phases = F.create_map(*(F.lit(x) for pair in PHASES.items() for x in pair))[F.col("kind")]
+    kept = rows.filter(known.isNotNull() & ~F.isnan(known))
+    return kept.select("path", F.col("table").cast("long").alias("table"), phases.alias("phases"), (F.row_number().over(table) - 1).cast("long").alias("row"), "sw", "sg", "krw", "krg", "kro", "pc")
+
+
+def write_relperm_tables(rows: DataFrame, path: str, keyword: str, columns: list[str]) -> None:
+    """Writes ``rows(table, row, columns ...)`` as tables under ``keyword``; null is NA. Columns go by their names in the file."""
+    text = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns))
+    _sections(rows, "table", "row", text, F.lit(f"{keyword}\n" + " ".join(c.upper() for c in columns))).write.mode("append").text(path)
+
+
+def summaries(spark: SparkSession, path: str) -> DataFrame:
+    """path, step, days (cumulative) and date (null in files without dates) of the rows of simulator summaries.
+
+    The line that begins with NO. tells hours from days, and how dates are written.
+    """
+    w = _words(F.col("text"))
+    rows = numbered(spark, path).withColumn("w", w).filter(F.size("w") >= 5)
+    head = F.upper(F.col("w")[0]) == "NO."
+    rows = rows.withColumns({"unit": _carried(head, F.upper(F.get("w", F.lit(3)))), "form": _carried(head, F.upper(F.get("w", F.lit(4))))})
+    rows = rows.filter(F.col("w")[0].rlike("^[0-9]+$"))
+    days = number(F.get("w", F.lit(3))) / F.when(F.col("unit") == "HRS", 24.0).otherwise(1.0)
+    text = F.get("w", F.lit(4))
+    date = F.when(F.col("form") == "MM/DD/YYYY", F.try_to_timestamp(text, F.lit("M/d/yyyy"))).when(F.col("form") == "DD/MM/YYYY", F.try_to_timestamp(text, F.lit("d/M/yyyy")))
+    return rows.select("path", F.col("w")[0].cast("long").alias("step"), days.alias("days"), date.cast("date").alias("date"))
