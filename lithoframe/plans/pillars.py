@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.operators import faults, grid, pillars
+from lithoframe.operators import derived, faults, grid, pillars
 from lithoframe.plans import CELLS, NI, NJ, cells, q6, query, sq6
 from lithoframe.storage import settled
 
@@ -143,3 +143,67 @@ def grid_corner_transmissibility(spark: SparkSession, d: str) -> DataFrame:
     h = settled(_halves(spark, d))
     each = [grid.corner_transmissibility(h, a).select(F.lit(a).alias("axis"), "cell_id", q6(F.col("transmissibility")).alias("t")) for a in "kji"]
     return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+_UNSPLIT = f"{_PILLARS}, healed as (select (j + jp) * {NI + 1} + i + ip as plain, b, avg(z) as z from col_pillar join point using (pillar) group by all), whose as (select distinct pillar, (j + jp) * {NI + 1} + i + ip as plain from col_pillar)"
+
+
+def _points(grid: pillars.Pillars) -> DataFrame:
+    return grid.points.select("pillar", F.col("boundary").cast("long").alias("boundary"), q6(F.col("z")).alias("z"))
+
+
+@query(f"with {_UNSPLIT} select plain::bigint as pillar, b::bigint as boundary, {sq6('z')} as z from healed")
+def grid_unsplit(spark: SparkSession, d: str) -> DataFrame:
+    """The grid with its faults healed."""
+    return _points(derived.unsplit(settled_grid(spark, d)))
+
+
+@query(
+    f"""with {_UNSPLIT}, torn as (select pillar, plain from whose where plain in (select plain from whose where pillar <> plain)),
+    o as (select t.pillar, plain, coalesce((p.z - h.z) * 0.5::double, 0) as dz from torn t left join (select * from point where b = 0) p using (pillar) left join (select * from healed where b = 0) h using (plain)),
+    c as (select j, i, jp, ip, pillar, (j + jp) * {NI + 1} + i + ip as plain from col_pillar),
+    m as (select a.plain as pillar, avg(dz) * (1.0::double / 3.0) as dz from c a join c b on (a.j, a.i) = (b.j, b.i) and (a.jp = b.jp) <> (a.ip = b.ip) join o on o.pillar = b.pillar where a.plain not in (select plain from o) group by a.plain),
+    moved as (select pillar, dz from o union all select pillar, dz from m)
+    select pillar::bigint as pillar, b::bigint as boundary, {sq6('z + coalesce(dz, 0)')} as z from point left join moved using (pillar)"""
+)
+def grid_scaled_throws(spark: SparkSession, d: str) -> DataFrame:
+    """Throws half as large again, which pillars next to faults follow by a third."""
+    return _points(derived.scaled_throws(settled_grid(spark, d), 1.5, reach=1))
+
+
+_SURFACE = "(100.0::double + (({0}) * 7 + ({1}) * 13) % 11)"
+
+
+@query(
+    f"""with {_UNSPLIT}, s as (select plain, ({_SURFACE.format(f"plain % {NI + 1} // 2", f"plain // {NI + 1} // 2")} + {_SURFACE.format(f"(plain % {NI + 1} + 1) // 2", f"(plain // {NI + 1} + 1) // 2")}) / 2 - z as dz from healed where b = 2)
+    select pillar::bigint as pillar, b::bigint as boundary, {sq6('z + dz')} as z from point join whose using (pillar) join s using (plain)"""
+)
+def grid_draped(spark: SparkSession, d: str) -> DataFrame:
+    """The grid moved along its pillars, until the top of the second layer lies on a surface of triangles two cells wide."""
+    at = spark.range((NI // 2 + 1) * (NJ // 2 + 1)).select("id", (F.col("id") % (NI // 2 + 1)).alias("a"), F.floor(F.col("id") / (NI // 2 + 1)).alias("b"))
+
+    def triangle(half: int, *corners: tuple[int, int]) -> DataFrame:
+        made = [(F.col("id") * 2 + half).alias("t")]
+        for k, (da, db) in enumerate(corners):
+            a, b = F.col("a") + da, F.col("b") + db
+            made += [(a * 100.0).alias(f"x{k}"), (b * 80.0).alias(f"y{k}"), (100.0 + (a * 7 + b * 13) % 11).alias(f"z{k}")]
+        return at.select(*made)
+
+    surface = triangle(0, (0, 0), (1, 0), (1, 1)).unionByName(triangle(1, (0, 0), (1, 1), (0, 1)))
+    return _points(derived.draped(settled_grid(spark, d), surface, 2))
+
+
+@query(
+    f"""with {_UNSPLIT}, c as (select j, i, jp, ip, b, z from col_pillar join point using (pillar))
+    select j::bigint as j, i::bigint as i, jp::integer as jp, ip::integer as ip, c.b::bigint as boundary, {sq6('c.z * 0.25 + h.z * 0.75')} as z from c join healed h on h.plain = (j + jp) * {NI + 1} + i + ip and h.b = c.b"""
+)
+def grid_interpolated(spark: SparkSession, d: str) -> DataFrame:
+    """Three quarters of the way from the grid to that without faults, corner by corner; nothing is within so small a tolerance but what is equal."""
+    g = settled_grid(spark, d)
+    between = derived.interpolated(g, derived.unsplit(g), NJ, NI, 0.75, 1e-9)
+    return pillars.corner_points(between).select("j", "i", "jp", "ip", F.col("k").cast("long").alias("boundary"), q6(F.col("z")).alias("z"))
+
+
+def settled_grid(spark: SparkSession, d: str) -> pillars.Pillars:
+    """The pillars written once, as their parts are used several times."""
+    return pillars.Pillars(*(settled(part) for part in _grid(spark, d)))
