@@ -25,7 +25,7 @@ def _plain(grid: Pillars) -> DataFrame:
 def unsplit_points(grid: Pillars) -> DataFrame:
     """pillar (plain ones only), boundary and the mean of the points that the columns around it have there; points without geometry don't count."""
     each = _plain(grid).join(grid.points, "pillar")
-    return each.groupBy(F.col("plain").alias("pillar"), "boundary").agg(*(F.avg(c).alias(c) for c in XYZ))
+    return each.groupBy(F.col("plain").alias("pillar"), "boundary").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in XYZ))
 
 
 def unsplit(grid: Pillars) -> Pillars:
@@ -109,6 +109,7 @@ def interpolated(a: Pillars, b: Pillars, nj: int, ni: int, share: float = 0.5, t
 
     Cells' corners are taken on the way and stand on pillars anew, so that a pillar is
     split where either grid's is, unless what remains of the throw is within ``tolerance``.
+    Cells with a corner that has no geometry in either grid have none between them.
     """
     if not 0.0 <= share <= 1.0:
         raise ValueError("the share lies between 0 and 1")

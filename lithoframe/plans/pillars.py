@@ -18,11 +18,11 @@ _DEPTH = (
 _IDLE, _HOLE = f"cell_id % 11 = 0 or (j * {NI} + i) % 17 = 4", f"cell_id % 22 = 0 or (j * {NI} + i) % 34 = 4"
 
 
-def _grid(spark: SparkSession, d: str) -> pillars.Pillars:
+def _grid(spark: SparkSession, d: str, hole: str = _HOLE) -> pillars.Pillars:
     c = cells(spark, d).select("cell_id", "k", "j", "i")
     for side in ("kp", "jp", "ip"):
         c = c.withColumn(side, F.explode(F.array(F.lit(0), F.lit(1))))
-    z = F.when(~F.expr(_HOLE), F.expr(_DEPTH.replace("//", "div")))
+    z = F.when(~F.expr(hole), F.expr(_DEPTH.replace("//", "div")))
     corners = c.select("k", "j", "i", "kp", "jp", "ip", ((F.col("i") + F.col("ip")) * 50.0).alias("x"), ((F.col("j") + F.col("jp")) * 40.0).alias("y"), z.alias("z"), (~F.expr(_IDLE)).alias("active"))
     return pillars.grid_pillars(corners, NJ, NI)
 
@@ -175,11 +175,11 @@ _SURFACE = "(100.0::double + (({0}) * 7 + ({1}) * 13) % 11)"
 
 
 @query(
-    f"""with {_UNSPLIT}, s as (select plain, ({_SURFACE.format(f"plain % {NI + 1} // 2", f"plain // {NI + 1} // 2")} + {_SURFACE.format(f"(plain % {NI + 1} + 1) // 2", f"(plain // {NI + 1} + 1) // 2")}) / 2 - z as dz from healed where b = 2)
+    f"""with {_UNSPLIT.replace(_HOLE, 'false')}, s as (select plain, ({_SURFACE.format(f"plain % {NI + 1} // 2", f"plain // {NI + 1} // 2")} + {_SURFACE.format(f"(plain % {NI + 1} + 1) // 2", f"(plain // {NI + 1} + 1) // 2")}) / 2 - z as dz from healed where b = 2)
     select pillar::bigint as pillar, b::bigint as boundary, {sq6('z + dz')} as z from point join whose using (pillar) join s using (plain)"""
 )
 def grid_draped(spark: SparkSession, d: str) -> DataFrame:
-    """The grid moved along its pillars, until the top of the second layer lies on a surface of triangles two cells wide."""
+    """The grid moved along its pillars, until the top of the second layer lies on a surface of triangles two cells wide; all cells have geometry."""
     at = spark.range((NI // 2 + 1) * (NJ // 2 + 1)).select("id", (F.col("id") % (NI // 2 + 1)).alias("a"), F.floor(F.col("id") / (NI // 2 + 1)).alias("b"))
 
     def triangle(half: int, *corners: tuple[int, int]) -> DataFrame:
@@ -190,20 +190,20 @@ def grid_draped(spark: SparkSession, d: str) -> DataFrame:
         return at.select(*made)
 
     surface = triangle(0, (0, 0), (1, 0), (1, 1)).unionByName(triangle(1, (0, 0), (1, 1), (0, 1)))
-    return _points(derived.draped(settled_grid(spark, d), surface, 2))
+    return _points(derived.draped(settled_grid(spark, d, "false"), surface, 2))
 
 
 @query(
-    f"""with {_UNSPLIT}, c as (select j, i, jp, ip, b, z from col_pillar join point using (pillar))
+    f"""with {_UNSPLIT.replace(_HOLE, 'false')}, c as (select j, i, jp, ip, b, z from col_pillar join point using (pillar))
     select j::bigint as j, i::bigint as i, jp::integer as jp, ip::integer as ip, c.b::bigint as boundary, {sq6('c.z * 0.25 + h.z * 0.75')} as z from c join healed h on h.plain = (j + jp) * {NI + 1} + i + ip and h.b = c.b"""
 )
 def grid_interpolated(spark: SparkSession, d: str) -> DataFrame:
-    """Three quarters of the way from the grid to that without faults, corner by corner; nothing is within so small a tolerance but what is equal."""
-    g = settled_grid(spark, d)
+    """Three quarters of the way from the grid to that without faults, corner by corner, all cells having geometry; nothing is within so small a tolerance but what is equal."""
+    g = settled_grid(spark, d, "false")
     between = derived.interpolated(g, derived.unsplit(g), NJ, NI, 0.75, 1e-9)
     return pillars.corner_points(between).select("j", "i", "jp", "ip", F.col("k").cast("long").alias("boundary"), q6(F.col("z")).alias("z"))
 
 
-def settled_grid(spark: SparkSession, d: str) -> pillars.Pillars:
+def settled_grid(spark: SparkSession, d: str, hole: str = _HOLE) -> pillars.Pillars:
     """The pillars written once, as their parts are used several times."""
-    return pillars.Pillars(*(settled(part) for part in _grid(spark, d)))
+    return pillars.Pillars(*(settled(part) for part in _grid(spark, d, hole)))
