@@ -234,6 +234,44 @@ def test_mixture_of_many_sources(spark, monkeypatch):
     assert all(first[s] < math.ceil((0.75 + mean) / (mean * of[s] / rest if s not in ("tiny", "big") else {"tiny": 0.25, "big": 0.5}[s])) for s in names)
 
 
+def test_mixture_at_any_size(spark):
+    """Small sources keep lanes of their own beside a large one, and blocks their rows, however many there are."""
+    rows = [(k, f"t{k}", "big") for k in range(40_000)] + [(50_000 + k, "x", f"s{k % 10}") for k in range(20)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.lane == r.source for r in got) and len(got) == len(rows)
+    brute_mixture(rows, got, {s: math.sqrt(n) for s, n in Counter(r[2] for r in rows).items()}, mixing.BLOCK)
+    n = (1 << 20) + 1000
+    many = spark.range(n).selectExpr("id as doc_id", "'' as text", "if(id % 3 = 0, 'a', 'b') as source")
+    assert mixing.mixed(many, block=1).agg(F.count("*"), F.max("place"), F.countDistinct("slot")).first() == (n, 0, n)
+
+
+def test_mixture_of_ten_thousand_sources(spark):
+    """Each small source has its own target."""
+    rows = [(k, f"t{k}", f"s{k % 10_000:04}") for k in range(0, 30_000) if k < 10_000 or k % 7 < 3] + [(40_000 + k, "x", "big") for k in range(9_000)]
+    held = Counter(r[2] for r in rows)
+    want = {(s, k): t for s, k, t in mixing.pfair(mixing.whole_weights({s: math.sqrt(n) for s, n in held.items()}), {s: -(-n // 2) for s, n in held.items()})}
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=2).collect()
+    assert len(got) == len(rows) and {(r.source, r.block): r.slot for r in got} == want
+
+
+def test_schedule_in_slices(spark, monkeypatch):
+    """Slices give the slots of the plain schedule: equal weights, sources that run out, slots that stay empty, deadlines beyond a long."""
+    monkeypatch.setattr(mixing, "SLICE", 1)
+    rng = random.Random(9)
+    cases = [
+        {f"s{k}": (7.0, rng.randint(1, 12)) for k in range(500)},
+        {f"s{k}": (rng.random() ** 6 + 1e-9, rng.choice([1, 9, 200])) for k in range(60)},
+        {"a": (5.0, 40), "b": (3.0, 900), "c": (1000.0, 3)},
+        {"a": (1.0, 2000), "b": (1e-200, 1), "c": (3e-200, 1), "d": (2e-200, 1)},
+    ]
+    for lanes in cases:
+        found = spark.createDataFrame([(s, w, n) for s, (w, n) in lanes.items()], "lane string, weight double, rows long")
+        want = list(mixing.pfair(mixing.whole_weights({s: w for s, (w, _) in lanes.items()}), {s: n for s, (_, n) in lanes.items()}))
+        assert len(want) > 3 * 8 * math.isqrt(len(want)) or len(want) < 1000
+        assert sorted(mixing.schedule(found, 1).collect()) == sorted((s, k, t) for s, k, t in want)
+    assert mixing.schedule(found.limit(0), 1).count() == 0
+
+
 def brute_top(rows, ask, k):
     v = {(i, tuple(math.floor(256 * float(x)) for x in e)) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
     out = set()
