@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.llm.storage import settled
-from lithoframe.llm.text import LOOSE, SHINGLE, mix, shingle_hashes, words_by_row
+from lithoframe.llm.text import LOOSE, SHINGLE, mix, pieces, shingle_hashes, words_by_row
 
 RADIUS = 46
 BLOCKS = 16
@@ -138,7 +138,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = BenchmarkIndex(items)
-            for batch in batches:
+            for batch in pieces(batches, 1):
                 rows = [(d, *m) for d, w in zip(batch.column(0).to_pylist(), _words(batch.column(1))) for m in index.matches(w)]
                 cols = list(zip(*rows)) or [[]] * 4
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
@@ -159,7 +159,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = BenchmarkIndex(items)
-            for batch in batches:
+            for batch in pieces(batches, at):
                 yield batch.filter(pa.array([not index.matches(w) for w in _words(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.llm.storage import settled
+from lithoframe.llm.text import pieces
 
 SAMPLE = 300
 LANGUAGES = 64
@@ -36,7 +37,7 @@ LEAN = 20.0
 LEAST = 0.5
 #: Hosts whose priors may go to all tasks; beyond that the rows are shuffled by host.
 BROADCAST_ROWS = 100_000
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -135,7 +136,7 @@ def _scored(docs: DataFrame, text: str, names: list[str], model: np.ndarray) ->
     chance = float(-np.log(40_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             score, count = text_scores(batch.column(at), model)
             mean = score / np.maximum(count, 1)[:, None]
             ll = mean * np.minimum(count, EVIDENCE)[:, None]

@@ -43,12 +43,14 @@ from pyspark.sql import functions as F
 
 from lithoframe.llm.graph import components
 from lithoframe.llm.storage import settled
-from lithoframe.llm.text import mix, shingle_hashes, words_by_row
+from lithoframe.llm.text import mix, pieces, shingle_hashes, words_by_row
 
 #: Postings in a block of inverted lists, on average.
 BLOCK = 300_000
 #: Shingles in a bucket of documents; a larger document is a bucket of its own.
 BUCKET = 300_000
+#: Bytes of first hashes that are sorted at once, to be asked for.
+HEADS = 1 << 22
 #: Documents whose answers are added up together, on average.
 ANSWERS = 50_000
 #: A list of more documents than this is hot.
@@ -150,7 +152,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             sizes, digests, heads = [], [], []
             for words in words_by_row(batch.column(1)):
                 s = np.unique(shingle_hashes(words))
@@ -176,7 +178,7 @@ def _reaching(heads: DataFrame, total: int) -> DataFrame:
     parts = 1 + heads.count() // ANSWERS
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1, HEADS):
             ids = np.asarray(batch.column(0))
             parts = [_from_short(x.as_buffer()) for x in batch.column(1)]
             if not parts:

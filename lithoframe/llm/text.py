@@ -12,9 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+#: Bytes of text that a task works on, and hands back, at once.
+PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LANES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -87,6 +90,21 @@ def word_hashes(data: np.ndarray, separators: np.ndarray = SPACE) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], at: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``most`` bytes in column ``at``, or one row that has more.
+
+    What a task makes of a batch, and hands back at once, then doesn't grow with the
+    batch that it was sent.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64)
+        row, before = 0, 0
+        while row < len(ends):
+            last = max(row + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(row, last - row)
+            row, before = last, int(ends[last - 1])
+
+
 def words_by_row(column: pa.Array, separators: np.ndarray = SPACE) -> Iterator[np.ndarray]:
     """For each row of a string column the hashes of its words in order; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -495,3 +496,42 @@ def test_every_language_has_a_model(spark, monkeypatch):
     assert got[9000][:3] == got[9001][:3] == ("qaa", "qaa", True)
     monkeypatch.setattr(langid, "LANGUAGES", 100)
     assert {r.doc_id: (r.language, r.by_text, r.kept, r.probability) for r in langid.identify(df).collect()} == got
+
+
+@pytest.mark.parametrize("stage", ["language", "leaks", "without leaks", "signatures", "first hashes"])
+def test_memory_of_a_task_does_not_grow_with_the_batch_it_is_sent(spark, monkeypatch, stage):
+    runs, docs = [], spark.createDataFrame([], DOCS)
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run) or plain(self, run, schema))
+    items = spark.createDataFrame([(1, "x y z u v w")], "item_id long, text string")
+    if stage == "language":
+        langid._scored(docs, "text", ["a", "b"], np.zeros((2, langid.BUCKETS), np.float32))
+    elif stage == "signatures":
+        ngram_join.signatures(docs)
+    elif stage == "first hashes":
+        ngram_join._reaching(spark.createDataFrame([], "doc_id long, n long, head binary"), 1)
+    else:
+        (decontaminate.leaks if stage == "leaks" else decontaminate.without_leaks)(docs, items)
+    rng = random.Random(5)
+
+    def peak(rows):
+        if stage == "first hashes":
+            column = pa.array([rng.randbytes(4200) for _ in range(rows)], pa.binary())
+        else:
+            base = " ".join(f"{rng.randrange(1 << 20):x}" for _ in range(700))
+            column = pa.array([f"{rng.random()} {base}" for _ in range(rows)], pa.string())
+        batch = pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int64()), column], names=["doc_id", "text"])
+        own = pa.default_memory_pool()
+        pool = pa.proxy_memory_pool(own)
+        pa.set_memory_pool(pool)
+        tracemalloc.start()
+        try:
+            for _ in runs[0](iter([batch])):
+                pass
+            return tracemalloc.get_traced_memory()[1] + pool.max_memory()
+        finally:
+            tracemalloc.stop()
+            pa.set_memory_pool(own)
+
+    peak(10)  # tables that are made once
+    assert peak(8000) < 1.25 * peak(2000) + 2_000_000
