@@ -76,8 +76,10 @@ def file_wellspec(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark)
     tables.write_wellspecs(o, path, ["iw", "kh"])
     v = F.col("values")
-    back = tables.wellspecs(spark, path).select("well", v["IW"].cast("long").alias("iw"), v["KH"].cast("double").alias("kh"))
-    return back.groupBy("well").agg(F.count("*").alias("rows"), F.sum("iw").alias("iw"), F.count("kh").alias("known"), (F.floor(F.sum("kh") * 1e3 + 0.5) / 1e3).alias("kh"))
+    back = tables.wellspecs(spark, path).select("well", "row", v["IW"].cast("long").alias("iw"), v["KH"].cast("double").alias("kh"))
+    # doubles add up in the order of the table: another order can round a half the other way
+    back = back.withColumn("so_far", F.sum("kh").over(Window.partitionBy("well").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)))
+    return back.groupBy("well").agg(F.count("*").alias("rows"), F.sum("iw").alias("iw"), F.count("kh").alias("known"), (F.floor(F.max_by("so_far", "row") * 1e3 + 0.5) / 1e3).alias("kh"))
 
 
 @query("select 'F' || l_suppkey % 7 as name, ['I', 'J', 'K'][l_linenumber % 3 + 1] as axis, case when l_partkey % 2 = 0 then 'MINUS' else 'PLUS' end as side, (l_orderkey % 50)::bigint as i1, (l_partkey % 20)::bigint as k1, count(*)::bigint as n, max(l_discount) as most from lineitem group by all")

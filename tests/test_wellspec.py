@@ -2,12 +2,16 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lithoframe.operators import timeseries, wellspec
+from lithoframe.plans import files
 from lithoframe.sources import tables
 
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def intervals(spark):
@@ -71,3 +75,13 @@ def test_summaries(spark, tmp_path):
     want |= {("b", n): (d, dt.datetime(2021, 5, 1) + dt.timedelta(days=d)) for n, d in enumerate((0.0, 0.5, 1.5))}
     want |= {("c", n): (d, dt.datetime(1999, 12, 31) + dt.timedelta(days=d)) for n, d in enumerate((0.0, 1.0))}
     assert got == want
+
+
+def test_permeability_adds_up_in_the_order_of_the_table(spark, tmp_path):
+    # in this order the sum falls just short of a half, as in SQL; in others it reaches it
+    prices = duckdb.sql(f"select o_totalprice from '{SMALL}/orders.parquet' where o_custkey = 144 and o_orderkey % 3 > 0 order by o_orderkey").fetchall()
+    rows = [(3 * (40 * n + c) + 1, c, p) for n, (p,) in enumerate(prices) for c in range(40)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.well: r.kh for r in files.file_wellspec(spark, str(tmp_path)).collect()}
+    assert got == {f"W{c}": 1174.5 for c in range(40)}
