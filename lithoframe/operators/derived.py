@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.operators import space
 from lithoframe.operators.lines import with_hits
-from lithoframe.operators.pillars import Pillars, grid_pillars
+from lithoframe.operators.pillars import SPOTS, Pillars, layer_sides, pillars_at, spots, standing
 from lithoframe.storage import settled
 
 XYZ = ("x", "y", "z")
@@ -24,8 +24,18 @@ def _plain(grid: Pillars) -> DataFrame:
 
 def unsplit_points(grid: Pillars) -> DataFrame:
     """pillar (plain ones only), boundary and the mean of the points that the columns around it have there; points without geometry don't count."""
-    each = _plain(grid).join(grid.points, "pillar")
-    return each.groupBy(F.col("plain").alias("pillar"), "boundary").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in XYZ))
+    # a pillar's point counts for each column that stands on it
+    each = grid.points.join(standing(grid).select("pillar", "plain", F.bit_count("around").alias("many")), "pillar")
+    mean = lambda c: F.sum(F.col(c).cast("double") * F.col("many")) / F.sum(F.when(F.col(c).isNotNull(), F.col("many")))
+    return each.groupBy(F.col("plain").alias("pillar"), "boundary").agg(*(mean(c).alias(c) for c in XYZ))
+
+
+def _ends(points: DataFrame, *others: int) -> DataFrame:
+    """pillar, a and b (its first and last points with geometry) and at0 ... (those at other boundaries), written once; points are to be written down."""
+    reach = settled(points.filter("z is not null").groupBy("pillar").agg(F.min("boundary").alias("first"), F.max("boundary").alias("last")).coalesce(1))
+    some = points.join(reach, "pillar").filter(F.col("boundary").isin(*others) | (F.col("boundary") == F.col("first")) | (F.col("boundary") == F.col("last")))
+    at = lambda b: F.max(F.when(F.col("boundary") == b, F.struct(*XYZ)))
+    return settled(some.groupBy("pillar").agg(at(F.col("first")).alias("a"), at(F.col("last")).alias("b"), *(at(F.lit(o)).alias(f"at{k}") for k, o in enumerate(others))))
 
 
 def unsplit(grid: Pillars) -> Pillars:
@@ -48,9 +58,8 @@ def draped(grid: Pillars, triangles: DataFrame, boundary: int = 0) -> Pillars:
     thicknesses along pillars stay. Of several hits that of the greatest t counts. Raises,
     when it runs, where a pillar with points has no hit or no point at the boundary.
     """
-    healed = unsplit_points(grid).filter("z is not null")
-    place = F.struct(*XYZ)
-    lines = healed.groupBy("pillar").agg(F.min_by(place, "boundary").alias("a"), F.max_by(place, "boundary").alias("b"), F.max(F.when(F.col("boundary") == boundary, place)).alias("at"))
+    healed = settled(unsplit_points(grid).filter("z is not null"))
+    lines = _ends(healed, boundary).withColumnRenamed("at0", "at")
     # lines reach as far as the surface does: two numbers
     ends = triangles.agg(F.min(F.least("z0", "z1", "z2")).alias("high"), F.max(F.greatest("z0", "z1", "z2")).alias("low"))
     rise = F.nullif(F.expr("b.z - a.z"), F.lit(0.0))
@@ -66,9 +75,9 @@ def draped(grid: Pillars, triangles: DataFrame, boundary: int = 0) -> Pillars:
     missed = F.raise_error(F.concat(F.lit("no point of the surface for pillar "), F.col("pillar").cast("string"))).cast("double")
     on = lines.join(last, "pillar", "left")
     shift = {c: F.coalesce(F.col(f"a.{c}") + F.col("u") * (F.col(f"b.{c}") - F.col(f"a.{c}")) - F.col(f"at.{c}"), missed).alias(f"d{c}") for c in XYZ}
-    shifts = on.select("pillar", *shift.values())
+    shifts = settled(on.select("pillar", *shift.values()))
     split = grid.splits.join(shifts.withColumnRenamed("pillar", "of"), "of").drop("of")
-    return _moved(grid, shifts.unionByName(split))
+    return _moved(grid, settled(shifts.unionByName(split)))
 
 
 def scaled_throws(grid: Pillars, factor: float, boundary: int = 0, reach: int = 0) -> Pillars:
@@ -87,7 +96,7 @@ def scaled_throws(grid: Pillars, factor: float, boundary: int = 0, reach: int =
     if reach:
         other = plain.select("j", "i", F.col("jp").alias("jp1"), F.col("ip").alias("ip1"), F.col("pillar").alias("by"))
         beside = plain.select("j", "i", "jp", "ip", "plain").join(other, ["j", "i"]).filter("(jp = jp1) <> (ip = ip1)").select("plain", "by")
-        ends = grid.points.filter("z is not null").groupBy("pillar").agg(F.min_by(F.struct(*XYZ), "boundary").alias("a"), F.max_by(F.struct(*XYZ), "boundary").alias("b"))
+        ends = _ends(grid.points)
         slopes = ends.select("pillar", *(F.coalesce(F.expr(f"(b.{c} - a.{c}) / nullif(b.z - a.z, 0)"), F.lit(0.0)).alias(f"s{c}") for c in "xy"))
         beside, slopes = settled(beside), settled(slopes)
     for left in range(reach, 0, -1):
@@ -113,8 +122,30 @@ def interpolated(a: Pillars, b: Pillars, nj: int, ni: int, share: float = 0.5, t
     """
     if not 0.0 <= share <= 1.0:
         raise ValueError("the share lies between 0 and 1")
-    keys = ["k", "j", "i", "kp", "jp", "ip"]
-    other = cell_corners(b).select(*keys, *(F.col(c).alias(f"b{c}") for c in XYZ))
-    # pillars are found by several passes over the corners
-    both = cell_corners(a).join(other, keys).select(*keys, *((F.col(c) * (1.0 - share) + F.col(f"b{c}") * share).alias(c) for c in XYZ))
-    return grid_pillars(settled(both), nj, ni, tolerance=tolerance)
+    both = _at_places(a).join(_at_places(b).withColumnsRenamed({c: f"b{c}" for c in ("around", "sides", *XYZ)}), ["pj", "pi", "kk"])
+    both = both.withColumns({"around": F.col("around").bitwiseAND(F.col("baround")), "sides": F.col("sides").bitwiseAND(F.col("bsides"))}).filter("around <> 0 and sides <> 0")
+    both = both.select("pj", "pi", "kk", "around", "sides", *((F.col(c) * (1.0 - share) + F.col(f"b{c}") * share).alias(c) for c in XYZ))
+    own = lambda n, kp: F.expr(f"shiftright(around, {n}) & 1 = 1 and shiftright(sides, {kp}) & 1 = 1")
+    mask = sum((F.when(own(n, kp), 1 << (2 * n + kp)).otherwise(0) for n, kp in SPOTS), F.lit(0))
+    met = settled(both.groupBy("pj", "pi", "kk").agg(*spots(own, mask)))
+    # cells with an undefined corner lose the others
+    void = lambda n, kp: F.expr(f"mask & {1 << (2 * n + kp)} <> 0 and (" + " or ".join(f"{c}{n}{kp} is null or isnan({c}{n}{kp})" for c in XYZ) + ")")
+    cell = [F.when(void(n, kp), F.struct((F.col("kk") - kp).alias("k"), (F.col("pj") - n // 2).alias("j"), (F.col("pi") - n % 2).alias("i"))) for n, kp in SPOTS]
+    holes = met.select(F.explode(F.array_compact(F.array(*cell))).alias("c")).select("c.*").distinct()
+    lost = [F.struct((F.col("k") + kp).alias("kk"), (F.col("j") + n // 2).alias("pj"), (F.col("i") + n % 2).alias("pi"), F.lit(1 << (2 * n + kp)).alias("bit")) for n, kp in SPOTS]
+    holes = settled(holes.select(F.explode(F.array(*lost)).alias("l")).groupBy("l.pj", "l.pi", "l.kk").agg(F.bit_or("l.bit").alias("lost")))
+    if holes.isEmpty():
+        met = met.withColumn("lost", F.lit(0))
+    else:
+        met = met.join(holes, ["pj", "pi", "kk"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+        met = met.withColumns({f"{c}{n}{kp}": F.when(F.col("lost").bitwiseAND(1 << (2 * n + kp)) == 0, F.col(f"{c}{n}{kp}")) for n, kp in SPOTS for c in XYZ})
+    live = {f"a{n}": F.expr(f"if(mask & {3 << (2 * n)} <> 0, mask & ~lost & {3 << (2 * n)} <> 0, null)") for n in range(4)}
+    return pillars_at(met.withColumns(live).drop("lost"), nj, ni, tolerance=tolerance)
+
+
+def _at_places(grid: Pillars) -> DataFrame:
+    """pj, pi, kk (layers above), around (bits of the columns), sides (bit kp of the top below and the base above), x, y, z: the points as the corners of cells have them."""
+    sides = layer_sides(grid.layers)
+    top, base = (sides.select(F.col(c).alias("boundary"), "kk", F.lit(bit).alias("sides")).filter("boundary is not null") for c, bit in (("top", 1), ("base", 2)))
+    sides = top.unionByName(base).groupBy("boundary", "kk").agg(F.bit_or("sides").alias("sides"))
+    return grid.points.join(standing(grid), "pillar").join(F.broadcast(sides), "boundary").select("pj", "pi", "kk", "around", "sides", *XYZ)
