@@ -1,4 +1,8 @@
-"""Unstructured grids: cell_faces(cell, face), face_nodes(face, seq, node) and nodes(node, x, y, z)."""
+"""Unstructured grids: cell_faces(cell, face), face_nodes(face, seq, node) and nodes(node, x, y, z).
+
+All of these grow with the grid, and rows spread from few bytes look small to the
+optimizer: joins between them are merges, never sent to all tasks through the driver.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +33,7 @@ def external_faces(cell_faces: DataFrame) -> DataFrame:
 
 def centres(cell_faces: DataFrame, face_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Mean of the distinct nodes of each cell."""
-    used = cell_faces.join(face_nodes, "face").select("cell", "node").distinct().join(nodes, "node")
+    used = cell_faces.join(face_nodes.hint("merge"), "face").select("cell", "node").distinct().join(nodes.hint("merge"), "node")
     return used.groupBy("cell").agg(*(F.avg(c).alias(c) for c in "xyz"))
 
 
@@ -37,9 +41,9 @@ def volumes(cell_faces: DataFrame, face_nodes: DataFrame, nodes: DataFrame) -> D
     """Volume of each cell: tetrahedra of its centre, the centre of a face, and each edge of the face (for cells that their centres see whole)."""
     w = Window.partitionBy("face").orderBy("seq")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = face_nodes.join(nodes, "node")
+    placed = face_nodes.join(nodes.hint("merge"), "node")
     edges = placed.withColumns({f"n{c}": F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) for c in "xyz"} | {f"f{c}": F.avg(c).over(Window.partitionBy("face")) for c in "xyz"})
     middle = centres(cell_faces, face_nodes, nodes).select("cell", *(F.col(c).alias(f"c{c}") for c in "xyz"))
-    rows = cell_faces.join(edges, "face").join(middle, "cell")
+    rows = cell_faces.join(edges.hint("merge"), "face").join(middle.hint("merge"), "cell")
     corner = lambda p: tuple(F.col(f"{p}{c}") for c in "xyz")
     return rows.groupBy("cell").agg(F.sum(tetra_volume(corner("c"), corner("f"), corner(""), corner("n"))).alias("volume"))
