@@ -159,7 +159,8 @@ def file_binary_arrays(spark: SparkSession, d: str) -> DataFrame:
         folder = shared_folder(spark)
         settled(binary.write_array(c.select("cell_id", F.col(name).cast("double" if kind in (".db", ".fb") else "long").alias("value")), folder, kind))
         back = binary.read_array(spark, folder, kind, over_files=True).select("cell_id", F.col("value").alias(name))
-        out = back if out is None else out.join(back, "cell_id")
+        # what tasks read from few file names looks small to the optimizer: a merge, lest an array be sent to all tasks
+        out = back if out is None else out.join(back.hint("merge"), "cell_id")
     return out.select("cell_id", q6(F.col("perm")).alias("perm"), q6(F.col("ntg").cast("double")).alias("ntg"), "k", "i", "active")
 
 
