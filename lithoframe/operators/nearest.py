@@ -12,12 +12,14 @@ from lithoframe.storage import settled
 
 #: Largest number of tiles along an axis: beyond it tile numbers lose their meaning.
 _TILES = 2**40
+#: Points that the first tiles hold on average, or up to four times as many.
+_IN_TILE = 4
 
 
 def nearest_xy(queries: DataFrame, points: DataFrame, tile: float, other: bool = False) -> DataFrame:
     """id, nearest and distance (seen from above) for each query point; ties go to the smaller id.
 
-    A query looks in the 3 by 3 tiles about its own. It is done if its nearest hit is
+    A query looks in the 3 by 3 tiles about its own, at first of size ``tile`` or, where that would hold many points on average, a half, a quarter ... of it. It is done if its nearest hit is
     closer than one tile, for no point outside can be closer; the others go on with
     tiles of twice the size or more, so that far points cost no more than near ones. The last
     tile spans all queries and points, so that none is left then. With ``other`` a
@@ -35,7 +37,10 @@ def nearest_xy(queries: DataFrame, points: DataFrame, tile: float, other: bool =
     if extent > tile * _TILES:
         tile = extent / _TILES
     last = max(0, math.ceil(math.log2(extent / tile))) + 1 if extent > 0 else 0
-    done, k = [], 0
+    # where points are dense, tiles of some points each come first, so that pairs grow with the points
+    many, area = points.count(), (box.x1 - box.x0) * (box.y1 - box.y0)
+    fit = math.sqrt(area * _IN_TILE / many) if area > 0 else tile
+    done, k = [], min(0, max(math.ceil(math.log2(fit / tile)), math.ceil(math.log2(max(extent, tile) / _TILES / tile))))
     while True:
         size = tile * 2**k
         at = lambda c, low: F.floor((F.col(c) - low) / size)  # noqa: B023, E731
