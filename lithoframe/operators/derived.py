@@ -107,12 +107,6 @@ def scaled_throws(grid: Pillars, factor: float, boundary: int = 0, reach: int =
     return _moved(grid, shifts.drop("plain"))
 
 
-def cell_corners(grid: Pillars) -> DataFrame:
-    """k, j, i, kp, jp, ip, x, y, z: the corners of all cells, as ``pillars.grid_pillars`` takes them."""
-    sides = grid.layers.select("k", "raw", F.explode(F.array(F.lit(0), F.lit(1))).alias("kp")).select("k", "kp", (F.col("raw") + F.col("kp")).alias("boundary"))
-    return grid.columns.join(grid.points, "pillar").join(F.broadcast(sides), "boundary").select("k", "j", "i", "kp", "jp", "ip", *XYZ)
-
-
 def interpolated(a: Pillars, b: Pillars, nj: int, ni: int, share: float = 0.5, tolerance: float = 0.01) -> Pillars:
     """The grid between two of the same extent, at ``share`` of the way from ``a`` to ``b``.
 

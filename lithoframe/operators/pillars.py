@@ -31,7 +31,7 @@ class Pillars(NamedTuple):
     points: DataFrame
 
 
-#: The corners of a cell (kp, jp, ip). One more than twice a bit's number counts the column around a pillar, the last bit of it kp.
+#: The corners of a cell (kp, jp, ip), in the order of the bits of its mask.
 CELL = [(kp, jp, ip) for kp in (0, 1) for jp in (0, 1) for ip in (0, 1)]
 #: Cells along each axis of a block, whose corners meet in one task.
 BLOCK = 16
